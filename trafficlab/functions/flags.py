@@ -30,6 +30,10 @@ def flags_to_int(flags: Column) -> Column:
     return total.cast("long")
 
 
+def _equals(value: str):
+    return lambda y: y == F.lit(value)
+
+
 def flag_mode_letters(combos: Column, mode_count: Column) -> dict[str, Column]:
     """F17 tie rule on ``combos`` = array<struct<c: count, combo: string>>.
 
@@ -41,7 +45,7 @@ def flag_mode_letters(combos: Column, mode_count: Column) -> dict[str, Column]:
     tied = F.filter(combos, lambda x: x["c"] == mode_count)
     has_zero = F.exists(tied, lambda x: x["combo"] == F.lit(NON_TCP))
     pool = F.flatten(F.transform(tied, lambda x: F.split(x["combo"], "")))
-    counts = {c: F.size(F.filter(pool, lambda y, c=c: y == F.lit(c))) for c in FLAG_LETTERS}
+    counts = {c: F.size(F.filter(pool, _equals(c))) for c in FLAG_LETTERS}
     top = F.greatest(*counts.values())
     return {c: F.when(~has_zero & (cnt == top) & (cnt > 0), F.lit(1)).otherwise(F.lit(0)).cast("int")
             for c, cnt in counts.items()}

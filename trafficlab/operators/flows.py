@@ -43,33 +43,33 @@ def with_canonical_key(packets: DataFrame) -> DataFrame:
 
 def sessionize(packets: DataFrame, keys: Sequence[str], idle_seconds: float,
                order: Sequence[str] = PACKET_ORDER, ts_col: str = "ts",
-               out: str = "session", num_partitions: int | None = None) -> DataFrame:
+               out: str = "session", num_buckets: int | None = None) -> DataFrame:
     """idle timeout.  A gap strictly greater than ``idle_seconds`` starts a
     new flow; ``out`` is the 0-based flow number inside ``keys``."""
     keys = list(keys)
     lagged = keyed_scan(packets, keys, list(order), pos_col=None,
-                        lags={"_prev_ts": ts_col}, num_buckets=num_partitions)
+                        lags={"_prev_ts": ts_col}, num_buckets=num_buckets)
     gap = _micros(F.col(ts_col)) - _micros(F.col("_prev_ts"))
     started = lagged.withColumn(
         "_start", F.when(F.col("_prev_ts").isNull() | (gap > F.lit(int(idle_seconds * 1_000_000))), 1)
         .otherwise(0)).drop("_prev_ts")
     numbered = keyed_scan(started, keys, list(order), pos_col=None,
-                          sums={"_sess": "_start"}, num_buckets=num_partitions)
+                          sums={"_sess": "_start"}, num_buckets=num_buckets)
     return numbered.withColumn(out, F.col("_sess") - 1).drop("_start", "_sess")
 
 
 def with_ipt(packets: DataFrame, keys: Sequence[str], order: Sequence[str] = PACKET_ORDER,
-             ts_col: str = "ts", out: str = "ipt", num_partitions: int | None = None) -> DataFrame:
+             ts_col: str = "ts", out: str = "ipt", num_buckets: int | None = None) -> DataFrame:
     """seconds since the previous packet with the same ``keys``; NULL for
     the first one (Q19)."""
     lagged = keyed_scan(packets, list(keys), list(order), pos_col=None,
-                        lags={"_prev_ts": ts_col}, num_buckets=num_partitions)
+                        lags={"_prev_ts": ts_col}, num_buckets=num_buckets)
     ipt = (_micros(F.col(ts_col)) - _micros(F.col("_prev_ts"))) / F.lit(1_000_000.0)
     return lagged.withColumn(out, ipt).drop("_prev_ts")
 
 
 def caia_vector(packets: DataFrame, idle_seconds: float = 300,
-                num_partitions: int | None = None) -> DataFrame:
+                num_buckets: int | None = None) -> DataFrame:
     """bidirectional 5-tuple flows cut by the idle timeout -> 34 columns.
 
     Forward is the orientation of the flow's first packet.  Per direction:
@@ -78,9 +78,9 @@ def caia_vector(packets: DataFrame, idle_seconds: float = 300,
     IP total length and of the inter-packet time.
     """
     keyed = with_canonical_key(packets)
-    sess = sessionize(keyed, FIVE_TUPLE, idle_seconds, num_buckets=num_partitions)
+    sess = sessionize(keyed, FIVE_TUPLE, idle_seconds, num_buckets=num_buckets)
     fkey = FIVE_TUPLE + ["session"]
-    ipt = with_ipt(sess, fkey + ["a_side"], num_buckets=num_partitions)
+    ipt = with_ipt(sess, fkey + ["a_side"], num_buckets=num_buckets)
     f = F.col("flags")
     aggs = [
         F.min(F.struct("ts", "packet_no", "src", "dst", "sport", "dport", "a_side")).alias("_first"),
@@ -198,3 +198,58 @@ def accumulate(packets: DataFrame, keys: Sequence[str], cols: Sequence[str],
     aggs = [F.transform(F.array_sort(F.collect_list(F.struct(*ordered, F.col(c).alias("v")))),
                         lambda x: x["v"]).alias(f"accumulate({c})") for c in cols]
     return packets.groupBy(*keys).agg(*aggs)
+
+
+def with_direction(packets: DataFrame, flow_keys: Sequence[str], out: str = "direction") -> DataFrame:
+    """'f' when the packet has the orientation of its flow's first packet,
+    else 'b'.  The first packet comes from a (partial) aggregate per flow and
+    is joined back on the flow key."""
+    firsts = packets.groupBy(*flow_keys).agg(
+        F.min(F.struct("ts", "packet_no", "src", "sport")).alias("_f"))
+    j = packets.join(firsts, on=list(flow_keys), how="inner")
+    fwd = (F.col("src") == F.col("_f.src")) & F.col("sport").eqNullSafe(F.col("_f.sport"))
+    return j.withColumn(out, F.when(fwd, F.lit("f")).otherwise(F.lit("b"))).drop("_f")
+
+
+def flow_summary(sessions: DataFrame, flow_keys: Sequence[str]) -> DataFrame:
+    """Packets, first and last packet time per flow."""
+    return sessions.groupBy(*flow_keys).agg(
+        F.count(F.lit(1)).alias("packets"),
+        F.min("ts").alias("flow_start"),
+        F.max("ts").alias("flow_end"))
+
+
+def mode_text(packets: DataFrame, flow_keys: Sequence[str], col: str,
+              order: Sequence[str] = PACKET_ORDER) -> DataFrame:
+    """F16: most frequent text value per flow; a tie goes to the value seen first."""
+    lvl1 = packets.groupBy(*flow_keys, col).agg(
+        F.count(F.lit(1)).alias("c"),
+        F.min(F.struct(*[F.col(o) for o in order])).alias("first_seen"))
+    return lvl1.groupBy(*flow_keys).agg(
+        F.min_by(F.col(col), F.struct(-F.col("c"), F.col("first_seen"))).alias(f"mode({col})"),
+        F.max("c").alias(f"modeCount({col})"),
+        F.count(F.lit(1)).alias(f"distinct({col})"))
+
+
+def mode_numeric(packets: DataFrame, flow_keys: Sequence[str], col: str) -> DataFrame:
+    """numeric mode (tie -> smallest), modeCount and distinct per flow,
+    from one two-level partial aggregate."""
+    lvl1 = packets.groupBy(*flow_keys, col).agg(F.count(F.lit(1)).alias("c"))
+    return lvl1.groupBy(*flow_keys).agg(
+        F.max_by(F.col(col), F.struct(F.col("c"), -F.col(col))).alias(f"mode({col})"),
+        F.max("c").alias(f"modeCount({col})"),
+        F.count(F.lit(1)).alias(f"distinct({col})"))
+
+
+def flag_summary(packets: DataFrame, flow_keys: Sequence[str], flags_col: str = "flags") -> DataFrame:
+    """per flow the flag combination modeCount / distinct and the one-hot
+    letters chosen by the tie rule."""
+    combo = flag_combo(F.col(flags_col))
+    lvl1 = packets.groupBy(*flow_keys, combo.alias("combo")).agg(F.count(F.lit(1)).alias("c"))
+    lvl2 = lvl1.groupBy(*flow_keys).agg(
+        F.max("c").alias("modeCount(_tcpFlags)"),
+        F.count(F.lit(1)).alias("distinct(_tcpFlags)"),
+        F.collect_list(F.struct("c", "combo")).alias("_combos"))
+    letters = flag_mode_letters(F.col("_combos"), F.col("modeCount(_tcpFlags)"))
+    return lvl2.select(*flow_keys, *[v.alias(k) for k, v in letters.items()],
+                       "distinct(_tcpFlags)", "modeCount(_tcpFlags)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_sampling  # noqa: F401
+from . import q_flows, q_sampling  # noqa: F401
 from .registry import REGISTRY, Entry
 
 _FAMILIES = ["q_flows", "q_labels", "q_prep", "q_ml", "q_evaluate", "q_streaming"]

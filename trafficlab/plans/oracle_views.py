@@ -61,3 +61,16 @@ def with_views(*names: str, extra: str = "") -> str:
     if extra:
         parts.append(extra.strip())
     return "WITH " + ",\n".join(parts) + "\n"
+
+SCHEDULE = """
+days AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM events),
+sched AS (
+  SELECT 'DoS' AS attack, 'c' || CAST(datediff('day', DATE '1970-01-01', day) % 10 AS VARCHAR) AS src,
+         's' || CAST(datediff('day', DATE '1970-01-01', day) % 2 AS VARCHAR) AS dst,
+         day + INTERVAL 8 HOUR AS t0, day + INTERVAL 16 HOUR AS t1, 1 AS priority FROM days
+  UNION ALL
+  SELECT 'PortScan', 'c' || CAST((datediff('day', DATE '1970-01-01', day) + 3) % 10 AS VARCHAR), 's1',
+         day, day + INTERVAL 12 HOUR, 2 FROM days),
+agm_sched AS (
+  SELECT 'Botnet' AS attack, 'u' || CAST(datediff('day', DATE '1970-01-01', day) % 50 AS VARCHAR) AS src,
+         day AS t0, day + INTERVAL 1 DAY AS t1, 1 AS priority FROM days)"""

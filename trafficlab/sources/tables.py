@@ -103,3 +103,38 @@ def pkt_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", F.lit("f")).otherwise(F.lit("b")).alias("direction"),
         F.col("l_suppkey").alias("dst"),
     )
+
+
+def attack_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attack schedule derived from the capture days (the original labeler is
+    external): every day a 'DoS' window 08:00-16:00 from client c(d % 10) to
+    server s(d % 2), and a 'PortScan' window 00:00-12:00 from client
+    c((d + 3) % 10) to server s1, where d = days since 1970-01-01."""
+    days = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("day")).distinct()
+    d = F.datediff(F.to_date("day"), F.lit("1970-01-01").cast("date")).cast("long")
+    dos = days.select(F.lit("DoS").alias("attack"),
+                      F.concat(F.lit("c"), (d % 10).cast("string")).alias("src"),
+                      F.concat(F.lit("s"), (d % 2).cast("string")).alias("dst"),
+                      (F.col("day") + F.expr("INTERVAL 8 HOURS")).alias("t0"),
+                      (F.col("day") + F.expr("INTERVAL 16 HOURS")).alias("t1"),
+                      F.lit(1).alias("priority"))
+    scan = days.select(F.lit("PortScan").alias("attack"),
+                       F.concat(F.lit("c"), ((d + 3) % 10).cast("string")).alias("src"),
+                       F.lit("s1").alias("dst"),
+                       F.col("day").alias("t0"),
+                       (F.col("day") + F.expr("INTERVAL 12 HOURS")).alias("t1"),
+                       F.lit(2).alias("priority"))
+    return dos.unionByName(scan)
+
+
+def agm_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-source schedule for AGM labeling: every day a 'Botnet' window
+    (whole day) from user u(d % 50)."""
+    days = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("day")).distinct()
+    d = F.datediff(F.to_date("day"), F.lit("1970-01-01").cast("date")).cast("long")
+    return days.select(F.lit("Botnet").alias("attack"),
+                       F.concat(F.lit("u"), (d % 50).cast("string")).alias("src"),
+                       F.lit(None).cast("string").alias("dst"),
+                       F.col("day").alias("t0"),
+                       (F.col("day") + F.expr("INTERVAL 1 DAYS")).alias("t1"),
+                       F.lit(1).alias("priority"))
