@@ -43,27 +43,24 @@ def with_canonical_key(packets: DataFrame) -> DataFrame:
 
 def sessionize(packets: DataFrame, keys: Sequence[str], idle_seconds: float,
                order: Sequence[str] = PACKET_ORDER, ts_col: str = "ts",
-               out: str = "session", num_buckets: int | None = None) -> DataFrame:
+               out: str = "session", num_buckets: int | None = None,
+               keep_bucket: bool = False) -> DataFrame:
     """idle timeout.  A gap strictly greater than ``idle_seconds`` starts a
-    new flow; ``out`` is the 0-based flow number inside ``keys``."""
-    keys = list(keys)
-    lagged = keyed_scan(packets, keys, list(order), pos_col=None,
-                        lags={"_prev_ts": ts_col}, num_buckets=num_buckets)
-    gap = _micros(F.col(ts_col)) - _micros(F.col("_prev_ts"))
-    started = lagged.withColumn(
-        "_start", F.when(F.col("_prev_ts").isNull() | (gap > F.lit(int(idle_seconds * 1_000_000))), 1)
-        .otherwise(0)).drop("_prev_ts")
-    numbered = keyed_scan(started, keys, list(order), pos_col=None,
-                          sums={"_sess": "_start"}, num_buckets=num_buckets)
-    return numbered.withColumn(out, F.col("_sess") - 1).drop("_start", "_sess")
+    new flow; ``out`` is the 0-based flow number inside ``keys``.  One
+    skew-safe scan: the first packet of each piece is fixed up with the last
+    packet time of the key's previous piece."""
+    return keyed_scan(packets, list(keys), list(order), pos_col=None,
+                      gap_session=(out, ts_col, idle_seconds), num_buckets=num_buckets,
+                      keep_bucket=keep_bucket)
 
 
 def with_ipt(packets: DataFrame, keys: Sequence[str], order: Sequence[str] = PACKET_ORDER,
-             ts_col: str = "ts", out: str = "ipt", num_buckets: int | None = None) -> DataFrame:
+             ts_col: str = "ts", out: str = "ipt", num_buckets: int | None = None,
+             keep_bucket: bool = False) -> DataFrame:
     """seconds since the previous packet with the same ``keys``; NULL for
     the first one (Q19)."""
     lagged = keyed_scan(packets, list(keys), list(order), pos_col=None,
-                        lags={"_prev_ts": ts_col}, num_buckets=num_buckets)
+                        lags={"_prev_ts": ts_col}, num_buckets=num_buckets, keep_bucket=keep_bucket)
     ipt = (_micros(F.col(ts_col)) - _micros(F.col("_prev_ts"))) / F.lit(1_000_000.0)
     return lagged.withColumn(out, ipt).drop("_prev_ts")
 
@@ -78,7 +75,9 @@ def caia_vector(packets: DataFrame, idle_seconds: float = 300,
     IP total length and of the inter-packet time.
     """
     keyed = with_canonical_key(packets)
-    sess = sessionize(keyed, FIVE_TUPLE, idle_seconds, num_buckets=num_buckets)
+    # one bucketing of (5-tuple, time) serves both scans: sessions, then the
+    # per-direction inter-packet time inside each session
+    sess = sessionize(keyed, FIVE_TUPLE, idle_seconds, num_buckets=num_buckets, keep_bucket=True)
     fkey = FIVE_TUPLE + ["session"]
     ipt = with_ipt(sess, fkey + ["a_side"], num_buckets=num_buckets)
     f = F.col("flags")

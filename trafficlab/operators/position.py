@@ -115,81 +115,104 @@ def bucket_expr(enc: list[Column], bounds: list[tuple]) -> Column:
     return tree(0, len(bounds)).cast("int")
 
 
+def bucketize(df: DataFrame, cols: Sequence[str], num_buckets: int | None = None,
+              bounds: list[tuple] | None = None) -> DataFrame:
+    """Add the bucket column: ranges of ``cols`` cut at sampled bounds.
+
+    Scans whose keys refine the leading bucket columns and whose order
+    follows (e.g. flow key + session + direction, ordered by time) can
+    reuse the same bucket column, and with it the same shuffle."""
+    n_b = int(num_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    enc = [_comparable(df, c) for c in cols]
+    if bounds is None:
+        bounds = _sample_bounds(df, enc, n_b)
+    return df.withColumn(_B, bucket_expr(enc, bounds))
+
+
 def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[str] | str,
                pos_col: str | None = "pos", sums: dict[str, str] | None = None,
-               lags: dict[str, str] | None = None,
-               num_buckets: int | None = None, bounds: list[tuple] | None = None) -> DataFrame:
+               lags: dict[str, str] | None = None, gap_session: tuple[str, str, float] | None = None,
+               num_buckets: int | None = None, keep_bucket: bool = False) -> DataFrame:
     """Add ``pos_col`` (0-based position within ``keys`` by ``order``).
 
     ``sums`` maps output name -> numeric input column (running inclusive sum
     within the key; NULL counts as 0).  ``lags`` maps output name -> input
     column whose previous-row value within the key is wanted (NULL on the
-    key's first row).  ``bounds`` may be passed to reuse the cut of an
-    earlier scan with the same ``keys + order``.
+    key's first row).  ``gap_session = (out, ts_col, seconds)`` numbers the
+    sessions inside the key (0-based): a gap strictly greater than
+    ``seconds`` starts a new one.
+
+    If ``df`` already carries a bucket column (``bucketize`` or an earlier
+    scan with ``keep_bucket=True``), it is reused; otherwise the input is
+    bucketed on ``keys + order``.
     """
     keys = _to_list(keys)
     order = _to_list(order)
-    spark = df.sparkSession
-    n_b = int(num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     sums = dict(sums or {})
     lags = dict(lags or {})
     fields = {f.name: f.dataType for f in df.schema.fields}
-
-    enc = [_comparable(df, c) for c in keys + order]
-    if bounds is None:
-        bounds = _sample_bounds(df, enc, n_b)
-    d = df.withColumn(_B, bucket_expr(enc, bounds))
+    d = df if _B in df.columns else bucketize(df, keys + order, num_buckets)
+    base_cols = [c for c in df.columns if c != _B]
 
     w = Window.partitionBy(_B, *keys).orderBy(*order)
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(_B, *keys)
     local = {"_tl_lpos": F.row_number().over(w) - 1}
     for name, c in sums.items():
         zero = F.lit(0) if isinstance(fields[c], _INTEGRAL) else F.lit(0.0)
         local[f"_tl_s_{name}"] = F.sum(F.coalesce(F.col(c), zero)).over(w_run)
     for name, c in lags.items():
         local[f"_tl_l_{name}"] = F.lag(F.col(c), 1).over(w)
+    if gap_session:
+        g_out, g_ts, g_sec = gap_session
+        gap_us = F.lit(int(g_sec * 1_000_000))
+        g_prev = F.lag(F.col(g_ts), 1).over(w)
+        local["_tl_gstart"] = F.when(g_prev.isNull() | (_micros(F.col(g_ts)) - _micros(g_prev) > gap_us), 1).otherwise(0)
     rows = d.withColumns(local)
-
-    # per (bucket, key): rows, sums and the last row's values
-    last_row = F.max(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
-                              *[F.col(c).alias(f"_v_{name}") for name, c in lags.items()]))
-    per_key = d.groupBy(_B, *keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(F.col(c)).alias(f"_ks_{name}") for name, c in sums.items()],
-        last_row.alias("_last"),
-    )
-    kstruct = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    per_bucket = per_key.groupBy(_B).agg(
-        F.count(F.lit(1)).alias("_nkeys"),
-        F.min(kstruct).alias("_fk"),
-        F.max(kstruct).alias("_lk"),
-        F.max_by(F.col("_n"), kstruct).alias("_last_n"),
-        *[F.max_by(F.col(f"_ks_{name}"), kstruct).alias(f"_ls_{name}") for name in sums],
-        *[F.max_by(F.col(f"_last._v_{name}"), kstruct).alias(f"_ll_{name}") for name in lags],
-    )
-    wb = Window.orderBy(_B)  # over the bucket table only: <= num_buckets rows
-    cont = F.lag(F.col("_lk"), 1).over(wb).eqNullSafe(F.col("_fk")) & F.lag(F.lit(1), 1).over(wb).isNotNull()
-    pb = per_bucket.withColumn("_cont", F.coalesce(cont, F.lit(False)))
-    pb = pb.withColumn("_newseg", (~((F.col("_nkeys") == 1) & F.col("_cont"))).cast("int"))
-    pb = pb.withColumn("_seg", F.sum("_newseg").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-    wseg = Window.partitionBy("_seg").orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
-    pb = pb.withColumn("_cn", F.sum("_last_n").over(wseg))
-    for name in sums:
-        pb = pb.withColumn(f"_cs_{name}", F.sum(F.col(f"_ls_{name}")).over(wseg))
-    off = [F.col(_B).alias("_ob"), F.col("_fk"), F.col("_cont"),
-           F.when(F.col("_cont"), F.lag("_cn", 1).over(wb)).otherwise(F.lit(0)).cast("long").alias("_off_n")]
-    for name in sums:
-        off.append(F.when(F.col("_cont"), F.lag(f"_cs_{name}", 1).over(wb)).alias(f"_off_{name}"))
+    if gap_session:
+        rows = rows.withColumn("_tl_gcum", F.sum("_tl_gstart").over(w_run))
+
+    # one row per (bucket, key) piece; only pieces that continue a key from
+    # an earlier bucket need a carry-in
+    last_vals = [F.col(c).alias(f"_v_{name}") for name, c in lags.items()]
+    if gap_session:
+        last_vals.append(F.col(gap_session[1]).alias("_v__gts"))
+    piece_aggs = [F.count(F.lit(1)).alias("_n"),
+                  *[F.sum(F.col(c)).alias(f"_ks_{name}") for name, c in sums.items()]]
+    if last_vals:
+        piece_aggs.append(F.max(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *last_vals)).alias("_last"))
+    if gap_session:
+        piece_aggs += [F.min(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
+                                      F.col(gap_session[1]).alias("_t"))).alias("_first"),
+                       F.sum("_tl_gstart").alias("_gst")]
+    pieces = (rows if gap_session else d).groupBy(_B, *keys).agg(*piece_aggs)
+    wk = Window.partitionBy(*keys).orderBy(_B)   # pieces of one key: <= num_buckets rows
+    before = wk.rowsBetween(Window.unboundedPreceding, -1)
+    off = {"_has_prev": F.lag(F.lit(1), 1).over(wk).isNotNull(),
+           "_off_n": F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")}
+    for name, c in sums.items():
+        off[f"_off_{name}"] = F.sum(f"_ks_{name}").over(before)
     for name in lags:
-        off.append(F.when(F.col("_cont"), F.lag(f"_ll_{name}", 1).over(wb)).alias(f"_carry_{name}"))
-    offsets = pb.select(*off).where(F.col("_cont"))
+        off[f"_carry_{name}"] = F.lag(F.col(f"_last._v_{name}"), 1).over(wk)
+    pieces = pieces.withColumns(off)
+    if gap_session:
+        prev_t = F.lag(F.col("_last._v__gts"), 1).over(wk)
+        fis = F.when(prev_t.isNull() | (_micros(F.col("_first._t")) - _micros(prev_t) > gap_us), 1).otherwise(0)
+        pieces = pieces.withColumn("_fis", fis)
+        pieces = pieces.withColumn("_true_st", F.col("_gst") - 1 + F.col("_fis"))
+        pieces = pieces.withColumn("_off_sess", F.coalesce(F.sum("_true_st").over(before), F.lit(0)))
+    keep = [F.col(_B).alias("_ob"), *[F.col(k).alias(f"_ok_{i}") for i, k in enumerate(keys)], "_off_n"]
+    keep += [f"_off_{name}" for name in sums] + [f"_carry_{name}" for name in lags]
+    if gap_session:
+        keep += ["_fis", "_off_sess"]
+    # at most one open key per bucket boundary (per refinement of it) has a
+    # predecessor piece, so this table is bounded by the bucket count
+    offsets = pieces.where("_has_prev").select(*keep)
 
     cond = rows[_B] == offsets["_ob"]
-    for k in keys:
-        cond = cond & rows[k].eqNullSafe(offsets["_fk"][k])
+    for i, k in enumerate(keys):
+        cond = cond & rows[k].eqNullSafe(offsets[f"_ok_{i}"])
     joined = rows.join(F.broadcast(offsets), on=cond, how="left")
-    matched = F.col("_cont").isNotNull()
+    matched = F.col("_ob").isNotNull()
     out_cols = {}
     if pos_col:
         out_cols[pos_col] = F.col("_tl_lpos") + F.coalesce(F.col("_off_n"), F.lit(0))
@@ -199,10 +222,19 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
     for name in lags:
         out_cols[name] = F.when(matched & (F.col("_tl_lpos") == 0), F.col(f"_carry_{name}")) \
             .otherwise(F.col(f"_tl_l_{name}"))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns],
+    if gap_session:
+        fis_c = F.coalesce(F.col("_fis"), F.lit(1))
+        out_cols[gap_session[0]] = (F.coalesce(F.col("_off_sess"), F.lit(0)) + F.col("_tl_gcum")
+                                    - (F.lit(1) - fis_c) - 1).cast("long")
+    extra = [F.col(_B)] if keep_bucket else []
+    return joined.select(*[F.col(f"`{c}`") for c in base_cols], *extra,
                          *[v.alias(k) for k, v in out_cols.items()])
 
 
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
 def keyed_position(df: DataFrame, keys, order, pos_col: str = "pos",
                    num_buckets: int | None = None) -> DataFrame:
     """0-based position inside ``keys`` by ``order`` (skew-safe)."""

@@ -74,9 +74,10 @@ def sample_flow(packets: DataFrame, key: Sequence[str] | str, mode, n: int,
     keys = [key] if isinstance(key, str) else list(key)
     if mode == "first_n":
         w = Window.partitionBy(*keys).orderBy(*order)
-        rn = F.row_number().over(w)
-        return (packets.withColumn(pos_col, rn - 1)
-                .where(F.col(pos_col) < n))
+        # filter on the rank itself so Catalyst infers the group limit
+        return (packets.withColumn("_rn", F.row_number().over(w))
+                .where(F.col("_rn") <= n)
+                .withColumn(pos_col, F.col("_rn") - 1).drop("_rn"))
     positioned = keyed_position(packets, keys, list(order), pos_col, num_partitions)
     return positioned.where(keep_predicate(F.col(pos_col), mode, n))
 
