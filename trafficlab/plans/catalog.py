@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import q_flows, q_sampling  # noqa: F401
 from .registry import REGISTRY, Entry
 
-_FAMILIES = ["q_flows", "q_labels", "q_prep", "q_ml", "q_evaluate", "q_streaming"]
+_FAMILIES = ["q_flows", "q_labels", "q_prep", "q_ml", "q_evaluate", "q_misc", "q_spec", "q_streaming"]
 for _m in _FAMILIES:
     try:
         __import__(f"{__package__}.{_m}")

@@ -109,3 +109,11 @@ def q_rf_predict(spark, sf):
 def q_feature_importance(spark, sf):
     model, _ = _forest(spark, sf, trees=20)
     return M.importance_ranking(spark, model, EMB_COLS)
+
+
+@register("forest_shape")
+def q_forest_shape(spark, sf):
+    model, _ = _forest(spark, sf)
+    shape = M.forest_shape(spark, model)
+    return shape.agg(F.count(F.lit(1)).alias("trees"), F.max("depth").alias("max_depth"),
+                     F.max("leaves").alias("max_leaves"))

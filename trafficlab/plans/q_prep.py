@@ -170,3 +170,14 @@ def q_pca_transform(spark, sf):
     out = P.apply_pca(model, scaled, EMB_COLS)
     from pyspark.ml.functions import vector_to_array
     return out.select("vec_id", vector_to_array("pca").alias("pca"))
+
+
+@register("pca_fit")
+def q_pca_fit(spark, sf):
+    w = embeddings_wide(spark, sf)
+    scaled = P.apply_scaler(w, P.fit_scaler(w, EMB_COLS), EMB_COLS)
+    k, _ = P.pca_components(scaled, EMB_COLS, 0.90)
+    model = P.fit_pca(scaled, EMB_COLS, k)
+    pc = model.pc.toArray()
+    rows = [(j, i, float(pc[i, j])) for j in range(pc.shape[1]) for i in range(pc.shape[0])]
+    return spark.createDataFrame(rows, "component int, feature int, loading double")
