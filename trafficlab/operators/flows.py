@@ -252,3 +252,63 @@ def flag_summary(packets: DataFrame, flow_keys: Sequence[str], flags_col: str =
     letters = flag_mode_letters(F.col("_combos"), F.col("modeCount(_tcpFlags)"))
     return lvl2.select(*flow_keys, *[v.alias(k) for k, v in letters.items()],
                        "distinct(_tcpFlags)", "modeCount(_tcpFlags)")
+
+
+def active_timeout(packets: DataFrame, keys: Sequence[str], idle_seconds: float, active_seconds: float,
+                   order: Sequence[str] = PACKET_ORDER, ts_col: str = "ts",
+                   num_buckets: int | None = None) -> DataFrame:
+    """idle sessions cut again by the active timeout.
+
+    Inside an idle session a new flow starts at the first packet whose time
+    exceeds the current flow's start by more than ``active_seconds``.  The
+    cut points form a chain 0 -> nxt(0) -> nxt(nxt(0)) ..., where nxt(i) is
+    the first packet later than t_i + active.  ``nxt`` for every packet is a
+    running count over packets merged with probe rows at t_i + active (one
+    skew-safe scan); the chain is then followed by pointer doubling: log2 of
+    the longest possible chain rounds of balanced joins, each round
+    checkpointed to the shared checkpoint folder so lineage stays short.
+    Only sessions longer than ``active_seconds`` take part.  Adds
+    ``session`` and ``subflow`` (0-based inside the session).
+    """
+    keys = list(keys)
+    sk = keys + ["session"]
+    active_us = int(active_seconds * 1_000_000)
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(packets.sparkSession)
+    # the session table feeds three branches: cut its lineage once
+    sess = sessionize(packets, keys, idle_seconds, order=order, ts_col=ts_col, num_buckets=num_buckets).checkpoint()
+    t = _micros(F.col(ts_col))
+    span = sess.groupBy(*sk).agg((F.max(t) - F.min(t)).alias("_span"))
+    long_keys = span.where(F.col("_span") > active_us).select(*sk)
+    long = sess.join(long_keys, on=sk, how="left_semi")
+    short = sess.join(long_keys, on=sk, how="left_anti").withColumn("subflow", F.lit(0).cast("long"))
+
+    pos = keyed_scan(long, sk, list(order), pos_col="_sp", num_buckets=num_buckets, keep_bucket=True).checkpoint()
+    tl = _micros(F.col(ts_col))
+    pk = pos.select(*sk, tl.alias("_t"), F.lit(0).alias("_kind"), F.col("_sp").alias("_p"))
+    pr = pos.select(*sk, (tl + F.lit(active_us)).alias("_t"), F.lit(1).alias("_kind"), F.col("_sp").alias("_p"))
+    u = pk.unionByName(pr).withColumn("_isp", (F.col("_kind") == 0).cast("long"))
+    cnt = keyed_scan(u, sk, ["_t", "_kind", "_p"], pos_col=None, sums={"_le": "_isp"}, num_buckets=num_buckets)
+    jump = cnt.where(F.col("_kind") == 1).select(*sk, F.col("_p").alias("pos"), F.col("_le").alias("nxt"))
+
+    max_span = span.agg(F.max("_span")).first()[0] or 0
+    max_chain = int(max_span // max(active_us, 1)) + 2
+    rounds = max(1, (max_chain - 1).bit_length())
+    tables = [jump.checkpoint()]
+    for _ in range(1, rounds + 1):
+        a, b = tables[-1].alias("a"), tables[-1].alias("b")
+        cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in sk] + [F.col("a.nxt") == F.col("b.pos")]
+        nxt2 = a.join(b, on=cond, how="left").select(*[F.col(f"a.{k}") for k in sk], F.col("a.pos"),
+                                                       F.col("b.nxt").alias("nxt"))
+        tables.append(nxt2.checkpoint())
+    cuts = pos.where(F.col("_sp") == 0).select(*sk, F.col("_sp").alias("pos"))
+    for j in reversed(tables):
+        step = cuts.join(j, on=sk + ["pos"], how="inner").where(F.col("nxt").isNotNull()) \
+                   .select(*sk, F.col("nxt").alias("pos"))
+        cuts = cuts.unionByName(step).distinct().checkpoint()
+    flagged = pos.join(cuts.withColumn("_cut", F.lit(1)).withColumnRenamed("pos", "_sp"), on=sk + ["_sp"], how="left") \
+                 .withColumn("_cut", F.coalesce(F.col("_cut"), F.lit(0)).cast("long"))
+    # same keys and order as ``pos``: its bucket column is reused (no new cut)
+    sub = keyed_scan(flagged, sk, list(order), pos_col=None, sums={"_sub": "_cut"}, num_buckets=num_buckets)
+    sub = sub.withColumn("subflow", F.col("_sub") - 1).drop("_sub", "_cut", "_sp")
+    return short.unionByName(sub.select(*short.columns))

@@ -268,3 +268,31 @@ def _accumulated(spark, sf):
 @register("accumulate_list", with_views("pkt_order", extra=ACC_SQL) + "SELECT * FROM acc")
 def q_accumulate_list(spark, sf):
     return _accumulated(spark, sf)
+
+
+ACTIVE_S = 24 * 3600
+_ACTIVE_US = ACTIVE_S * 1_000_000
+
+
+@register("active_sessions", "WITH RECURSIVE " + with_views("pkt_pair", extra=KEYED_SQL + f""",
+sp AS (SELECT *, row_number() OVER (PARTITION BY {KEY5}, session ORDER BY ts, packet_no) - 1 AS pos FROM sess),
+nx AS (SELECT p.{KEY5.replace(', ', ', p.')}, p.session, p.pos,
+              (SELECT count(*) FROM sp q WHERE q.a_ip = p.a_ip AND q.a_port = p.a_port AND q.b_ip = p.b_ip
+                 AND q.b_port = p.b_port AND q.proto = p.proto AND q.session = p.session
+                 AND epoch_us(q.ts) <= epoch_us(p.ts) + {_ACTIVE_US}) AS nxt FROM sp p),
+cuts AS (SELECT {KEY5}, session, pos FROM sp WHERE pos = 0
+         UNION
+         SELECT n.{KEY5.replace(', ', ', n.')}, n.session, n.nxt FROM cuts c JOIN nx n
+           ON n.a_ip = c.a_ip AND n.a_port = c.a_port AND n.b_ip = c.b_ip AND n.b_port = c.b_port
+          AND n.proto = c.proto AND n.session = c.session AND n.pos = c.pos),
+flagged AS (SELECT s.*, CASE WHEN c.pos IS NULL THEN 0 ELSE 1 END AS is_cut FROM sp s LEFT JOIN cuts c
+            USING ({KEY5}, session, pos)),
+sub AS (SELECT *, CAST(sum(is_cut) OVER (PARTITION BY {KEY5}, session ORDER BY pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - 1 AS subflow FROM flagged)""").replace("WITH ", "", 1)
+          + f"""SELECT {KEY5}, session, subflow, count(*) AS packets, min(ts) AS flow_start, max(ts) AS flow_end
+FROM sub GROUP BY {KEY5}, session, subflow""")
+def q_active_sessions(spark, sf):
+    p = FW.with_canonical_key(pkt_pair(spark, sf))
+    a = FW.active_timeout(p, FW.FIVE_TUPLE, IDLE_S, ACTIVE_S)
+    return a.groupBy(*FW.FIVE_TUPLE, "session", "subflow").agg(
+        F.count(F.lit(1)).alias("packets"), F.min("ts").alias("flow_start"), F.max("ts").alias("flow_end"))
