@@ -274,6 +274,10 @@ ACTIVE_S = 24 * 3600
 _ACTIVE_US = ACTIVE_S * 1_000_000
 
 
+ACTIVE_SELECT = f"""SELECT {KEY5}, session, subflow, count(*) AS packets, min(ts) AS flow_start, max(ts) AS flow_end
+FROM sub GROUP BY {KEY5}, session, subflow"""
+
+
 @register("active_sessions", "WITH RECURSIVE " + with_views("pkt_pair", extra=KEYED_SQL + f""",
 sp AS (SELECT *, row_number() OVER (PARTITION BY {KEY5}, session ORDER BY ts, packet_no) - 1 AS pos FROM sess),
 nx AS (SELECT p.{KEY5.replace(', ', ', p.')}, p.session, p.pos,
@@ -289,8 +293,7 @@ flagged AS (SELECT s.*, CASE WHEN c.pos IS NULL THEN 0 ELSE 1 END AS is_cut FROM
             USING ({KEY5}, session, pos)),
 sub AS (SELECT *, CAST(sum(is_cut) OVER (PARTITION BY {KEY5}, session ORDER BY pos
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - 1 AS subflow FROM flagged)""").replace("WITH ", "", 1)
-          + f"""SELECT {KEY5}, session, subflow, count(*) AS packets, min(ts) AS flow_start, max(ts) AS flow_end
-FROM sub GROUP BY {KEY5}, session, subflow""")
+          + ACTIVE_SELECT)
 def q_active_sessions(spark, sf):
     p = FW.with_canonical_key(pkt_pair(spark, sf))
     a = FW.active_timeout(p, FW.FIVE_TUPLE, IDLE_S, ACTIVE_S)

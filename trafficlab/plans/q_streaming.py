@@ -10,7 +10,8 @@ from ..operators import flows as FW
 from ..sources.tables import pkt_pair, pkt_user
 from ..streaming import streams as ST
 from .oracle_views import with_views
-from .q_flows import KEY5, KEYED_SQL, WINDOW_S, _WIN_US
+from .q_flows import ACTIVE_S, ACTIVE_SELECT, IDLE_S, KEY5, KEYED_SQL, WINDOW_S, _WIN_US
+from .registry import REGISTRY
 from .registry import register
 
 SLICES = 4
@@ -151,3 +152,16 @@ def q_stream_scoring(spark, sf):
     scored = ST.score_stream(model, s).select("vec_id", F.col("label").cast("int").alias("label"),
                                               F.col("prediction").cast("int").alias("prediction"))
     return _appended(spark, scored, "scoring")
+
+
+_ACTIVE_SQL = REGISTRY["active_sessions"].sql.replace(ACTIVE_SELECT, f"""SELECT {KEY5}, (epoch_us(min(ts)) // 1000) AS flowStartMilliseconds,
+  count(*) AS packets, CAST(sum(octets) AS BIGINT) AS octets FROM sub GROUP BY {KEY5}, session, subflow""")
+
+
+@register("stream_active_flows", _ACTIVE_SQL)
+def q_stream_active_flows(spark, sf):
+    p = FW.with_canonical_key(pkt_pair(spark, sf))
+    path = _stage(spark, p, "active")
+    ST.append_end_marker(p, path)
+    s = ST.timeout_flows(ST.packet_stream(spark, path, p.schema), FW.FIVE_TUPLE, IDLE_S, ACTIVE_S)
+    return _appended(spark, s, "active").where(F.col("a_ip").isNotNull())

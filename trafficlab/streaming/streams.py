@@ -190,3 +190,50 @@ def score_stream(model, stream: DataFrame) -> DataFrame:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
+
+
+def timeout_flows(packets: DataFrame, keys: Sequence[str], idle_seconds: float, active_seconds: float,
+                  watermark: str = "1 day") -> DataFrame:
+    """T5: flows per key cut by the idle and the active timeout, with the
+    open flow kept in state: (start, last, packets, octets).  A packet more
+    than ``idle`` after the last one or more than ``active`` after the flow
+    start closes the flow; an event-time timer at last + idle closes it when
+    the watermark passes.  Output: keys, flowStartMilliseconds, packets, octets."""
+    keys = list(keys)
+    key_fields = [packets.schema[k] for k in keys]
+    out_schema = T.StructType(key_fields + [T.StructField("flowStartMilliseconds", T.LongType()),
+                                            T.StructField("packets", T.LongType()),
+                                            T.StructField("octets", T.LongType())])
+    state_schema = T.StructType([T.StructField("start", T.LongType()), T.StructField("last", T.LongType()),
+                                 T.StructField("packets", T.LongType()), T.StructField("octets", T.LongType())])
+    idle_us, active_us = int(idle_seconds * 1e6), int(active_seconds * 1e6)
+    names = [f.name for f in out_schema.fields]
+
+    def fn(key, pdfs, state):
+        out = []
+        if state.hasTimedOut:
+            s = state.get
+            out.append(list(key) + [s[0] // 1000, s[2], s[3]])
+            state.remove()
+        else:
+            cur = list(state.get) if state.exists else None
+            chunks = [p for p in pdfs]
+            pdf = pd.concat(chunks, ignore_index=True).sort_values(["_us", "packet_no"], kind="mergesort")
+            for us, octets in zip(pdf["_us"].tolist(), pdf["octets"].tolist()):
+                octets = int(octets) if octets == octets else 0
+                if cur is not None and (us - cur[1] > idle_us or us - cur[0] > active_us):
+                    out.append(list(key) + [cur[0] // 1000, cur[2], cur[3]])
+                    cur = None
+                if cur is None:
+                    cur = [us, us, 0, 0]
+                cur[1] = us
+                cur[2] += 1
+                cur[3] += octets
+            state.update(tuple(cur))
+            state.setTimeoutTimestamp(cur[1] // 1000 + idle_us // 1000 + 1)
+        # the end-of-input marker has NULL keys: it only moves the watermark
+        if out and not any(k is None for k in key):
+            yield pd.DataFrame(out, columns=names)
+
+    src = packets.withColumn("_us", F.unix_micros("ts")).withWatermark("ts", watermark)
+    return src.groupBy(*keys).applyInPandasWithState(fn, out_schema, state_schema, "append", "EventTimeTimeout")
