@@ -103,18 +103,49 @@ def distribution_rollup(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.rollup(*cols).agg(F.count(F.lit(1)).alias("n"))
 
 
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> DataFrame:
+    """Exact quantiles (linear interpolation, as pandas) of one column.
+
+    The column is ranked with the skew-safe global scan (a sort split over
+    many tasks), the needed positions floor/ceil((n-1)q) are picked out and
+    interpolated: no task ever holds the whole column.  One row, columns
+    ``q<i>``.
+    """
+    from .position import global_position
+    x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    n = x.count()
+    if n == 0:
+        return df.sparkSession.createDataFrame([tuple([None] * len(qs))], ", ".join(f"q{i} double" for i in range(len(qs))))
+    ranked = global_position(x, ["_x"], "_p")
+    picks = []
+    need = set()
+    for q in qs:
+        h = (n - 1) * q
+        lo, hi = int(h // 1), int(-(-h // 1))
+        picks.append((lo, hi, h - lo))
+        need.update((lo, hi))
+    sel = ranked.where(F.col("_p").isin(sorted(need)))
+    aggs = []
+    for i, (lo, hi, frac) in enumerate(picks):
+        vlo = F.max(F.when(F.col("_p") == lo, F.col("_x")))
+        vhi = F.max(F.when(F.col("_p") == hi, F.col("_x")))
+        aggs.append((vlo + (vhi - vlo) * F.lit(frac)).alias(f"q{i}"))
+    return sel.agg(*aggs)
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, std, min, quartiles (exact, linear), max per column,
-    long form (one row per column and statistic)."""
+    """Count, mean, std, min, quartiles (exact, linear), max per column;
+    one row per column.  Moments are one partial aggregate, quartiles come
+    from :func:`exact_quantiles`."""
     parts = []
     for c in cols:
         x = F.col(c).cast("double")
-        parts.append(df.agg(
-            F.lit(c).alias("column"),
-            F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"),
-            F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max")))
+        mom = df.agg(F.lit(c).alias("column"), F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
+                     F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+        qs = exact_quantiles(df, c, [0.25, 0.5, 0.75]).select(F.col("q0").alias("p25"), F.col("q1").alias("p50"),
+                                                              F.col("q2").alias("p75"))
+        row = mom.withColumn("_one", F.lit(1)).join(F.broadcast(qs.withColumn("_one", F.lit(1))), on="_one")
+        parts.append(row.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
