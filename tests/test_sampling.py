@@ -66,3 +66,9 @@ def test_first_n_uses_group_limit(spark):
     out = S.sample_flow(_flow(spark, 30), "flow", "first_n", 3, order=["ts", "packet_no"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_user_rule(spark):
+    # Keep positions whose square is below 30 (0..5)
+    out = S.sample_flow(_flow(spark, 12), "flow", lambda pos, n: pos * pos < n, 30, order=["ts", "packet_no"])
+    assert sorted(r.pos for r in out.collect()) == [0, 1, 2, 3, 4, 5]

@@ -37,8 +37,12 @@ def decaying_bursts(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def keep_predicate(pos: Column, mode: str, n: int) -> Column:
-    """Boolean column: keep the packet at 0-based position ``pos``."""
+def keep_predicate(pos: Column, mode, n: int) -> Column:
+    """Boolean column: keep the packet at 0-based position ``pos``.
+
+    ``mode`` may also be a user rule (U1): a callable ``(pos, n) -> Column``."""
+    if callable(mode):
+        return mode(pos, n)
     if n == 0:
         return F.lit(True)
     if mode == "every_nth":
@@ -68,8 +72,8 @@ def sample_flow(packets: DataFrame, key: Sequence[str] | str, mode, n: int,
     ``row_number() <= n``: Spark plans a partial ``WindowGroupLimit`` before
     the shuffle, so a hot flow ships at most n rows per map task.
     """
-    mode = _mode_name(mode, FLOW_MODES)
-    if n == 0:
+    mode = mode if callable(mode) else _mode_name(mode, FLOW_MODES)
+    if n == 0 and not callable(mode):
         return packets
     keys = [key] if isinstance(key, str) else list(key)
     if mode == "first_n":
