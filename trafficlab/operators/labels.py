@@ -24,7 +24,7 @@ def _micros(c: Column) -> Column:
 
 
 def _interval_join(left: DataFrame, sched: DataFrame, eq: list[tuple[str, str]],
-                   cond_fn, broadcast_limit: int, lt0: str, lt1: str | None) -> DataFrame:
+                   cond_fn, broadcast_limit: int, lt0: str, lt1: str | None, how: str = "inner") -> DataFrame:
     """Join ``left`` with ``sched`` on equalities ``eq`` plus ``cond_fn``.
 
     ``lt0`` / ``lt1`` name the left interval (``lt1`` None = a point).
@@ -36,7 +36,7 @@ def _interval_join(left: DataFrame, sched: DataFrame, eq: list[tuple[str, str]],
         for lc, sc in eq:
             c = left[lc] == s[sc]
             cond = c if cond is None else cond & c
-        return left.join(s, on=cond & cond_fn(left, s), how="inner")
+        return left.join(s, on=cond & cond_fn(left, s), how=how)
     # large schedule: hour buckets on both sides, equi join, then exact check
     hour = 3_600_000_000
     sb = sched.withColumn("_h", F.explode(F.sequence(F.floor(_micros(F.col("_st0")) / hour).cast("long"),
@@ -47,8 +47,7 @@ def _interval_join(left: DataFrame, sched: DataFrame, eq: list[tuple[str, str]],
     cond = lb["_h"] == sb["_h"]
     for lc, sc in eq:
         cond = cond & (lb[lc] == sb[sc])
-    j = lb.join(sb, on=cond & cond_fn(lb, sb), how="inner").drop(lb["_h"]).drop(sb["_h"])
-    return j.dropDuplicates()
+    return lb.join(sb, on=cond & cond_fn(lb, sb), how=how).drop(lb["_h"]).drop(sb["_h"])
 
 
 def label_flows(flows: DataFrame, schedule: DataFrame, mode: str, flow_key: Sequence[str],
@@ -70,24 +69,29 @@ def label_flows(flows: DataFrame, schedule: DataFrame, mode: str, flow_key: Sequ
     if mode == "5tuplebi":
         sch = sch.unionByName(sch.select("_attack", F.col("_sdst").alias("_ssrc"), F.col("_ssrc").alias("_sdst"),
                                          "_st0", "_st1", "_prio"))
+    cols = flows.columns
     if mode in ("5tuple", "5tuplebi"):
-        left = flows.select(*keys, F.col(src).alias("_src"), F.col(dst).alias("_dst"), F.col(start).alias("_t"))
+        left = flows.select(*cols, F.col(src).alias("_src"), F.col(dst).alias("_dst"), F.col(start).alias("_t"))
         eq = [("_src", "_ssrc"), ("_dst", "_sdst")]
 
         def cond(l, s):
             return (l["_t"] >= s["_st0"]) & (l["_t"] < s["_st1"])
-        m = _interval_join(left, sch, eq, cond, broadcast_limit, "_t", None)
+        m = _interval_join(left, sch, eq, cond, broadcast_limit, "_t", None, how="left")
     elif mode == "AGM":
-        left = flows.select(*keys, F.col(src).alias("_src"), F.col(start).alias("_t"), F.col(end).alias("_t1"))
+        left = flows.select(*cols, F.col(src).alias("_src"), F.col(start).alias("_t"), F.col(end).alias("_t1"))
         eq = [("_src", "_ssrc")]
 
         def cond(l, s):
             return (l["_t"] < s["_st1"]) & (l["_t1"] > s["_st0"])
-        m = _interval_join(left, sch, eq, cond, broadcast_limit, "_t", "_t1")
+        m = _interval_join(left, sch, eq, cond, broadcast_limit, "_t", "_t1", how="left")
     else:
         raise ValueError(f"unknown labeling mode {mode!r}")
-    best = m.groupBy(*[F.col(k) for k in keys]).agg(F.min(F.struct("_prio", "_attack")).alias("_m"))
-    out = flows.join(best, on=keys, how="left")
+    # one pass: every flow row with its matches (usually 0 or 1), reduced per
+    # flow to the best match; the flow table is evaluated once
+    best = F.min(F.when(F.col("_attack").isNotNull(), F.struct("_prio", "_attack")))
+    out = m.groupBy(*[F.col(k) for k in keys]).agg(
+        *[F.any_value(c).alias(c) for c in cols if c not in keys], best.alias("_m"))
+    out = out.select(*cols, "_m")
     return out.withColumn("Attack", F.coalesce(F.col("_m._attack"), F.lit(NORMAL))) \
               .withColumn("Label", F.when(F.col("_m").isNotNull(), F.lit(1)).otherwise(F.lit(0))) \
               .drop("_m")

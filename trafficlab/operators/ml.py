@@ -16,11 +16,24 @@ MAX_DEPTH = 30
 
 def fit_forest(df: DataFrame, features: str = "features", label: str = "label",
                num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = 1):
-    """H1: distributed random forest (sqrt features per split)."""
+    """H1: distributed random forest (sqrt features per split).
+
+    Deep trees make many passes over the training set: node ids are cached
+    between levels (checkpointed every 10 levels to the shared checkpoint
+    folder) and a training set with fewer partitions than cores is spread
+    over them first."""
     from pyspark.ml.classification import RandomForestClassifier
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    cores = spark.sparkContext.defaultParallelism
+    data = df.select(features, label)
+    if data.rdd.getNumPartitions() < cores:
+        data = data.repartition(cores)
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
-                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
-    return rf.fit(df)
+                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
+                                cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
+    return rf.fit(data)
 
 
 def predict(model, df: DataFrame, out: str = "prediction") -> DataFrame:

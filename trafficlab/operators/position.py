@@ -89,29 +89,17 @@ def _sample_bounds(df: DataFrame, enc: list[Column], n_buckets: int) -> list[tup
     return out
 
 
-def _less(key: list[Column], bound: tuple) -> Column:
-    """Lexicographic ``key < bound`` with NULL sorted first."""
-    cond = F.lit(False)
-    eq = F.lit(True)
-    for c, v in zip(key, bound):
-        if v is None:
-            lt = F.lit(False)
-            same = c.isNull()
-        else:
-            lt = c.isNull() | (c < F.lit(v))
-            same = c.isNotNull() & (c == F.lit(v))
-        cond = cond | (eq & lt)
-        eq = eq & same
-    return cond
-
-
-def bucket_expr(enc: list[Column], bounds: list[tuple]) -> Column:
-    """Bucket number (0..len(bounds)) by binary search over literal bounds."""
+def bucket_expr(key: Column, bounds: list[tuple], types: list[T.DataType]) -> Column:
+    """Bucket number (0..len(bounds)) of the struct ``key`` by binary search
+    over literal bound structs (struct order: field by field, NULL first)."""
+    lits = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))])
+            for b in bounds]
+
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(_less(enc, bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(key < lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
     return tree(0, len(bounds)).cast("int")
 
 
@@ -123,10 +111,12 @@ def bucketize(df: DataFrame, cols: Sequence[str], num_buckets: int | None = None
     follows (e.g. flow key + session + direction, ordered by time) can
     reuse the same bucket column, and with it the same shuffle."""
     n_b = int(num_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    enc = [_comparable(df, c) for c in cols]
+    enc = [_comparable(df, c).alias(f"k{i}") for i, c in enumerate(cols)]
     if bounds is None:
         bounds = _sample_bounds(df, enc, n_b)
-    return df.withColumn(_B, bucket_expr(enc, bounds))
+    keyed = df.withColumn("_tl_key", F.struct(*enc))
+    types = [f.dataType for f in keyed.schema["_tl_key"].dataType.fields]
+    return keyed.withColumn(_B, bucket_expr(F.col("_tl_key"), bounds, types)).drop("_tl_key")
 
 
 def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[str] | str,
