@@ -38,6 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_PER_BUCKET = 64
+# The bucket tree is one SQL expression; beyond a few thousand bounds its
+# size (not its log2 depth) starts to cost, so the default is capped.
+MAX_DEFAULT_BUCKETS = 4096
 _B = "_tl_bucket"
 _INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)
 
@@ -89,18 +92,32 @@ def _sample_bounds(df: DataFrame, enc: list[Column], n_buckets: int) -> list[tup
     return out
 
 
-def bucket_expr(key: Column, bounds: list[tuple], types: list[T.DataType]) -> Column:
-    """Bucket number (0..len(bounds)) of the struct ``key`` by binary search
-    over literal bound structs (struct order: field by field, NULL first)."""
-    lits = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))])
+def _sql_literal(v, t: T.DataType) -> str:
+    type_name = t.simpleString()
+    if v is None:
+        return f"CAST(NULL AS {type_name})"
+    if isinstance(v, str):
+        esc = v.replace("\\", "\\\\").replace("'", "\\'")
+        return f"CAST('{esc}' AS {type_name})"
+    if isinstance(v, float):
+        return f"CAST('{repr(v)}' AS {type_name})"
+    return f"CAST({int(v)} AS {type_name})"
+
+
+def bucket_expr(key: str, bounds: list[tuple], types: list[T.DataType]) -> Column:
+    """Bucket number (0..len(bounds)) of the struct column ``key`` by binary
+    search over literal bound structs (struct order: field by field, NULL
+    first).  Built as one SQL expression, so thousands of bounds cost one
+    parse, and the tree is log2(bounds) comparisons deep."""
+    lits = ["named_struct(" + ", ".join(f"'k{i}', {_sql_literal(v, t)}" for i, (v, t) in enumerate(zip(b, types))) + ")"
             for b in bounds]
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(key < lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return tree(0, len(bounds)).cast("int")
+        return f"CASE WHEN `{key}` < {lits[mid]} THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
+    return F.expr(f"CAST({tree(0, len(bounds))} AS INT)")
 
 
 def bucketize(df: DataFrame, cols: Sequence[str], num_buckets: int | None = None,
@@ -110,13 +127,13 @@ def bucketize(df: DataFrame, cols: Sequence[str], num_buckets: int | None = None
     Scans whose keys refine the leading bucket columns and whose order
     follows (e.g. flow key + session + direction, ordered by time) can
     reuse the same bucket column, and with it the same shuffle."""
-    n_b = int(num_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_b = int(num_buckets or min(MAX_DEFAULT_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     enc = [_comparable(df, c).alias(f"k{i}") for i, c in enumerate(cols)]
     if bounds is None:
         bounds = _sample_bounds(df, enc, n_b)
     keyed = df.withColumn("_tl_key", F.struct(*enc))
     types = [f.dataType for f in keyed.schema["_tl_key"].dataType.fields]
-    return keyed.withColumn(_B, bucket_expr(F.col("_tl_key"), bounds, types)).drop("_tl_key")
+    return keyed.withColumn(_B, bucket_expr("_tl_key", bounds, types)).drop("_tl_key")
 
 
 def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[str] | str,
