@@ -191,7 +191,12 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
         piece_aggs += [F.min(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
                                       F.col(gap_session[1]).alias("_t"))).alias("_first"),
                        F.sum("_tl_gstart").alias("_gst")]
-    pieces = (rows if gap_session else d).groupBy(_B, *keys).agg(*piece_aggs)
+    # Referencing every input column keeps the summary branch's subtree
+    # identical to the row branch's, so Spark reuses the exchanges below it
+    # instead of shuffling the rows a second time.
+    src = rows if gap_session else d
+    piece_aggs.append(F.max(F.xxhash64(*[F.col(f"`{c}`") for c in d.columns])).alias("_tl_keep"))
+    pieces = src.groupBy(_B, *keys).agg(*piece_aggs)
     wk = Window.partitionBy(*keys).orderBy(_B)   # pieces of one key: <= num_buckets rows
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
     off = {"_has_prev": F.lag(F.lit(1), 1).over(wk).isNotNull(),
