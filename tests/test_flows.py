@@ -52,3 +52,16 @@ def test_flow_counts_add_up(spark):
     v = FW.caia_vector(p, 6 * 3600)
     tot = v.agg(F.sum("count(packetTotalCount,forward)") + F.sum("count(packetTotalCount,backward)")).first()[0]
     assert tot == p.count()
+
+
+def test_agm_timeouts_reduce_to_windows(spark):
+    """With timeouts longer than the window, the cut changes nothing."""
+    from trafficlab.sources.tables import pkt_user
+    from tests.conftest import SF001
+    p = pkt_user(spark, SF001)
+    plain = {tuple(r) for r in FW.agm_vector(p, 86400).collect()}
+    cut = FW.agm_vector(p, 86400, idle_seconds=10 * 86400, active_seconds=20 * 86400)
+    assert {tuple(r) for r in cut.collect()} == plain
+    # a short idle timeout splits flows: never fewer flows than windows
+    short = FW.agm_vector(p, 86400, idle_seconds=3600)
+    assert short.count() >= len(plain)

@@ -42,6 +42,17 @@ COUNTERS = {"packetTotalCount": "", "tcpSynTotalCount": "S", "tcpAckTotalCount":
             "tcpFinTotalCount": "F", "_tcpCwrTotalCount": "C"}
 
 
+# User flow functions for unidirectional specs.  A function receives the
+# distinct values of the attribute in the flow and their counts (both
+# NULL outside the attribute) and returns an aggregate Column.
+USER_FUNCTIONS: dict[str, Any] = {}
+
+
+def register_flow_function(name: str, fn) -> None:
+    """Make ``{"<name>": [attribute]}`` usable in a spec."""
+    USER_FUNCTIONS[name] = fn
+
+
 @dataclass
 class FlowSpec:
     features: list[Any]
@@ -148,6 +159,8 @@ def _unidirectional(packets: DataFrame, spec: FlowSpec, window_seconds: int) ->
             s2 = F.sum(F.when(on, val * val * F.col("c")))
             var = F.try_divide(s2 - s1 * s1 / n, n - 1)
             aggs.append(F.when(n == 1, F.lit(0.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias(name))
+        elif fn in USER_FUNCTIONS:
+            aggs.append(USER_FUNCTIONS[fn](F.when(on, val), F.when(on, F.col("c"))).alias(name))
         else:
             raise ValueError(f"unsupported function {fn!r} in a unidirectional spec")
     grouped = lvl1.groupBy(*fkeys).agg(*aggs) if items else lvl1

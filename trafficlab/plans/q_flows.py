@@ -299,3 +299,20 @@ def q_active_sessions(spark, sf):
     a = FW.active_timeout(p, FW.FIVE_TUPLE, IDLE_S, ACTIVE_S)
     return a.groupBy(*FW.FIVE_TUPLE, "session", "subflow").agg(
         F.count(F.lit(1)).alias("packets"), F.min("ts").alias("flow_start"), F.max("ts").alias("flow_end"))
+
+
+AGM_IDLE_S = 12 * 3600
+
+
+@register("agm_idle_flows", with_views("pkt_user") + f"""
+, w AS (SELECT *, CAST(floor(epoch_us(ts) / {_WIN_US}) AS BIGINT) AS win FROM pkt_user),
+lg AS (SELECT *, lag(ts) OVER (PARTITION BY src, win ORDER BY ts, packet_no) AS prev_ts FROM w),
+se AS (SELECT *, CAST(sum(CASE WHEN prev_ts IS NULL OR epoch_us(ts) - epoch_us(prev_ts) > {AGM_IDLE_S * 1_000_000} THEN 1 ELSE 0 END)
+         OVER (PARTITION BY src, win ORDER BY ts, packet_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - 1 AS session FROM lg)
+SELECT src, win, session, (epoch_us(min(ts)) // 1000) AS flowStartMilliseconds, count(*) AS packetTotalCount,
+       CAST(sum(octets) AS BIGINT) AS octetTotalCount FROM se GROUP BY src, win, session""".replace("\\n, w AS", ",\\nw AS"))
+def q_agm_idle_flows(spark, sf):
+    f = FW.agm_flow_id(pkt_user(spark, sf), WINDOW_S, idle_seconds=AGM_IDLE_S)
+    return f.groupBy("src", "win", "session").agg(
+        F.unix_millis(F.min("ts").cast("timestamp")).alias("flowStartMilliseconds"),
+        F.count(F.lit(1)).alias("packetTotalCount"), F.sum("octets").cast("long").alias("octetTotalCount"))
