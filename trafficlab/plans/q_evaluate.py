@@ -21,7 +21,7 @@ runs AS (SELECT run_id, file, vector, mode, steps, CASE WHEN mode < 5 THEN 'flow
                 file || '_mode' || mode || '_vector' || vector || '_steps' || steps || '_' ||
                   (CASE WHEN mode < 5 THEN 'flowsampling' ELSE 'packetsampling' END) AS folder,
                 CASE WHEN vector IN (4, 5) THEN 'CAIA' ELSE 'AGM' END AS family FROM runs2),
-marks AS (SELECT user_id AS run_id, epoch_us(ts) / 1e6 AS epochtime, 'Preprocessing.py' AS script, event_type AS segment,
+marks AS (SELECT user_id AS run_id, epoch_us(ts) / 1e6 AS epochtime, 'classify' AS script, event_type AS segment,
                  CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS status FROM events),
 res AS (SELECT user_id AS run_id, epoch_us(ts) / 1e6 + 0.5 AS epoch, value * 1e6 AS used, 16e9 AS total FROM events),
 rep AS (SELECT user_id AS run_id, count(*) FILTER (WHERE event_type = 'error' AND value > 25) AS tp,

@@ -58,7 +58,7 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("user_id").alias("run_id"),
                      (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("epochtime"),
-                     F.lit("Preprocessing.py").alias("script"),
+                     F.lit("classify").alias("script"),
                      F.col("event_type").alias("segment"),
                      F.when(F.col("event_id") % 2 == 0, F.lit("start")).otherwise(F.lit("end")).alias("status"))
 
