@@ -42,3 +42,12 @@ def array_stats(arr: Column) -> dict[str, Column]:
         "mean": F.try_divide(total, F.size(arr).cast("double")),
         "distinct": F.size(F.array_distinct(arr)).cast("long"),
     }
+
+
+def array_mode(arr: Column) -> dict[str, Column]:
+    """Mode (tie -> smallest), modeCount and distinct of a numeric array,
+    with higher-order functions on the array itself (no explode)."""
+    vals = F.array_distinct(arr)
+    counted = F.transform(vals, lambda v: F.struct(F.size(F.filter(arr, lambda x: x == v)).alias("c"), (-v).alias("nv"), v.alias("v")))
+    best = F.array_max(counted)
+    return {"mode": best["v"], "modeCount": best["c"].cast("long"), "distinct": F.size(vals).cast("long")}

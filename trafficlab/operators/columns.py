@@ -36,3 +36,21 @@ def drop_constant_columns(df: DataFrame) -> DataFrame:
     """Drop the constant columns (the profile is one row per column)."""
     drop = [r["column"] for r in constant_profile(df).collect() if r["dropped"]]
     return df.drop(*drop)
+
+
+def rename_features(df: DataFrame, mapping: dict[str, str] | None = None, replace: tuple[str, str] | None = None) -> DataFrame:
+    """B2: bulk rename by a map, or by a string replacement in every name."""
+    m = dict(mapping or {})
+    if replace:
+        old, new = replace
+        m.update({c: c.replace(old, new) for c in df.columns if old in c})
+    return df.withColumnsRenamed(m)
+
+
+def project_vector(df: DataFrame, family: str) -> DataFrame:
+    """The fixed ordered projection of a feature vector ('AGM' / 'CAIA'),
+    keeping ``Attack`` and ``Label`` (last) when present."""
+    from ..schema import AGM_ORDER, CAIA_ORDER
+    order = AGM_ORDER if family.upper() == "AGM" else CAIA_ORDER
+    tail = [c for c in ("Attack", "Label") if c in df.columns]
+    return df.select(*[F.col(f"`{c}`") for c in order + tail])
