@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.flags import FLAG_LETTERS, flag_combo, flag_mode_letters
+from ..functions.flags import flag_combo, flag_mode_letters
 from ..functions.stats import stdev0
 from ..schema import AGM_ATTR_SOURCE, AGM_NUMERIC, AGM_ORDER, CAIA_ORDER
 from .position import keyed_scan

@@ -13,7 +13,7 @@ from ..schema import CAIA_ORDER
 from ..sources.tables import pkt_pair, table
 from .oracle_views import ORDER_SORT as SQL_ORDER_SORT
 from .oracle_views import with_views
-from .q_flows import ACC_SQL, IDLE_S, _accumulated, _caia_sql
+from .q_flows import IDLE_S, _accumulated, _caia_sql
 from .registry import register, round_doubles
 
 LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -87,11 +87,11 @@ _FLOWKEY = ["flowStartMilliseconds", "sourceIPAddress", "destinationIPAddress",
 
 
 def _caia_subset(cols):
+    """The CAIA oracle with an outer projection onto ``cols``."""
     sql = _caia_sql()
-    head, tail = sql.rsplit("\nSELECT ", 1) if "\nSELECT " in sql else sql.rsplit("SELECT ", 1)
+    head, body = sql.rsplit("SELECT ", 1)
     quoted = ", ".join(f'"{c}"' for c in _FLOWKEY + cols)
-    return f"{sql.rsplit(' FROM agg JOIN', 1)[0].rsplit('SELECT ', 1)[0]}SELECT {quoted} FROM (SELECT " + \
-        sql.rsplit("SELECT ", 1)[1] + ")"
+    return f"{head}SELECT {quoted} FROM (SELECT {body})"
 
 
 @register("caia_counts", _caia_subset(_COUNT_COLS))
