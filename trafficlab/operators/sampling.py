@@ -81,7 +81,7 @@ def sample_flow(packets: DataFrame, key: Sequence[str] | str, mode, n: int,
         # filter on the rank itself so Catalyst infers the group limit
         return (packets.withColumn("_rn", F.row_number().over(w))
                 .where(F.col("_rn") <= n)
-                .withColumn(pos_col, F.col("_rn") - 1).drop("_rn"))
+                .withColumn(pos_col, (F.col("_rn") - 1).cast("long")).drop("_rn"))
     positioned = keyed_position(packets, keys, list(order), pos_col, num_partitions)
     return positioned.where(keep_predicate(F.col(pos_col), mode, n))
 
@@ -223,7 +223,7 @@ def with_chunk_id(df: DataFrame, order: Sequence[str], chunk_rows: int = 100_000
 
 def truncate_payload(df: DataFrame, col: str, keep: int = 127) -> DataFrame:
     """Keep the first ``keep`` characters of the payload column."""
-    return df.withColumn("orig_len", F.length(col)).withColumn(col, F.substring(col, 1, keep))
+    return df.withColumn("orig_len", F.length(col).cast("long")).withColumn(col, F.substring(col, 1, keep))
 
 
 def union_captures(parts: Sequence[DataFrame]) -> DataFrame:
