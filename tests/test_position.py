@@ -50,3 +50,21 @@ def test_gap_sessions_boundary(spark):
     for b in (1, 2, 4):
         out = keyed_scan(df, ["k"], ["ts", "n"], pos_col=None, gap_session=("s", "ts", 300), num_buckets=b)
         assert [r.s for r in out.orderBy("n").collect()] == [0, 0, 0, 1]
+
+
+def test_nan_and_null_order_values(spark):
+    rows = [("k", float(i) if i % 7 else float("nan"), i) for i in range(200)] + [("k", None, 1000 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, x double, n long")
+    out = keyed_scan(df, ["k"], ["x", "n"], num_buckets=6)
+    ref = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("x", "n")) - 1)
+    j = out.join(ref, on=["k", "n"])
+    assert j.count() == 205 and j.where(F.col("pos") != F.col("r")).count() == 0
+
+
+def test_hot_key_is_split(spark):
+    from trafficlab.operators.position import bucketize
+    rows = [("hot", i) for i in range(3000)] + [(f"k{i}", i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    b = bucketize(df, ["k", "t"], 12)
+    biggest = b.where(F.col("k") == "hot").groupBy("_tl_bucket").count().agg(F.max("count")).first()[0]
+    assert biggest < 3000 / 2   # the hot key spreads over several buckets

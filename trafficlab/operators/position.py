@@ -31,6 +31,7 @@ column.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,6 +70,21 @@ def _comparable(df: DataFrame, name: str) -> Column:
     return c
 
 
+def _spark_order_key(t: tuple) -> tuple:
+    """Python sort key equal to Spark's ascending order: NULL first, NaN
+    after every other double.  The bounds must be sorted exactly as Spark
+    compares rows, or the bucket would not grow with the order."""
+    out = []
+    for v in t:
+        if v is None:
+            out.append((0, 0, 0))
+        elif isinstance(v, float) and math.isnan(v):
+            out.append((1, 1, 0))
+        else:
+            out.append((1, 0, v))
+    return tuple(out)
+
+
 def _sample_bounds(df: DataFrame, enc: list[Column], n_buckets: int) -> list[tuple]:
     """Driver-side: at most ``n_buckets - 1`` bounds from a bounded sample."""
     if n_buckets <= 1:
@@ -81,7 +97,7 @@ def _sample_bounds(df: DataFrame, enc: list[Column], n_buckets: int) -> list[tup
     rows = (df.select(*[e.alias(f"_k{i}") for i, e in enumerate(enc)])
             .sample(withReplacement=False, fraction=frac, seed=20240101)
             .limit(2 * want).collect())
-    keys = sorted((tuple(r) for r in rows), key=lambda t: tuple((v is not None, v) for v in t))
+    keys = sorted((tuple(r) for r in rows), key=_spark_order_key)
     if not keys:
         return []
     out = []
