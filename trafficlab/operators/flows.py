@@ -66,25 +66,42 @@ def with_ipt(packets: DataFrame, keys: Sequence[str], order: Sequence[str] = PAC
 
 
 def caia_vector(packets: DataFrame, idle_seconds: float = 300,
-                num_buckets: int | None = None) -> DataFrame:
+                num_buckets: int | None = None, flow_sampling: tuple | None = None) -> DataFrame:
     """bidirectional 5-tuple flows cut by the idle timeout -> 34 columns.
 
     Forward is the orientation of the flow's first packet.  Per direction:
     packet, octet, SYN, ACK, FIN, CWR counts (0 when the direction is absent)
     and min / mean / max / stdev (N-1, one value -> 0, absent -> NULL) of the
     IP total length and of the inter-packet time.
+
+    ``flow_sampling = (mode, n)`` samples each direction of each flow by
+    packet position (modes 1-4, C6) after the flows and inter-packet times
+    are built from all packets; counts and statistics then use the kept
+    packets, the flow start and addresses the whole flow.
     """
     keyed = with_canonical_key(packets)
     # one bucketing of (5-tuple, time) serves both scans: sessions, then the
     # per-direction inter-packet time inside each session
     sess = sessionize(keyed, FIVE_TUPLE, idle_seconds, num_buckets=num_buckets, keep_bucket=True)
     fkey = FIVE_TUPLE + ["session"]
-    ipt = with_ipt(sess, fkey + ["a_side"], num_buckets=num_buckets)
+    if flow_sampling is None:
+        ipt = with_ipt(sess, fkey + ["a_side"], num_buckets=num_buckets)
+        keep = F.lit(True)
+    else:
+        from .sampling import keep_predicate
+        mode, n = flow_sampling
+        from .sampling import FLOW_MODES
+        mode = FLOW_MODES.get(mode, mode) if isinstance(mode, int) else mode
+        # positions inside (flow, direction) in the same scan as the IPT
+        lagged = keyed_scan(sess, fkey + ["a_side"], PACKET_ORDER, pos_col="_dpos",
+                            lags={"_prev_ts": "ts"}, num_buckets=num_buckets)
+        ipt = lagged.withColumn("ipt", (_micros(F.col("ts")) - _micros(F.col("_prev_ts"))) / F.lit(1_000_000.0))
+        keep = keep_predicate(F.col("_dpos"), mode, n)
     f = F.col("flags")
     aggs = [
         F.min(F.struct("ts", "packet_no", "src", "dst", "sport", "dport", "a_side")).alias("_first"),
     ]
-    for side, cond in (("a", F.col("a_side")), ("b", ~F.col("a_side"))):
+    for side, cond in (("a", F.col("a_side") & keep), ("b", ~F.col("a_side") & keep)):
         def on(x, cond=cond):
             return F.when(cond, x)
         aggs += [
@@ -142,7 +159,7 @@ def agm_flow_keys(flows: DataFrame) -> list[str]:
     return [c for c in ("src", "win", "session", "subflow") if c in flows.columns]
 
 
-def agm_long_counts(packets: DataFrame, flow_cols: Sequence[str]) -> DataFrame:
+def agm_long_counts(packets: DataFrame, flow_cols: Sequence[str], keep: Column | None = None) -> DataFrame:
     """Level 1 of the AGM aggregate: (flow, attribute, value) -> count.
 
     The packet table is unpivoted to one row per (packet, attribute) and
@@ -155,15 +172,16 @@ def agm_long_counts(packets: DataFrame, flow_cols: Sequence[str]) -> DataFrame:
                     F.col("dst").alias("s")),
            F.struct(F.lit("_tcpFlags").alias("attr"), F.lit(None).cast("long").alias("v"),
                     flag_combo(F.col("flags")).alias("s"))]
-    long = packets.select(*flow_cols, "ts", "packet_no", F.explode(F.array(*num, *txt)).alias("x"))
+    keep = F.lit(True) if keep is None else keep
+    long = packets.select(*flow_cols, "ts", "packet_no", keep.alias("_keep"), F.explode(F.array(*num, *txt)).alias("x"))
     return (long.groupBy(*flow_cols, F.col("x.attr").alias("attr"), F.col("x.v").alias("v"),
                          F.col("x.s").alias("s"))
-            .agg(F.count(F.lit(1)).alias("c"), F.min("ts").alias("t0"),
-                 F.min(F.struct("ts", "packet_no")).alias("first_seen")))
+            .agg(F.count(F.when(F.col("_keep"), 1)).alias("c"), F.min("ts").alias("t0"),
+                 F.min(F.when(F.col("_keep"), F.struct("ts", "packet_no"))).alias("first_seen")))
 
 
 def agm_vector(packets: DataFrame, window_seconds: int = 10, idle_seconds: float | None = None,
-               active_seconds: float | None = None) -> DataFrame:
+               active_seconds: float | None = None, flow_sampling: tuple | None = None) -> DataFrame:
     """AGM vector (31 columns) per source address and time window.
 
     Numeric mode ties go to the smallest value; the flag letters follow the
@@ -171,21 +189,33 @@ def agm_vector(packets: DataFrame, window_seconds: int = 10, idle_seconds: float
     """
     flows = agm_flow_id(packets, window_seconds, idle_seconds, active_seconds)
     fkeys = agm_flow_keys(flows)
-    lvl1 = agm_long_counts(flows, fkeys)
+    keep = None
+    if flow_sampling is not None:
+        # per-flow sampling of the accumulated packets (flow-sampled AGM):
+        # the flow start stays the first packet of the whole flow
+        from .sampling import FLOW_MODES, keep_predicate
+        mode, n = flow_sampling
+        mode = FLOW_MODES.get(mode, mode) if isinstance(mode, int) else mode
+        flows = keyed_scan(flows, fkeys, PACKET_ORDER, pos_col="_fpos")
+        keep = keep_predicate(F.col("_fpos"), mode, n)
+    lvl1 = agm_long_counts(flows, fkeys, keep)
+    # values seen only in dropped packets have c = 0: they count for the
+    # flow start (t0) but not for distinct / mode / modeCount
+    present = F.col("c") > 0
     attr = F.col("attr")
     aggs = [F.min("t0").alias("_t0"),
             F.sum(F.when(attr == "protocolIdentifier", F.col("c"))).cast("long").alias("packetTotalCount")]
     for a in AGM_NUMERIC:
-        on = attr == a
+        on = (attr == a) & present
         aggs += [
             F.count(F.when(on, 1)).alias(f"distinct({a})"),
             F.max_by(F.when(on, F.col("v")), F.when(on, F.struct(F.col("c"), -F.col("v")))).alias(f"mode({a})"),
             F.max(F.when(on, F.col("c"))).alias(f"modeCount({a})"),
         ]
-    on = attr == "destinationIPAddress"
+    on = (attr == "destinationIPAddress") & present
     aggs += [F.count(F.when(on, 1)).alias("distinct(destinationIPAddress)"),
              F.max(F.when(on, F.col("c"))).alias("modeCount(destinationIPAddress)")]
-    on = attr == "_tcpFlags"
+    on = (attr == "_tcpFlags") & present
     aggs += [F.count(F.when(on, 1)).alias("distinct(_tcpFlags)"),
              F.max(F.when(on, F.col("c"))).alias("modeCount(_tcpFlags)"),
              F.collect_list(F.when(on, F.struct(F.col("c"), F.col("s").alias("combo")))).alias("_combos")]

@@ -69,8 +69,9 @@ def q_inter_packet_time(spark, sf):
     return round_doubles(FW.with_ipt(pkt_user(spark, sf), ["src"]).select("packet_no", "src", "ipt"))
 
 
-def _caia_sql() -> str:
-    sides = {"a": "a_side", "b": "NOT a_side"}
+def _caia_sql(keep_sql: str | None = None) -> str:
+    keep = f" AND ({keep_sql})" if keep_sql else ""
+    sides = {"a": "a_side" + keep, "b": "NOT a_side" + keep}
     aggs = []
     for s, cond in sides.items():
         aggs += [
@@ -90,7 +91,8 @@ def _caia_sql() -> str:
                 f"THEN stddev_samp({col}) FILTER (WHERE {cond}) END AS {s}_stdev_{stat}",
             ]
     extra = KEYED_SQL + f""",
-ipts AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY {KEY5}, session, a_side ORDER BY ts, packet_no))) / 1000000.0 AS ipt FROM sess),
+ipts AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY {KEY5}, session, a_side ORDER BY ts, packet_no))) / 1000000.0 AS ipt,
+         row_number() OVER (PARTITION BY {KEY5}, session, a_side ORDER BY ts, packet_no) - 1 AS dpos FROM sess),
 firsts AS (SELECT {KEY5}, session, ts AS f_ts, src AS f_src, dst AS f_dst, sport AS f_sport, dport AS f_dport, a_side AS f_a FROM (
   SELECT *, row_number() OVER (PARTITION BY {KEY5}, session ORDER BY ts, packet_no) AS rn FROM sess) WHERE rn = 1),
 agg AS (SELECT {KEY5}, session, {", ".join(aggs)} FROM ipts GROUP BY {KEY5}, session)"""
@@ -116,13 +118,19 @@ def q_caia_vector(spark, sf):
 _AGM_NUM = {"sourceTransportPort": "sport", "destinationTransportPort": "dport",
             "protocolIdentifier": "proto", "ipTTL": "ttl", "octetTotalCount": "octets"}
 
-AGM_BASE_SQL = f"""
+def agm_base_sql(keep_sql: str | None = None) -> str:
+    """AGM level-1 CTEs; ``keep_sql`` (on ``fpos``) samples each flow's packets."""
+    kept = f"(SELECT * FROM f WHERE {keep_sql})" if keep_sql else "f"
+    return f"""
 f AS (SELECT src, CAST(floor(epoch_us(ts) / {_WIN_US}) AS BIGINT) AS win, ts, packet_no, sport, dport, proto, ttl, octets, dst,
-      CASE WHEN flags IS NULL OR flags = '' THEN '0' ELSE flags END AS combo FROM pkt_user),
+      CASE WHEN flags IS NULL OR flags = '' THEN '0' ELSE flags END AS combo,
+      row_number() OVER (PARTITION BY src, CAST(floor(epoch_us(ts) / {_WIN_US}) AS BIGINT) ORDER BY ts, packet_no) - 1 AS fpos
+      FROM pkt_user),
+t0s AS (SELECT src, win, min(ts) AS t0 FROM f GROUP BY src, win),
 long AS ({" UNION ALL ".join(
-    [f"SELECT src, win, '{a}' AS attr, {c} AS v, CAST(NULL AS VARCHAR) AS s, ts, packet_no FROM f" for a, c in _AGM_NUM.items()]
-    + ["SELECT src, win, 'destinationIPAddress', CAST(NULL AS BIGINT), dst, ts, packet_no FROM f",
-       "SELECT src, win, '_tcpFlags', CAST(NULL AS BIGINT), combo, ts, packet_no FROM f"])}),
+    [f"SELECT src, win, '{a}' AS attr, {c} AS v, CAST(NULL AS VARCHAR) AS s, ts, packet_no FROM {kept}" for a, c in _AGM_NUM.items()]
+    + [f"SELECT src, win, 'destinationIPAddress', CAST(NULL AS BIGINT), dst, ts, packet_no FROM {kept}",
+       f"SELECT src, win, '_tcpFlags', CAST(NULL AS BIGINT), combo, ts, packet_no FROM {kept}"])}),
 l1 AS (SELECT src, win, attr, v, s, count(*) AS c, min(ts) AS first_ts FROM long GROUP BY src, win, attr, v, s),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src, win, attr ORDER BY c DESC, v ASC) AS rk,
                   max(c) OVER (PARTITION BY src, win, attr) AS mc FROM l1),
@@ -135,18 +143,20 @@ fl AS (SELECT z.src, z.win, z.has_zero, {", ".join(f"max(CASE WHEN lw.letter = '
        FROM zero z LEFT JOIN lw ON z.src = lw.src AND z.win = lw.win GROUP BY z.src, z.win, z.has_zero)"""
 
 
-def _agm_sql() -> str:
+AGM_BASE_SQL = agm_base_sql()
+
+
+def _agm_sql(keep_sql: str | None = None) -> str:
     lvl2 = ["src", "win", "count(*) FILTER (WHERE attr = 'protocolIdentifier') AS dummy"]
     lvl2 = ["src", "win",
-            "CAST(sum(c) FILTER (WHERE attr = 'protocolIdentifier') AS BIGINT) AS packetTotalCount",
-            "min(first_ts) AS t0"]
+            "CAST(sum(c) FILTER (WHERE attr = 'protocolIdentifier') AS BIGINT) AS packetTotalCount"]
     for a in list(_AGM_NUM) + ["destinationIPAddress", "_tcpFlags"]:
         lvl2 += [f"count(*) FILTER (WHERE attr = '{a}') AS \"distinct({a})\"",
                  f"max(c) FILTER (WHERE attr = '{a}') AS \"modeCount({a})\""]
         if a in _AGM_NUM:
             lvl2.append(f"max(v) FILTER (WHERE attr = '{a}' AND rk = 1) AS \"mode({a})\"")
-    extra = AGM_BASE_SQL + f""",
-v2 AS (SELECT {", ".join(lvl2)} FROM ranked GROUP BY src, win)"""
+    extra = agm_base_sql(keep_sql) + f""",
+v2 AS (SELECT v.*, t0s.t0 FROM (SELECT {", ".join(lvl2)} FROM ranked GROUP BY src, win) v JOIN t0s USING (src, win))"""
     sel = []
     for c in AGM_ORDER:
         if c == "flowStartMilliseconds":
@@ -316,3 +326,17 @@ def q_agm_idle_flows(spark, sf):
     return f.groupBy("src", "win", "session").agg(
         F.unix_millis(F.min("ts").cast("timestamp")).alias("flowStartMilliseconds"),
         F.count(F.lit(1)).alias("packetTotalCount"), F.sum("octets").cast("long").alias("octetTotalCount"))
+
+
+FS_CAIA = ("first_n", 9)
+FS_AGM = ("every_nth", 2)
+
+
+@register("caia_vector_flow_sampled", _caia_sql(f"dpos < {FS_CAIA[1]}"))
+def q_caia_vector_flow_sampled(spark, sf):
+    return round_doubles(FW.caia_vector(pkt_pair(spark, sf), IDLE_S, flow_sampling=FS_CAIA))
+
+
+@register("agm_vector_flow_sampled", _agm_sql(f"fpos % {FS_AGM[1]} = 0"))
+def q_agm_vector_flow_sampled(spark, sf):
+    return FW.agm_vector(pkt_user(spark, sf), WINDOW_S, flow_sampling=FS_AGM)
