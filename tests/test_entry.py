@@ -29,3 +29,17 @@ def test_small_oracle_matches(spark):
         d = con.execute(E.oracle_sql()[key]).df()
         assert len(s) == len(d), key
         assert sorted(s.columns) == sorted(d.columns), key
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    """NTZ packet times are never shifted by the session zone."""
+    from tests.conftest import SF001
+    q = E.queries()["agm_window_flows"]
+    base = {tuple(r) for r in q(spark, SF001).collect()}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        other = {tuple(r) for r in q(spark, SF001).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert base == other

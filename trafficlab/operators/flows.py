@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import flag_combo, flag_mode_letters
 from ..functions.stats import stdev0
+from ..functions.timecols import is_ntz, micros, millis
 from ..schema import AGM_ATTR_SOURCE, AGM_NUMERIC, AGM_ORDER, CAIA_ORDER
 from .position import keyed_scan
 
@@ -22,8 +23,13 @@ PACKET_ORDER = ["ts", "packet_no"]
 FIVE_TUPLE = ["a_ip", "a_port", "b_ip", "b_port", "proto"]
 
 
-def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+def _micros(ts: Column, ntz: bool = True) -> Column:
+    """Epoch microseconds (time-zone free for NTZ packet times)."""
+    return micros(ts, ntz)
+
+
+def _ntz(df: DataFrame, col: str = "ts") -> bool:
+    return is_ntz(df, col)
 
 
 def with_canonical_key(packets: DataFrame) -> DataFrame:
@@ -61,7 +67,8 @@ def with_ipt(packets: DataFrame, keys: Sequence[str], order: Sequence[str] = PAC
     the first one (Q19)."""
     lagged = keyed_scan(packets, list(keys), list(order), pos_col=None,
                         lags={"_prev_ts": ts_col}, num_buckets=num_buckets, keep_bucket=keep_bucket)
-    ipt = (_micros(F.col(ts_col)) - _micros(F.col("_prev_ts"))) / F.lit(1_000_000.0)
+    z = _ntz(packets, ts_col)
+    ipt = (_micros(F.col(ts_col), z) - _micros(F.col("_prev_ts"), z)) / F.lit(1_000_000.0)
     return lagged.withColumn(out, ipt).drop("_prev_ts")
 
 
@@ -95,7 +102,8 @@ def caia_vector(packets: DataFrame, idle_seconds: float = 300,
         # positions inside (flow, direction) in the same scan as the IPT
         lagged = keyed_scan(sess, fkey + ["a_side"], PACKET_ORDER, pos_col="_dpos",
                             lags={"_prev_ts": "ts"}, num_buckets=num_buckets)
-        ipt = lagged.withColumn("ipt", (_micros(F.col("ts")) - _micros(F.col("_prev_ts"))) / F.lit(1_000_000.0))
+        z = _ntz(packets)
+        ipt = lagged.withColumn("ipt", (_micros(F.col("ts"), z) - _micros(F.col("_prev_ts"), z)) / F.lit(1_000_000.0))
         keep = keep_predicate(F.col("_dpos"), mode, n)
     f = F.col("flags")
     aggs = [
@@ -120,7 +128,7 @@ def caia_vector(packets: DataFrame, idle_seconds: float = 300,
     first = F.col("_first")
     fwd_is_a = first["a_side"]
     out = {
-        "flowStartMilliseconds": F.unix_millis(first["ts"].cast("timestamp")),
+        "flowStartMilliseconds": millis(first["ts"], _ntz(packets)),
         "sourceIPAddress": first["src"],
         "destinationIPAddress": first["dst"],
         "sourceTransportPort": first["sport"],
@@ -146,7 +154,7 @@ def agm_flow_id(packets: DataFrame, window_seconds: int, idle_seconds: float | N
     With ``idle_seconds`` (and ``active_seconds``) the timeouts also cut
     inside a window (the 3600 s spec: 300 s idle, 1800 s active); the flow
     key then gains ``session`` (and ``subflow``)."""
-    win = F.floor(_micros(F.col("ts")) / F.lit(window_seconds * 1_000_000)).cast("long")
+    win = F.floor(_micros(F.col("ts"), _ntz(packets)) / F.lit(window_seconds * 1_000_000)).cast("long")
     out = packets.withColumn("win", win)
     if idle_seconds is None:
         return out
@@ -221,7 +229,7 @@ def agm_vector(packets: DataFrame, window_seconds: int = 10, idle_seconds: float
              F.collect_list(F.when(on, F.struct(F.col("c"), F.col("s").alias("combo")))).alias("_combos")]
     vec = lvl1.groupBy(*fkeys).agg(*aggs)
     letters = flag_mode_letters(F.col("_combos"), F.col("modeCount(_tcpFlags)"))
-    out = {"flowStartMilliseconds": F.unix_millis(F.col("_t0").cast("timestamp")),
+    out = {"flowStartMilliseconds": millis(F.col("_t0"), _ntz(packets)),
            "sourceIPAddress": F.col("src")}
     out.update(letters)
     return vec.select(*[(out[c] if c in out else F.col(f"`{c}`")).alias(c) for c in AGM_ORDER])
@@ -231,7 +239,7 @@ def agm_window_flows(packets: DataFrame, window_seconds: int) -> DataFrame:
     """F1 + F8/F9 minimum slice: packets and octets per source and window."""
     flows = agm_flow_id(packets, window_seconds)
     return (flows.groupBy("src", "win")
-            .agg(F.unix_millis(F.min("ts").cast("timestamp")).alias("flowStartMilliseconds"),
+            .agg(millis(F.min("ts"), _ntz(packets)).alias("flowStartMilliseconds"),
                  F.count(F.lit(1)).alias("packetTotalCount"),
                  F.sum("octets").cast("long").alias("octetTotalCount")))
 
@@ -323,14 +331,15 @@ def active_timeout(packets: DataFrame, keys: Sequence[str], idle_seconds: float,
     ensure_checkpoint_dir(packets.sparkSession)
     # the session table feeds three branches: cut its lineage once
     sess = sessionize(packets, keys, idle_seconds, order=order, ts_col=ts_col, num_buckets=num_buckets).checkpoint()
-    t = _micros(F.col(ts_col))
+    z = _ntz(packets, ts_col)
+    t = _micros(F.col(ts_col), z)
     span = sess.groupBy(*sk).agg((F.max(t) - F.min(t)).alias("_span"))
     long_keys = span.where(F.col("_span") > active_us).select(*sk)
     long = sess.join(long_keys, on=sk, how="left_semi")
     short = sess.join(long_keys, on=sk, how="left_anti").withColumn("subflow", F.lit(0).cast("long"))
 
     pos = keyed_scan(long, sk, list(order), pos_col="_sp", num_buckets=num_buckets, keep_bucket=True).checkpoint()
-    tl = _micros(F.col(ts_col))
+    tl = _micros(F.col(ts_col), z)
     pk = pos.select(*sk, tl.alias("_t"), F.lit(0).alias("_kind"), F.col("_sp").alias("_p"))
     pr = pos.select(*sk, (tl + F.lit(active_us)).alias("_t"), F.lit(1).alias("_kind"), F.col("_sp").alias("_p"))
     u = pk.unionByName(pr).withColumn("_isp", (F.col("_kind") == 0).cast("long"))

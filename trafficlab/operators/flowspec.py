@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import flag_combo
 from ..functions.stats import stdev0
+from ..functions.timecols import is_ntz, millis
 from . import flows as FW
 
 SPEC_DIR = Path(__file__).resolve().parent.parent / "specs"
@@ -164,7 +165,7 @@ def _unidirectional(packets: DataFrame, spec: FlowSpec, window_seconds: int) ->
         else:
             raise ValueError(f"unsupported function {fn!r} in a unidirectional spec")
     grouped = lvl1.groupBy(*fkeys).agg(*aggs) if items else lvl1
-    plain = {"flowStartMilliseconds": F.unix_millis(F.col("_t0").cast("timestamp")),
+    plain = {"flowStartMilliseconds": millis(F.col("_t0"), is_ntz(packets, "ts")),
              "packetTotalCount": F.col("_pk").cast("long"),
              "octetTotalCount": F.col("_oc").cast("long")}
     for k, col in zip([k for k in spec.key_features if not k.startswith("__timeWindow")], keys):
@@ -209,7 +210,7 @@ def _bidirectional(packets: DataFrame, spec: FlowSpec, idle_seconds: float) -> D
     g = ipt.groupBy(*fkey).agg(*aggs)
     first = F.col("_first")
     fwd_is_a = first["a_side"]
-    plain = {"flowStartMilliseconds": F.unix_millis(first["ts"].cast("timestamp")),
+    plain = {"flowStartMilliseconds": millis(first["ts"], is_ntz(packets, "ts")),
              "sourceIPAddress": first["src"], "destinationIPAddress": first["dst"],
              "sourceTransportPort": first["sport"], "destinationTransportPort": first["dport"],
              "protocolIdentifier": F.col("proto")}

@@ -20,6 +20,7 @@ NORMAL = "Normal"
 
 
 def _micros(c: Column) -> Column:
+    # hour buckets only need a monotone, consistent epoch on both sides
     return F.unix_micros(c.cast("timestamp"))
 
 

@@ -38,6 +38,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.timecols import micros
+
 SAMPLE_PER_BUCKET = 64
 # The bucket tree is one SQL expression; beyond a few thousand bounds its
 # size (not its log2 depth) starts to cost, so the default is capped.
@@ -59,8 +61,10 @@ def _comparable(df: DataFrame, name: str) -> Column:
     values are plain literals (numbers or strings)."""
     dt = df.schema[name].dataType
     c = F.col(name)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(dt, T.TimestampNTZType):
+        return micros(c, ntz=True)
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c)
     if isinstance(dt, T.DateType):
         return F.unix_date(c)
     if isinstance(dt, T.BooleanType):
@@ -189,7 +193,8 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
         g_out, g_ts, g_sec = gap_session
         gap_us = F.lit(int(g_sec * 1_000_000))
         g_prev = F.lag(F.col(g_ts), 1).over(w)
-        local["_tl_gstart"] = F.when(g_prev.isNull() | (_micros(F.col(g_ts)) - _micros(g_prev) > gap_us), 1).otherwise(0)
+        g_ntz = isinstance(fields[g_ts], T.TimestampNTZType)
+        local["_tl_gstart"] = F.when(g_prev.isNull() | (micros(F.col(g_ts), g_ntz) - micros(g_prev, g_ntz) > gap_us), 1).otherwise(0)
     rows = d.withColumns(local)
     if gap_session:
         rows = rows.withColumn("_tl_gcum", F.sum("_tl_gstart").over(w_run))
@@ -224,7 +229,7 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
     pieces = pieces.withColumns(off)
     if gap_session:
         prev_t = F.lag(F.col("_last._v__gts"), 1).over(wk)
-        fis = F.when(prev_t.isNull() | (_micros(F.col("_first._t")) - _micros(prev_t) > gap_us), 1).otherwise(0)
+        fis = F.when(prev_t.isNull() | (micros(F.col("_first._t"), g_ntz) - micros(prev_t, g_ntz) > gap_us), 1).otherwise(0)
         pieces = pieces.withColumn("_fis", fis)
         pieces = pieces.withColumn("_true_st", F.col("_gst") - 1 + F.col("_fis"))
         pieces = pieces.withColumn("_off_sess", F.coalesce(F.sum("_true_st").over(before), F.lit(0)))
@@ -259,8 +264,6 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
                          *[v.alias(k) for k, v in out_cols.items()])
 
 
-def _micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
 
 
 def keyed_position(df: DataFrame, keys, order, pos_col: str = "pos",

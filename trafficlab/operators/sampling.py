@@ -146,7 +146,8 @@ def first_per_slot(packets: DataFrame, seconds: int, order: Sequence[str] = PACK
     ``min(struct(order..., row))`` is combined map-side, so a slot that holds
     a third of the capture still ships one row per map task.
     """
-    slot = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(seconds * 1_000_000))
+    from ..functions.timecols import col_micros
+    slot = F.floor(col_micros(packets, ts_col) / F.lit(seconds * 1_000_000))
     cols = packets.columns
     best = (packets.groupBy(slot.alias("slot"))
             .agg(F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],

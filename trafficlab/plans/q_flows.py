@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import flags as FL
+from ..functions.timecols import millis
 from ..operators import flows as FW
 from ..operators import sampling as S
 from ..schema import AGM_ORDER, CAIA_ORDER
@@ -324,7 +325,7 @@ SELECT src, win, session, (epoch_us(min(ts)) // 1000) AS flowStartMilliseconds,
 def q_agm_idle_flows(spark, sf):
     f = FW.agm_flow_id(pkt_user(spark, sf), WINDOW_S, idle_seconds=AGM_IDLE_S)
     return f.groupBy("src", "win", "session").agg(
-        F.unix_millis(F.min("ts").cast("timestamp")).alias("flowStartMilliseconds"),
+        millis(F.min("ts")).alias("flowStartMilliseconds"),
         F.count(F.lit(1)).alias("packetTotalCount"), F.sum("octets").cast("long").alias("octetTotalCount"))
 
 

@@ -135,8 +135,8 @@ def q_experiment_report(spark, sf):
     flows = vec.withColumn("flow_start", F.col("flowStartMilliseconds"))
     key = ["sourceIPAddress", "destinationIPAddress", "sourceTransportPort", "destinationTransportPort",
            "protocolIdentifier", "flowStartMilliseconds"]
-    sched = attack_schedule(spark, sf).withColumn("t0", F.unix_millis(F.col("t0").cast("timestamp"))) \
-                                      .withColumn("t1", F.unix_millis(F.col("t1").cast("timestamp")))
+    from ..functions.timecols import millis
+    sched = attack_schedule(spark, sf).withColumn("t0", millis(F.col("t0"))).withColumn("t1", millis(F.col("t1")))
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     # several fits read the labeled vectors: cut the lineage once

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timecols import col_micros
 from ..operators import flows as FW
 from ..sources.tables import pkt_pair, pkt_user
 from ..streaming import streams as ST
@@ -23,7 +24,7 @@ def _stage(spark, df, name, copies=1):
     if copies == 1:
         ST.stage_files(df, path, "ts", SLICES)
     else:
-        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        us = col_micros(df, "ts")
         lo_us, hi_us = df.agg(F.min(us), F.max(us)).first()
         hi_us += 1
         step = (hi_us - lo_us + SLICES - 1) // SLICES

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timecols import col_micros
 from .tables import table
 
 # Vector number -> family (vectors 1-3, 6-8 are AGM; 4-5 CAIA).
@@ -57,7 +58,7 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage marks: run_id, epochtime (s), script, segment, status."""
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("user_id").alias("run_id"),
-                     (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("epochtime"),
+                     (col_micros(ev, "ts") / F.lit(1e6)).alias("epochtime"),
                      F.lit("classify").alias("script"),
                      F.col("event_type").alias("segment"),
                      F.when(F.col("event_id") % 2 == 0, F.lit("start")).otherwise(F.lit("end")).alias("status"))
@@ -67,7 +68,7 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resource samples: run_id, epoch (s), used / total (bytes)."""
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("user_id").alias("run_id"),
-                     (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) + F.lit(0.5)).alias("epoch"),
+                     (col_micros(ev, "ts") / F.lit(1e6) + F.lit(0.5)).alias("epoch"),
                      (F.col("value") * F.lit(1e6)).alias("used"),
                      F.lit(16e9).alias("total"))
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.timecols import col_micros, micros
 from ..session import scratch_path
 
 
@@ -30,7 +31,7 @@ from ..session import scratch_path
 def stage_files(df: DataFrame, path: str, slice_col: str, slices: int) -> str:
     """Write ``df`` as ``slices`` files in time order (one append each), so a
     file source sees them arrive one after the other (T1 test input)."""
-    us = F.unix_micros(F.col(slice_col).cast("timestamp"))
+    us = col_micros(df, slice_col)
     lo_us, hi_us = df.agg(F.min(us), F.max(us)).first()
     if lo_us is None:
         return path
@@ -60,9 +61,13 @@ def append_end_marker(df: DataFrame, path: str, after: str = "30 days", ts_col:
 
 def packet_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1,
                   ts_col: str = "ts") -> DataFrame:
-    """Streaming packet source; event time cast to TIMESTAMP."""
+    """Streaming packet source.  Event time must be a zoned TIMESTAMP for
+    watermarks; an NTZ wall clock is mapped to the same epoch (as UTC), not
+    through the session time zone."""
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
-    return s.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    if isinstance(schema[ts_col].dataType, T.TimestampNTZType):
+        return s.withColumn(ts_col, F.timestamp_micros(micros(F.col(ts_col), ntz=True)))
+    return s
 
 
 # ---------------------------------------------------------------- sinks
