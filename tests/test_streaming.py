@@ -63,3 +63,20 @@ def test_windowed_stream_equals_batch(spark):
     got = {(r.src, r.packets, r.octets) for r in ST.latest_rows(spark, out, ["src", "start"]).collect()}
     batch = df.groupBy("src", F.window("ts", "2 days")).agg(F.count(F.lit(1)).alias("p"), F.sum("octets").alias("o"))
     assert got == {(r.src, r.p, r.o) for r in batch.collect()}
+
+
+def test_stream_scoring_equals_batch(spark):
+    from trafficlab.operators import ml as M
+    from trafficlab.operators.prep import assemble
+    data = spark.createDataFrame([(i, float(i % 3 == 0), float(i % 7), float(i % 5)) for i in range(120)],
+                                 "vec_id long, label double, a double, b double")
+    feats = assemble(data, ["a", "b"]).select("vec_id", "label", "features")
+    model = M.fit_forest(feats, num_trees=5, max_depth=4)
+    src = scratch_path(spark, "score-in")
+    feats.write.parquet(src)
+    s = spark.readStream.schema(feats.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out, ck = scratch_path(spark, "score-out"), scratch_path(spark, "score-ck")
+    ST.run_append(ST.score_stream(model, s).select("vec_id", "prediction"), out, ck)
+    streamed = {tuple(r) for r in spark.read.parquet(out).collect()}
+    batch = {tuple(r) for r in model.transform(feats).select("vec_id", "prediction").collect()}
+    assert streamed == batch and len(batch) == 120
