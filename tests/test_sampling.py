@@ -72,3 +72,18 @@ def test_user_rule(spark):
     # Keep positions whose square is below 30 (0..5)
     out = S.sample_flow(_flow(spark, 12), "flow", lambda pos, n: pos * pos < n, 30, order=["ts", "packet_no"])
     assert sorted(r.pos for r in out.collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_n_one_is_identity_and_first_n_idempotent(spark):
+    from trafficlab.sources.tables import pkt_user, pkt_order, ORDER_SORT
+    from tests.conftest import SF001
+    p = pkt_user(spark, SF001)
+    total = p.count()
+    assert S.sample_packets(p, "every_nth", 1).count() == total
+    assert S.sample_packets(p, "srs_per_block", 1).count() == total
+    o = pkt_order(spark, SF001)
+    assert S.sample_flow(o, "l_orderkey", "every_nth", 1, order=ORDER_SORT).count() == o.count()
+    once = S.sample_flow(o, "l_orderkey", "first_n", 2, order=ORDER_SORT).drop("pos")
+    twice = S.sample_flow(once, "l_orderkey", "first_n", 2, order=ORDER_SORT).drop("pos")
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    assert {tuple(r) for r in once.select(*cols).collect()} == {tuple(r) for r in twice.select(*cols).collect()}
