@@ -68,3 +68,24 @@ def test_hot_key_is_split(spark):
     b = bucketize(df, ["k", "t"], 12)
     biggest = b.where(F.col("k") == "hot").groupBy("_tl_bucket").count().agg(F.max("count")).first()[0]
     assert biggest < 3000 / 2   # the hot key spreads over several buckets
+
+
+def test_random_layouts_match_window(spark):
+    """Random keys, skew, duplicates in a secondary column and bucket counts."""
+    from hypothesis import given, settings, strategies as st, HealthCheck
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 50)), min_size=1, max_size=120),
+           st.integers(1, 17))
+    def check(pairs, buckets):
+        rows = [(f"k{k}", t, i) for i, (k, t) in enumerate(pairs)]
+        df = spark.createDataFrame(rows, "k string, t long, n long")
+        out = keyed_scan(df, ["k"], ["t", "n"], sums={"s": "t"}, lags={"l": "n"}, num_buckets=buckets)
+        w = Window.partitionBy("k").orderBy("t", "n")
+        ref = df.select("n", (F.row_number().over(w) - 1).alias("rp"), F.lag("n").over(w).alias("rl"),
+                        F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("rs"))
+        j = out.join(ref, "n")
+        assert j.count() == len(rows)
+        assert j.where((F.col("pos") != F.col("rp")) | (F.col("s") != F.col("rs"))
+                       | ~F.col("l").eqNullSafe(F.col("rl"))).count() == 0
+    check()
