@@ -39,3 +39,11 @@ def test_no_python_udf_on_main_path(spark):
     for key in ["pkt_every_nth", "flow_decaying", "agm_vector", "caia_vector"]:
         plan = _plan(E.queries()[key](spark, SF001))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, key
+
+
+def test_session_summary_reuses_row_shuffle(spark):
+    df = E.queries()["idle_sessions"](spark, SF001)
+    df.collect()  # the collected plan is the final adaptive plan
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    assert "ReusedExchange" in plan
