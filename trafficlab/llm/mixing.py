@@ -134,10 +134,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, shards: int = 16, bloc
     """Pieces of the mix: one row per (document, copy, block), and one with a null copy for a document not taken.
 
     Columns: ``carry`` columns of ``docs`` (default: all), size, source_size,
-    target, copy, words (of the piece), full (words taken of the copy), shard,
-    shuffle_key.
+    target, copy, words (of the piece), full (words taken of the copy), head
+    (first piece of the copy), shard, shuffle_key.
     """
-    made = ["size", "source_size", "target", "copy", "words", "full", "shard", "shuffle_key"]
+    made = ["size", "source_size", "target", "copy", "words", "full", "head", "shard", "shuffle_key"]
     carry = [c for c in (carry if carry is not None else docs.columns) if c not in made]
     rows = docs.select(
         *carry, F.col("doc_id").alias(f"{P}id"), word_count("text").alias("size"), _source_key("source").alias(f"{P}key"),
@@ -189,6 +189,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, shards: int = 16, bloc
     return pieces.join(
         owner, (F.col(f"{P}key") == F.col(f"{P}okey")) & (F.col(f"{P}block") == F.col(f"{P}oblock")), "left",
     ).select(
-        *carry, "size", "source_size", "target", "copy", "words", "full", "shard",
+        *carry, "size", "source_size", "target", "copy", "words", "full",
+        (F.col(f"{P}block") == F.expr(f"{P}low div {length}")).alias("head"), "shard",
         F.md5(F.concat_ws(":", F.lit(seed + 1), F.col(f"{P}md5"), F.col("copy"), F.col(f"{P}block"))).alias("shuffle_key"),
     )
