@@ -85,8 +85,8 @@ d AS (
   FROM documents),
 c AS (
   SELECT doc_id, size::BIGINT AS size,
-    xor(list_reduce(b, lambda c, x: xor(c >> 8, (SELECT t FROM tab)[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
-  FROM d),
+    xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM d, tab),
 p AS (
   SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 ROWS UNBOUNDED PRECEDING) AS run, sum(size) OVER () AS total,
     row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32) AS rn FROM c),
