@@ -320,7 +320,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("n")), "node"), "minhash-clusters")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     wanted = sized.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
-    sets = slim.join(wanted, "doc_id").select("doc_id", "text", "component", "blocks").mapInArrow(
+    # merge: the clustered documents grow with the corpus, so they are never broadcast
+    sets = slim.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "component", "blocks").mapInArrow(
         _sets, "doc_id bigint, component bigint, blocks bigint, set binary").withColumnRenamed("doc_id", "rep")
     compared = (
         _block_pairs(sets, ["component"], "blocks").select("component", "low", "high", "rep", "set")
