@@ -378,12 +378,21 @@ class Scorer:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """At most ``rows`` labelled texts of each class that are not held out."""
-    use = (
-        docs.join(labels.select("doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic")), "doc_id")
-        .where((F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2) & (F.length("text") <= chars))
-        .select("__toxic", "text", F.xxhash64("doc_id").alias("__h"), "doc_id")
+    marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+    slim = (  # choose by id; only the chosen texts are moved
+        docs.where(F.length("text") <= chars).select("doc_id").join(marked, "doc_id")
+        .where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
+        .dropDuplicates(["doc_id"]).select("__toxic", F.xxhash64("doc_id").alias("__h"), "doc_id")
     )
-    got = [r for c in (1, 0) for r in use.where(F.col("__toxic") == c).orderBy("__h", "doc_id").limit(rows).collect()]
+    picked = [tuple(r) for c in (1, 0) for r in slim.where(F.col("__toxic") == c).orderBy("__h", "doc_id").limit(rows).collect()]
+    if not picked:
+        return [], np.zeros(0, np.float32)
+    wanted = docs.sparkSession.createDataFrame(picked, "__toxic int, __h bigint, doc_id bigint")  # at most 2 * rows
+    got = (
+        docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+        .groupBy("__toxic", "__h", "doc_id").agg(F.min("text").alias("text")).collect()
+    )
+    got.sort(key=lambda r: (-r["__toxic"], r["__h"], r["doc_id"]))
     return [r["text"] for r in got], np.array([r["__toxic"] for r in got], np.float32)
 
 
