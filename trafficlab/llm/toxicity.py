@@ -6,7 +6,7 @@ recurrent unit read a window of words; attention pools their states to one
 logit.  All overlapping windows of a text are scored, and the document's score
 is its largest window score, calibrated on documents left out of the fit.
 
-Training (numpy, on the driver) uses a bounded sample of labelled rows:
+Training (numpy, in one task) uses a bounded sample of labelled rows:
 at most ``sample_rows`` of each class, those with the smallest hash, of at
 most ``sample_chars`` characters.  The labels are per document, so a toxic document
 contributes the windows that look most toxic (first by word evidence, then by
@@ -25,6 +25,7 @@ predicted are replaced.
 from __future__ import annotations
 
 import math
+import pickle
 import string
 import zlib
 from dataclasses import dataclass
@@ -376,8 +377,8 @@ class Scorer:
         return np.where([len(d) > 0 for d in docs], made, 0.0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts of each class that are not held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame | None:
+    """At most ``rows`` labelled texts of each class that are not held out: toxic, h, doc_id, text."""
     marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     slim = (  # choose by id; only the chosen texts are moved
         docs.where(F.length("text") <= chars).select("doc_id").join(marked, "doc_id")
@@ -386,19 +387,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     )
     picked = [tuple(r) for c in (1, 0) for r in slim.where(F.col("__toxic") == c).orderBy("__h", "doc_id").limit(rows).collect()]
     if not picked:
-        return [], np.zeros(0, np.float32)
+        return None
     wanted = docs.sparkSession.createDataFrame(picked, "__toxic int, __h bigint, doc_id bigint")  # at most 2 * rows
-    got = (
+    return (
         docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-        .groupBy("__toxic", "__h", "doc_id").agg(F.min("text").alias("text")).collect()
+        .groupBy(F.col("__toxic").alias("toxic"), F.col("__h").alias("h"), "doc_id").agg(F.min("text").alias("text"))
     )
-    got.sort(key=lambda r: (-r["__toxic"], r["__h"], r["doc_id"]))
-    return [r["text"] for r in got], np.array([r["__toxic"] for r in got], np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, seed: int = 7) -> Network | None:
-    texts, y = labelled_sample(docs, labels, rows, chars)
-    return train(texts, y, seed)
+    """Train in one task on the bounded sample; the weights (a fixed size) come back to the driver."""
+    sample = labelled_sample(docs, labels, rows, chars)
+    if sample is None:
+        return None
+
+    def run(batches):
+        got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (-r["toxic"], r["h"], r["doc_id"]))
+        net = train([r["text"] for r in got], np.array([r["toxic"] for r in got], np.float32), seed) if got else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
 
 
 def score(docs: DataFrame, net: Network | None, carry: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
