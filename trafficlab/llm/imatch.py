@@ -9,8 +9,8 @@
 3. A document's distinct terms in the lexicon are sorted, and for each of
    ``SUBSETS`` random subsets of the lexicon those that fall into it are hashed
    together.  A subset's density halves with each level; a document uses the
-   two levels at which a subset holds one or two of its terms on average, so
-   that long and short texts are equally sensitive.  A document without any
+   two levels at which a subset holds about one of its terms, and half as many,
+   so that long and short texts are equally sensitive.  A document without any
    lexicon term uses all its terms.
 
 The likeness of two fingerprints is the share of equal hashes among the
@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import default_partitions, drop_staged, mix64, staged
 
 LOW, HIGH = 0.0002, 0.2
-SUBSETS = 32
+SUBSETS = 64
 EDGES = string.punctuation + "«»“”„‘’…–—¿¡·©"
 #: Most lexicon terms that are broadcast (8 bytes each): the bound of LOW for 2,000 distinct terms a document.
 MOST_TERMS = 10_000_000
-_SEED = mix64(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEED = mix64(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _EMPTY = ""
 
 
@@ -97,14 +97,19 @@ def fingerprint(h: np.ndarray, lexicon: np.ndarray) -> str:
         h = known if len(known) else h
     if not len(h):
         return _EMPTY
-    level = max(0, int(round(np.log2(len(h) / 1.4))))
-    x = mix64(h[None, :] ^ _SEED[:, None])  # one draw per subset and term
+    level = max(0, int(round(np.log2(len(h) / 0.8))))
+    x = h[None, :] * _SEED[:, None]  # one draw per subset and term: the leading bits tell the level
+    row, col = np.nonzero(x < np.uint64(1 << (64 - level))) if level else np.divmod(np.arange(x.size), x.shape[1])
+    drawn = x[row, col]
+    mixed = mix64(drawn)
     parts = []
     for k in (level, level + 1):
-        inside = (x & np.uint64((1 << k) - 1)) == 0
-        hashed = np.where(inside, mix64(x ^ np.uint64(0xA5A5A5A5)), np.uint64(0)).sum(1, dtype=np.uint64)
+        inside = np.flatnonzero(drawn < np.uint64(1 << (64 - k))) if k else np.arange(len(drawn))
+        hashed = np.zeros(SUBSETS, np.uint64)
+        np.add.at(hashed, row[inside], mixed[inside])
         short = (mix64(hashed) >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)
-        parts.append("".join("%04x" % v if any_ else "0000" for v, any_ in zip(short.tolist(), inside.any(1))))
+        short[np.bincount(row[inside], minlength=SUBSETS) == 0] = 0
+        parts.append(short.astype(">u2").tobytes().hex())
     return f"{level}:{parts[0]}:{parts[1]}"
 
 
