@@ -48,6 +48,7 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:[a-z]{1,3}|%)?$")
 PLAIN, NUM, UNIT, NAME, NONE = range(5)
 _SALT = [np.uint64(x) for x in (0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
 class Vocabulary:
@@ -93,8 +94,10 @@ class Vocabulary:
     def tokens(self, text: bytes):
         """Template keys, slot values (0 for plain words) of a text."""
         words = text.split()
-        index = self.index
-        ids = np.fromiter((index[w] if w in index else self.add(w) for w in words), np.int64, len(words))
+        ids = list(map(self.index.get, words))
+        if None in ids:
+            ids = [self.index[w] if w in self.index else self.add(w) for w in words]
+        ids = np.array(ids, np.int64)
         kind, key = self.kind[ids], self.key[ids]
         if len(ids):
             opens = np.concatenate(([True], self.ends[ids][:-1]))
@@ -103,6 +106,8 @@ class Vocabulary:
         kind, key = kind[keep], key[keep]
         if not len(kind):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if not kind.any():  # plain words only
+            return key, np.zeros(len(key), np.uint64)
         # a run of names is one slot whose value is the whole run
         head = np.concatenate(([True], ~((kind[1:] == NAME) & (kind[:-1] == NAME))))
         starts = np.flatnonzero(head)
@@ -115,17 +120,20 @@ class Vocabulary:
         return template, slot
 
 
-def windows(template: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether at least half of it is plain words."""
-    n = len(template) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.zeros(n, np.uint64)
-    plain = np.zeros(n, np.int64)
+def window_hashes(template: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every window of ``width`` template tokens (the tokens are hashes already)."""
+    n = max(0, len(template) - width + 1)
+    h = np.full(n, width, np.uint64)
     for i in range(width):
-        h = h * _STEP + mix64(template[i:i + n] + np.uint64(i))
-        plain += slot[i:i + n] == 0
-    return mix64(h + np.uint64(width)), 2 * plain >= width
+        h += template[i:i + n] * _FACTOR[i]
+    return h * _STEP
+
+
+def mostly_plain(slot: np.ndarray, width: int) -> np.ndarray:
+    """Whether at least half of each window is plain words."""
+    n = max(0, len(slot) - width + 1)
+    total = np.concatenate(([0], np.cumsum(slot == 0)))
+    return 2 * (total[width:width + n] - total[:n]) >= width
 
 
 class Block:
@@ -143,8 +151,8 @@ class Block:
             self.ids.append(item_id)
             self.slots.append(slot)
             self.width.append(w)
-            x, ok = windows(template, slot, w)
-            p = np.flatnonzero(ok)
+            x = window_hashes(template, w)
+            p = np.flatnonzero(mostly_plain(slot, w))
             h.append(x[p])
             pos.append(p)
             at.append(np.full(len(p), k))
@@ -160,7 +168,7 @@ class Block:
         """Matched (item, item position, document position) of one document."""
         found = []
         for w in sorted(set(self.width)):
-            x, _ = windows(template, slot, w)
+            x = window_hashes(template, w)
             p = np.flatnonzero(self.seen[x >> np.uint64(42)]) if len(x) else np.zeros(0, np.int64)
             if not len(p):
                 continue
