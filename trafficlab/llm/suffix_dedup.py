@@ -24,8 +24,8 @@ distance.  That is the property a difference cover gives two arbitrary suffixes
 4. Each block marks the covered bytes.
 
 No string's owners meet in one task: a block pre-aggregates its documents, so a
-passage that a third of all documents share counts once per block.  Sorted
-strings are compared by 64-bit names within equal 64-bit sample names.
+passage that a third of all documents share counts once per block.  Contexts
+and strings are compared by 64-bit names within equal 64-bit sample names.
 
 Cases: a null or empty text has no bytes; a null doc_id is larger than any
 other; rows with equal doc_id do not remove from each other; an empty table
@@ -37,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 
 
+@lru_cache(maxsize=4)
 def _cumulative(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _BACK, np.uint64)
     up[:1], down[:1] = 1, 1
@@ -65,7 +67,7 @@ def _cumulative(n: int) -> tuple[np.ndarray, np.ndarray]:
 def gram_names(buf: np.ndarray, size: int) -> np.ndarray:
     """Name of the ``size`` bytes from every position (last axis)."""
     n = buf.shape[-1]
-    up, down = _cumulative(n + 1)
+    up, down = (x[:n + 1] for x in _cumulative(1 << n.bit_length()))
     total = np.zeros(buf.shape[:-1] + (n + 1,), np.uint64)
     np.cumsum(_BYTE[buf] * up[:n], axis=-1, out=total[..., 1:])
     return mix64((total[..., size:] - total[..., :-size]) * down[:n - size + 1])
@@ -133,7 +135,7 @@ class Block:
 
     def names(self):
         """Sorted distinct names, and whether several documents of the block have them."""
-        order = np.lexsort((self.ids[self.doc], self.name)) if len(self.name) else np.zeros(0, np.int64)
+        order = np.argsort(self.name, kind="stable")  # samples come by document, so owners stay in order
         name, owner = self.name[order], self.ids[self.doc[order]]
         head = np.concatenate(([True], name[1:] != name[:-1])) if len(name) else np.zeros(0, bool)
         first = np.flatnonzero(head)
@@ -161,9 +163,8 @@ class Block:
         column = np.arange(width) - reach + at[:, None]
         around[(column < low[:, None]) | (column >= high[:, None] + self.length)] = 0
         shift = np.stack([at - high, at - low], axis=1).astype(np.uint8)  # smallest and largest shift
-        key = np.concatenate([name[:, None].view(np.uint8).reshape(len(use), 8), shift, around], axis=1)
-        flat = np.ascontiguousarray(key).view(np.dtype((np.void, key.shape[1]))).ravel()
-        _, first, entry = np.unique(flat, return_index=True, return_inverse=True)
+        key = mix64(name + gram_names(np.concatenate([shift, around], axis=1), width + 2)[:, 0])
+        _, first, entry = np.unique(key, return_index=True, return_inverse=True)
         owner = np.full(len(first), LAST, np.int64)
         np.minimum.at(owner, entry, self.ids[doc])
         return {"use": use, "entry": entry, "own": self.ids[doc] > owner[entry],
