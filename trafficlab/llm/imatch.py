@@ -44,27 +44,49 @@ _EMPTY = ""
 
 
 class Terms:
-    """Term hashes of words, kept per task (at most ``LIMIT`` words)."""
+    """Term hashes of words and their place in a lexicon, kept per task (at most ``LIMIT`` words)."""
 
     LIMIT = 1_000_000
 
-    def __init__(self):
+    def __init__(self, lexicon: np.ndarray | None = None):
+        self.lexicon = lexicon
+        self.clear()
+
+    def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.hash = np.zeros(1 << 14, np.uint64)
+        self.known = np.zeros(1 << 14, bool)
+
+    def _add(self, words: list[str]) -> None:
+        low = len(self.index)
+        high = low + len(words)
+        while high > len(self.hash):
+            self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        cores = [w.strip(EDGES) for w in words]
+        self.hash[low:high] = [xxhash.xxh64_intdigest(c) if c else 0 for c in cores]
+        self.index.update(zip(words, range(low, high)))
+        if self.lexicon is not None and len(self.lexicon):
+            h = self.hash[low:high]
+            self.known[low:high] = self.lexicon[np.minimum(np.searchsorted(self.lexicon, h), len(self.lexicon) - 1)] == h
 
     def hashes(self, text: str | None) -> np.ndarray:
-        """Sorted distinct term hashes of a text."""
+        """Sorted distinct term hashes of a text: those in the lexicon, or all if there are none."""
+        if not text:
+            return np.zeros(0, np.uint64)
         if len(self.index) > self.LIMIT:
-            self.index = {}
-        words = set(text.lower().split()) if text else ()
-        index, out = self.index, []
-        for w in words:
-            h = index.get(w)
-            if h is None:
-                core = w.strip(EDGES)
-                h = index[w] = xxhash.xxh64_intdigest(core) if core else 0
-            if h:
-                out.append(h)
-        return np.unique(np.array(out, np.uint64))
+            self.clear()
+        words = list(set(text.lower().split()))
+        ids = list(map(self.index.get, words))
+        if None in ids:
+            self._add([w for w, i in zip(words, ids) if i is None])
+            ids = list(map(self.index.get, words))
+        at = np.array(ids, np.int64)
+        if self.lexicon is not None:
+            known = at[self.known[at]]
+            at = known if len(known) else at
+        h = np.unique(self.hash[at])
+        return h[1:] if len(h) and h[0] == 0 else h  # 0: no term
 
 
 def _count(batches):
@@ -89,12 +111,8 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
     return np.sort(found.view(np.uint64))
 
 
-def fingerprint(h: np.ndarray, lexicon: np.ndarray) -> str:
+def fingerprint(h: np.ndarray) -> str:
     """``level:`` and the hashes of two levels; 4 hex digits a subset, 0000 where it holds no term."""
-    if len(lexicon) and len(h):
-        at = np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)
-        known = h[lexicon[at] == h]
-        h = known if len(known) else h
     if not len(h):
         return _EMPTY
     level = max(0, int(round(np.log2(len(h) / 0.8))))
@@ -123,10 +141,9 @@ def likeness(a: str, b: str) -> float:
     if abs(la - lb) > 1:
         return 0.0
     common = max(la, lb)
-    x, y = pa_[common - la], pb[common - lb]
-    pairs = [(x[i:i + 4], y[i:i + 4]) for i in range(0, 4 * SUBSETS, 4)]
-    held = [p for p in pairs if p != ("0000", "0000")]
-    return sum(p == q for p, q in held) / len(held) if held else 0.0
+    x, y = (np.frombuffer(bytes.fromhex(p), np.uint16) for p in (pa_[common - la], pb[common - lb]))
+    held = int(((x != 0) | (y != 0)).sum())
+    return int(((x == y) & (x != 0)).sum()) / held if held else 0.0
 
 
 RESULT = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
@@ -135,17 +152,17 @@ RESULT = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint stri
 
 def _edit(sent):
     def run(batches):
-        terms, words = Terms(), sent.value
+        terms = Terms(sent.value)
         held = None  # the row whose next document is awaited
         out = []
 
         def finish(row, after):
-            doc_id, text, h, fp = row
+            doc_id, text, fp = row
             q = len(text) // 4
             edited = text[:len(text) - q] + after[1][:q] if after is not None else text
-            changed = fingerprint(terms.hashes(edited), words)
+            changed = fingerprint(terms.hashes(edited))
             return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fp, changed,
-                    likeness(fp, changed), likeness(fp, after[3]) if after is not None else 1.0)
+                    likeness(fp, changed), likeness(fp, after[2]) if after is not None else 1.0)
 
         def flush(rows):
             return pa.RecordBatch.from_arrays(
@@ -159,7 +176,7 @@ def _edit(sent):
                 if bucket != own:
                     held, bucket = None, own
                 h = terms.hashes(text)
-                row = (doc_id.as_py(), text, h, fingerprint(h, words))
+                row = (doc_id.as_py(), text, fingerprint(h))
                 if held is not None:
                     out.append(finish(held, row))
                 held = None if extra.as_py() else row
