@@ -33,18 +33,21 @@ def parse_run_name(df: DataFrame, col: str = "folder") -> DataFrame:
 
 def run_times(marks: DataFrame) -> DataFrame:
     """runtime = last + 1 - first mark; classification time = last -
-    second-last mark.  Two partial aggregates, no per-run sort."""
+    second-last mark (the same time if two marks share the last one).  Two
+    partial aggregates, no per-run sort."""
     last = marks.groupBy("run_id").agg(F.min("epochtime").alias("first"), F.max("epochtime").alias("last"))
-    prev = (marks.join(last.select("run_id", "last"), on="run_id")
-            .where(F.col("epochtime") < F.col("last"))
-            .groupBy("run_id").agg(F.max("epochtime").alias("second_last")))
-    t = last.join(prev, on="run_id", how="left")
+    at_last = F.col("epochtime") == F.col("last")
+    t = marks.join(last, on="run_id").groupBy("run_id", "first", "last").agg(
+        F.sum(at_last.cast("long")).alias("_ties"), F.max(F.when(~at_last, F.col("epochtime"))).alias("_before"))
+    second = F.when(F.col("_ties") > 1, F.col("last")).otherwise(F.col("_before"))
     return t.select("run_id", (F.col("last") + 1 - F.col("first")).alias("runtime"),
-                    (F.col("last") - F.col("second_last")).alias("classtime"))
+                    (F.col("last") - second).alias("classtime"))
 
 
-def max_ram(resources: DataFrame) -> DataFrame:
-    """Maximum used memory per run in MB (/1000^2)."""
+def max_ram(resources: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Maximum used memory per run in MB (/1000^2), over the samples inside the run if ``marks`` are given."""
+    if marks is not None:
+        resources = clip_to_run(resources, marks)
     return resources.groupBy("run_id").agg((F.max("used") / F.lit(1e6)).alias("ram"))
 
 
@@ -82,7 +85,7 @@ def asof_segment(log: DataFrame, marks: DataFrame, ts: str = "epoch") -> DataFra
 def run_metrics(runs: DataFrame, marks: DataFrame, resources: DataFrame, reports: DataFrame) -> DataFrame:
     """Runs with runtime, classtime, speed (I3), ram, f1, recall, instances, model_size."""
     t = run_times(marks)
-    r = max_ram(resources)
+    r = max_ram(resources, marks)
     m = runs.join(t, "run_id", "left").join(r, "run_id", "left").join(reports, "run_id", "left")
     return m.withColumn("speed", F.try_divide(F.col("instances").cast("double"), F.col("classtime")))
 
@@ -178,11 +181,12 @@ def radar_profile(metrics: DataFrame, axes: Sequence[str] = ("f1", "recall", "in
 
 def baseline_compare(metrics: DataFrame, col: str = "f1") -> DataFrame:
     """Every sampled run next to the unsampled run (steps = 0) of the same
-    vector; one baseline per vector (the lowest run id), so no pair blow-up."""
+    vector; one baseline per vector (the lowest run id), so no pair blow-up.
+    A run whose vector has no unsampled run keeps NULLs."""
     base = (metrics.where(F.col("steps") == 0).groupBy("vector")
             .agg(F.min_by(F.struct(F.col("run_id").alias("base_run"), F.col(col).alias(f"base_{col}")), F.col("run_id")).alias("_b"))
             .select("vector", "_b.*"))
-    s = metrics.where(F.col("steps") > 0).join(F.broadcast(base), on="vector", how="inner")
+    s = metrics.where(F.col("steps") > 0).join(F.broadcast(base), on="vector", how="left")
     return s.select("run_id", "vector", "steps", col, "base_run", f"base_{col}",
                     (F.col(col) - F.col(f"base_{col}")).alias(f"delta_{col}"))
 

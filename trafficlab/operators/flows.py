@@ -37,7 +37,9 @@ def with_canonical_key(packets: DataFrame) -> DataFrame:
 
     ``a_side`` is true when the packet travels from endpoint a to endpoint b.
     """
-    src_first = (F.col("src") < F.col("dst")) | ((F.col("src") == F.col("dst")) & (F.col("sport") <= F.col("dport")))
+    # endpoints compare with NULL below every value, so the flag is never NULL (traffic without ports)
+    end = lambda ip, port: F.struct(F.col(ip).alias("ip"), F.col(port).alias("port"))
+    src_first = F.least(F.array(end("src", "sport")), F.array(end("dst", "dport"))).eqNullSafe(F.array(end("src", "sport")))
     return packets.withColumns({
         "a_ip": F.when(src_first, F.col("src")).otherwise(F.col("dst")),
         "a_port": F.when(src_first, F.col("sport")).otherwise(F.col("dport")),
@@ -47,6 +49,13 @@ def with_canonical_key(packets: DataFrame) -> DataFrame:
     })
 
 
+def _key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on flow keys that may be NULL; the key columns come from ``left``."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    out = left.join(r, on=[F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how=how)
+    return out.drop(*[f"_r_{k}" for k in keys])
+
+
 def sessionize(packets: DataFrame, keys: Sequence[str], idle_seconds: float,
                order: Sequence[str] = PACKET_ORDER, ts_col: str = "ts",
                out: str = "session", num_buckets: int | None = None,
@@ -259,8 +268,8 @@ def with_direction(packets: DataFrame, flow_keys: Sequence[str], out: str = "dir
     is joined back on the flow key."""
     firsts = packets.groupBy(*flow_keys).agg(
         F.min(F.struct("ts", "packet_no", "src", "sport")).alias("_f"))
-    j = packets.join(firsts, on=list(flow_keys), how="inner")
-    fwd = (F.col("src") == F.col("_f.src")) & F.col("sport").eqNullSafe(F.col("_f.sport"))
+    j = _key_join(packets, firsts, list(flow_keys), "inner")
+    fwd = F.col("src").eqNullSafe(F.col("_f.src")) & F.col("sport").eqNullSafe(F.col("_f.sport"))
     return j.withColumn(out, F.when(fwd, F.lit("f")).otherwise(F.lit("b"))).drop("_f")
 
 
@@ -335,8 +344,8 @@ def active_timeout(packets: DataFrame, keys: Sequence[str], idle_seconds: float,
     t = _micros(F.col(ts_col), z)
     span = sess.groupBy(*sk).agg((F.max(t) - F.min(t)).alias("_span"))
     long_keys = span.where(F.col("_span") > active_us).select(*sk)
-    long = sess.join(long_keys, on=sk, how="left_semi")
-    short = sess.join(long_keys, on=sk, how="left_anti").withColumn("subflow", F.lit(0).cast("long"))
+    long = _key_join(sess, long_keys, sk, "left_semi")
+    short = _key_join(sess, long_keys, sk, "left_anti").withColumn("subflow", F.lit(0).cast("long"))
 
     pos = keyed_scan(long, sk, list(order), pos_col="_sp", num_buckets=num_buckets, keep_bucket=True).checkpoint()
     tl = _micros(F.col(ts_col), z)
@@ -358,10 +367,10 @@ def active_timeout(packets: DataFrame, keys: Sequence[str], idle_seconds: float,
         tables.append(nxt2.checkpoint())
     cuts = pos.where(F.col("_sp") == 0).select(*sk, F.col("_sp").alias("pos"))
     for j in reversed(tables):
-        step = cuts.join(j, on=sk + ["pos"], how="inner").where(F.col("nxt").isNotNull()) \
+        step = _key_join(cuts, j, sk + ["pos"], "inner").where(F.col("nxt").isNotNull()) \
                    .select(*sk, F.col("nxt").alias("pos"))
         cuts = cuts.unionByName(step).distinct().checkpoint()
-    flagged = pos.join(cuts.withColumn("_cut", F.lit(1)).withColumnRenamed("pos", "_sp"), on=sk + ["_sp"], how="left") \
+    flagged = _key_join(pos, cuts.withColumn("_cut", F.lit(1)).withColumnRenamed("pos", "_sp"), sk + ["_sp"], "left") \
                  .withColumn("_cut", F.coalesce(F.col("_cut"), F.lit(0)).cast("long"))
     # same keys and order as ``pos``: its bucket column is reused (no new cut)
     sub = keyed_scan(flagged, sk, list(order), pos_col=None, sums={"_sub": "_cut"}, num_buckets=num_buckets)

@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 from ..functions.flags import flag_combo
 from ..functions.stats import stdev0
 from ..functions.timecols import is_ntz, millis
+from ..schema import CAIA_COUNTS, CAIA_HEAD, CAIA_STAT_FUNCS, CAIA_STATS, DIRECTIONS
 from . import flows as FW
 
-SPEC_DIR = Path(__file__).resolve().parent.parent / "specs"
-
 # Exporter attribute name -> packet column.
 ATTRIBUTES = {
     "sourceIPAddress": "src", "destinationIPAddress": "dst", "sourceTransportPort": "sport",
@@ -68,10 +67,7 @@ class FlowSpec:
         if isinstance(src, dict):
             d = src
         else:
-            p = Path(src)
-            if not p.exists():
-                p = SPEC_DIR / str(src)
-            d = json.loads(p.read_text())
+            d = json.loads(Path(src).read_text())
         if d.get("version") == "v2":
             d = d["preprocessing"]["flows"][0]
         return cls(features=list(d["features"]), key_features=list(d.get("key_features", [])),
@@ -86,6 +82,20 @@ class FlowSpec:
         return None
 
 
+def agm_spec(window_seconds: int = 10, idle: float | None = None, active: float | None = None) -> FlowSpec:
+    """Per source address and time window: distinct, mode and modeCount of every other attribute."""
+    counted = [a for a in ATTRIBUTES if a not in ("sourceIPAddress", "ipTotalLength", "_interPacketTimeSeconds")]
+    features = ["flowStartMilliseconds", "sourceIPAddress"]
+    features += [{fn: [a]} for a in counted for fn in ("distinct", "mode", "modeCount")]
+    return FlowSpec(features + ["packetTotalCount"], ["sourceIPAddress", f"__timeWindow{window_seconds}s"], False, active, idle)
+
+
+def caia_spec(idle: float | None = 300, active: float | None = None) -> FlowSpec:
+    """Both directions of a 5-tuple: counters and statistics of each direction."""
+    inner = list(CAIA_COUNTS) + [{fn: [s]} for s in CAIA_STATS for fn in CAIA_STAT_FUNCS]
+    return FlowSpec(CAIA_HEAD + [{"apply": [f, d]} for d in DIRECTIONS for f in inner], CAIA_HEAD[1:], True, active, idle)
+
+
 def feature_name(f: Any) -> str:
     """Canonical text of a feature: 'modeCount(ipTTL)', 'apply(min(ipTotalLength),forward)'."""
     if isinstance(f, str):
@@ -103,17 +113,29 @@ def _attr_col(attr: str) -> Column:
 
 def extract_flows(packets: DataFrame, spec: FlowSpec, window_seconds: int | None = None,
                   idle_seconds: float | None = None) -> DataFrame:
-    """Compile ``spec`` and run it on packets (timeouts / window overridable)."""
+    """Compile ``spec`` and run it on packets (idle timeout / window overridable).
+
+    A unidirectional spec without an idle timeout is cut by its window only; an
+    active timeout cuts on top of the idle one.
+    """
     if spec.bidirectional:
         return _bidirectional(packets, spec, idle_seconds or spec.idle_timeout or 300)
-    return _unidirectional(packets, spec, window_seconds or spec.window_seconds() or 10)
+    return _unidirectional(packets, spec, window_seconds or spec.window_seconds() or 10, idle_seconds or spec.idle_timeout)
 
 
-def _unidirectional(packets: DataFrame, spec: FlowSpec, window_seconds: int) -> DataFrame:
+def _unidirectional(packets: DataFrame, spec: FlowSpec, window_seconds: int, idle_seconds: float | None = None) -> DataFrame:
     keys = [ATTRIBUTES[k] for k in spec.key_features if not k.startswith("__timeWindow")]
-    flows = FW.agm_flow_id(packets, window_seconds)
-    fkeys = keys + ["win"]
+    if spec.active_timeout and not idle_seconds:
+        idle_seconds = window_seconds  # a window holds no longer gap
+    if idle_seconds and keys != ["src"]:
+        raise ValueError("timeouts inside a window need the source address as the only key")
+    flows = FW.agm_flow_id(packets, window_seconds, idle_seconds, spec.active_timeout if idle_seconds else None)
+    fkeys = keys + [c for c in ("win", "session", "subflow") if c in flows.columns]
     funcs = [f for f in spec.features if isinstance(f, dict)]
+    for f in funcs:
+        (fn, args), = f.items()
+        if len(args) != 1 or not isinstance(args[0], str):
+            raise ValueError(f"unsupported feature {feature_name(f)!r} in a unidirectional spec")
     attrs = sorted({a for f in funcs for a in next(iter(f.values()))}, key=str)
     items = []
     for a in attrs:
@@ -189,13 +211,20 @@ def _side_expr(feature: Any, cond: Column, flags: Column) -> Column:
         raise ValueError(f"unsupported directional feature {feature!r}")
     (fn, (a,)), = feature.items()
     v = F.when(cond, F.col(ATTRIBUTES[a]).cast("double"))
-    return {"min": F.min, "max": F.max, "mean": F.avg, "stdev": stdev0}[fn](v)
+    known = {"min": F.min, "max": F.max, "mean": F.avg, "stdev": stdev0}
+    if fn not in known:
+        raise ValueError(f"unsupported directional function {fn!r}")
+    return known[fn](v)
 
 
 def _bidirectional(packets: DataFrame, spec: FlowSpec, idle_seconds: float) -> DataFrame:
     keyed = FW.with_canonical_key(packets)
-    sess = FW.sessionize(keyed, FW.FIVE_TUPLE, idle_seconds, keep_bucket=True)
-    fkey = FW.FIVE_TUPLE + ["session"]
+    if spec.active_timeout:
+        sess = FW.active_timeout(keyed, FW.FIVE_TUPLE, idle_seconds, spec.active_timeout)
+        fkey = FW.FIVE_TUPLE + ["session", "subflow"]
+    else:
+        sess = FW.sessionize(keyed, FW.FIVE_TUPLE, idle_seconds, keep_bucket=True)
+        fkey = FW.FIVE_TUPLE + ["session"]
     ipt = FW.with_ipt(sess, fkey + ["a_side"])
     flags = F.col("flags")
     aggs = [F.min(F.struct("ts", "packet_no", "src", "dst", "sport", "dport", "a_side")).alias("_first")]

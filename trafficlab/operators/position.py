@@ -41,9 +41,6 @@ from pyspark.sql import types as T
 from ..functions.timecols import micros
 
 SAMPLE_PER_BUCKET = 64
-# The bucket tree is one SQL expression; beyond a few thousand bounds its
-# size (not its log2 depth) starts to cost, so the default is capped.
-MAX_DEFAULT_BUCKETS = 4096
 _B = "_tl_bucket"
 _INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)
 
@@ -100,7 +97,7 @@ def _sample_bounds(df: DataFrame, enc: list[Column], n_buckets: int) -> list[tup
     frac = min(1.0, want / total)
     rows = (df.select(*[e.alias(f"_k{i}") for i, e in enumerate(enc)])
             .sample(withReplacement=False, fraction=frac, seed=20240101)
-            .limit(2 * want).collect())
+            .collect())
     keys = sorted((tuple(r) for r in rows), key=_spark_order_key)
     if not keys:
         return []
@@ -125,19 +122,19 @@ def _sql_literal(v, t: T.DataType) -> str:
 
 
 def bucket_expr(key: str, bounds: list[tuple], types: list[T.DataType]) -> Column:
-    """Bucket number (0..len(bounds)) of the struct column ``key`` by binary
-    search over literal bound structs (struct order: field by field, NULL
-    first).  Built as one SQL expression, so thousands of bounds cost one
-    parse, and the tree is log2(bounds) comparisons deep."""
+    """Bucket number of the struct column ``key``: how many bounds are at or
+    below it (struct order: field by field, NULL first).
+
+    The bounds are one constant array, searched in log2(bounds) doubling
+    steps by a fixed ``aggregate``; the generated code does not grow with them."""
+    n = len(bounds)
+    if not n:
+        return F.lit(0)
     lits = ["named_struct(" + ", ".join(f"'k{i}', {_sql_literal(v, t)}" for i, (v, t) in enumerate(zip(b, types))) + ")"
             for b in bounds]
-
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN `{key}` < {lits[mid]} THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
-    return F.expr(f"CAST({tree(0, len(bounds))} AS INT)")
+    steps = ", ".join(str(1 << k) for k in reversed(range(n.bit_length())))
+    return F.expr(f"aggregate(array({steps}), 0, (p, s) -> CASE WHEN p + s <= {n} THEN "
+                  f"CASE WHEN array({', '.join(lits)})[p + s - 1] <= `{key}` THEN p + s ELSE p END ELSE p END)")
 
 
 def bucketize(df: DataFrame, cols: Sequence[str], num_buckets: int | None = None,
@@ -147,7 +144,7 @@ def bucketize(df: DataFrame, cols: Sequence[str], num_buckets: int | None = None
     Scans whose keys refine the leading bucket columns and whose order
     follows (e.g. flow key + session + direction, ordered by time) can
     reuse the same bucket column, and with it the same shuffle."""
-    n_b = int(num_buckets or min(MAX_DEFAULT_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n_b = int(num_buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     enc = [_comparable(df, c).alias(f"k{i}") for i, c in enumerate(cols)]
     if bounds is None:
         bounds = _sample_bounds(df, enc, n_b)
