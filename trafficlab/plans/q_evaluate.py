@@ -31,9 +31,9 @@ rep2 AS (SELECT run_id, instances, instances / 100.0 AS model_size, coalesce(tp
                 coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall FROM rep),
 rep3 AS (SELECT run_id, instances, model_size, recall, coalesce(2 * prec * recall / nullif(prec + recall, 0), 0.0) AS f1 FROM rep2),
 lastm AS (SELECT run_id, min(epochtime) AS first, max(epochtime) AS last FROM marks GROUP BY run_id),
-prevm AS (SELECT m.run_id, max(m.epochtime) AS second_last FROM marks m JOIN lastm l USING (run_id) WHERE m.epochtime < l.last GROUP BY m.run_id),
+prevm AS (SELECT run_id, epochtime AS second_last FROM (SELECT run_id, epochtime, row_number() OVER (PARTITION BY run_id ORDER BY epochtime DESC) AS rn FROM marks) WHERE rn = 2),
 times AS (SELECT run_id, last + 1 - first AS runtime, last - second_last AS classtime FROM lastm LEFT JOIN prevm USING (run_id)),
-ram AS (SELECT run_id, max(used) / 1e6 AS ram FROM res GROUP BY run_id),
+ram AS (SELECT run_id, max(used) / 1e6 AS ram FROM res JOIN lastm USING (run_id) WHERE epoch BETWEEN first AND last + 1 GROUP BY run_id),
 metrics AS (SELECT r.*, t.runtime, t.classtime, ram.ram, rep3.f1, rep3.recall, rep3.instances, rep3.model_size,
                    CASE WHEN t.classtime = 0 THEN NULL ELSE rep3.instances / t.classtime END AS speed
             FROM runs r LEFT JOIN times t USING (run_id) LEFT JOIN ram USING (run_id) LEFT JOIN rep3 USING (run_id))"""
@@ -96,7 +96,7 @@ def q_segment_durations(spark, sf):
 
 @register("max_ram", RUNS_SQL + " SELECT run_id, round(ram, 6) AS ram FROM ram")
 def q_max_ram(spark, sf):
-    return round_doubles(EV.max_ram(RL.resources(spark, sf)))
+    return round_doubles(EV.max_ram(RL.resources(spark, sf), RL.marks(spark, sf)))
 
 
 @register("clip_log", RUNS_SQL + """ SELECT r.run_id, round(r.epoch, 6) AS epoch, round(r.used / 1e6, 6) AS used_mb
@@ -185,7 +185,7 @@ def q_radar_profile(spark, sf):
 @register("baseline_compare", RUNS_SQL + """,
 base AS (SELECT vector, arg_min(run_id, run_id) AS base_run, arg_min(f1, run_id) AS base_f1 FROM metrics WHERE steps = 0 GROUP BY vector)
 SELECT m.run_id, m.vector, m.steps, round(m.f1, 6) AS f1, b.base_run, round(b.base_f1, 6) AS base_f1, round(m.f1 - b.base_f1, 6) AS delta_f1
-FROM metrics m JOIN base b USING (vector) WHERE m.steps > 0""")
+FROM metrics m LEFT JOIN base b USING (vector) WHERE m.steps > 0""")
 def q_baseline_compare(spark, sf):
     return round_doubles(EV.baseline_compare(metrics(spark, sf)))
 

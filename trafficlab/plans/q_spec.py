@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from ..operators.flowspec import FlowSpec, extract_flows, feature_name
+from ..operators.flowspec import agm_spec, caia_spec, extract_flows, feature_name
 from ..schema import CAIA_ORDER
 from ..sources.tables import pkt_pair, pkt_user
 from .oracle_views import with_views
 from .q_flows import AGM_BASE_SQL, IDLE_S, WINDOW_S, _caia_sql
 from .registry import register, round_doubles
 
-AGM_SPEC = FlowSpec.from_json("agm_window.json")
-CAIA_SPEC = FlowSpec.from_json("caia_bidirectional.json")
+AGM_SPEC = agm_spec()
+CAIA_SPEC = caia_spec()
 
 
 def _spec_agm_sql() -> str:
