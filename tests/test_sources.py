@@ -43,11 +43,19 @@ def test_read_runs_parses_folder(spark, tmp_path):
 def test_resource_log(spark):
     root = scratch_path(spark, "dstat")
     os.makedirs(root)
-    with open(os.path.join(root, "log.csv"), "w") as fh:
-        fh.write('"Dstat"\n"Author"\n\n"Host"\n"Cmdline"\n"epoch","used","free","buff","cach","total","usr","sys","idl"\n')
-        fh.write("100.0,5000000,1,1,1,9,1,1,98\n101.0\t7000000\t1\t1\t1\t9\t1\t1\t98\n")
-    df = FS.read_resource_log(spark, os.path.join(root, "log.csv"))
-    assert df.agg(F.max("used")).first()[0] == 7000000.0 and df.count() == 2
+    head = '"Dstat 0.7 CSV output"\n"Author:","someone",,,,"URL:","none"\n"Host:","h",,,,"User:","u"\n"Cmdline:","dstat",,,,"Date:","d"\n'
+    with open(os.path.join(root, "full.csv"), "w") as fh:
+        fh.write(head + '"epoch","total cpu usage",,"dsk/total",,"memory usage",,"swap",\n'
+                 '"epoch","usr","sys","read","writ","used","free","used","free"\n'
+                 "100.0,3,1,0,0,5000000,9,11,1\n101.0\t3\t1\t0\t0\t7000000\t9\t12\t1\n")
+    with open(os.path.join(root, "short.csv"), "w") as fh:
+        fh.write(head + '"epoch","memory usage"\n"epoch","used"\n5.5,8000000\n')
+    df = FS.read_resource_log(spark, root)
+    assert df.columns == ["source", "epoch", "free", "free_2", "read", "sys", "used", "used_2", "usr", "writ"]
+    got = sorted((r["epoch"], r["used"], r["used_2"]) for r in df.collect())
+    assert got == [(5.5, 8e6, None), (100.0, 5e6, 11.0), (101.0, 7e6, 12.0)]
+    some = FS.read_resource_log(spark, os.path.join(root, "full.csv"), ["used", "usr", "none"])
+    assert [tuple(r)[1:] for r in some.orderBy("used").collect()] == [(5e6, 3.0, None), (7e6, 3.0, None)]
 
 
 def test_run_info_and_model(spark):

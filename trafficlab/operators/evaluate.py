@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .position import global_position
+from .position import global_position, keyed_scan
 
 RUN_NAME = r"^(.+)_mode(\d+)_vector(\d+)_steps(\d+)_(\w+)$"
 METRICS = ["f1", "recall", "runtime", "speed", "ram", "instances", "model_size"]
@@ -58,9 +58,10 @@ def relative_time(log: DataFrame, ts: str = "epochtime") -> DataFrame:
 
 
 def segment_durations(marks: DataFrame) -> DataFrame:
-    """Distance from each mark to the next mark of the same run."""
-    w = Window.partitionBy("run_id").orderBy("epochtime", "segment", "status")
-    return marks.withColumn("duration", F.lead("epochtime").over(w) - F.col("epochtime"))
+    """Distance from each mark to the next mark of the same run; marks at
+    one time follow each other by segment, then status."""
+    following = keyed_scan(marks, ["run_id"], ["epochtime", "segment", "status"], pos_col=None, leads={"_next": "epochtime"})
+    return following.withColumn("duration", F.col("_next") - F.col("epochtime")).drop("_next")
 
 
 def clip_to_run(log: DataFrame, marks: DataFrame, ts: str = "epoch") -> DataFrame:
@@ -71,15 +72,13 @@ def clip_to_run(log: DataFrame, marks: DataFrame, ts: str = "epoch") -> DataFram
 
 def asof_segment(log: DataFrame, marks: DataFrame, ts: str = "epoch") -> DataFrame:
     """Each resource sample gets the segment of the last mark at or before
-    it (as-of join as union + last(ignorenulls) over the run's time order)."""
-    a = log.select("run_id", F.col(ts).alias("_t"), F.lit(1).alias("_is_log"), F.col(ts).alias("epoch"),
-                   F.lit(None).cast("string").alias("_seg"))
-    b = marks.select("run_id", F.col("epochtime").alias("_t"), F.lit(0).alias("_is_log"),
-                     F.lit(None).cast("double").alias("epoch"), F.col("segment").alias("_seg"))
-    w = (Window.partitionBy("run_id").orderBy("_t", "_is_log")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = a.unionByName(b).withColumn("segment", F.last("_seg", ignorenulls=True).over(w))
-    return u.where(F.col("_is_log") == 1).select("run_id", "epoch", "segment")
+    it: an as-of join as union and running maximum over the run's time order.
+    Of several marks at one time the last by segment counts."""
+    a = log.select("run_id", F.col(ts).cast("double").alias("_t"), F.lit(1).alias("_is_log"), F.lit("").alias("_seg"))
+    b = marks.select("run_id", F.col("epochtime").cast("double").alias("_t"), F.lit(0).alias("_is_log"), F.col("segment").alias("_seg"))
+    u = a.unionByName(b).withColumn("_mark", F.when(F.col("_is_log") == 0, F.struct("_t", "_seg")))
+    last = keyed_scan(u, ["run_id"], ["_t", "_is_log", "_seg"], pos_col=None, maxs={"_last": "_mark"})
+    return last.where(F.col("_is_log") == 1).select("run_id", F.col("_t").alias("epoch"), F.col("_last._seg").alias("segment"))
 
 
 def run_metrics(runs: DataFrame, marks: DataFrame, resources: DataFrame, reports: DataFrame) -> DataFrame:
@@ -200,6 +199,15 @@ def bundles(metrics: DataFrame) -> DataFrame:
     return g.join(F.broadcast(base), on="vector", how="left")
 
 
+def bundle_rows(metrics: DataFrame) -> DataFrame:
+    """The runs of every (vector, mode) bundle: its sampled runs and the
+    vector's unsampled runs, which belong to every bundle of the vector."""
+    names = metrics.where(F.col("steps") > 0).select("vector", F.col("mode").alias("bundle_mode")).distinct()
+    sampled = metrics.where(F.col("steps") > 0).withColumn("bundle_mode", F.col("mode"))
+    unsampled = metrics.where(F.col("steps") == 0).join(names, on="vector")
+    return sampled.unionByName(unsampled.select(*sampled.columns))
+
+
 def bundles_by_steps(metrics: DataFrame, steps: int) -> DataFrame:
     """Runs with the given steps, ordered by (sampling, vector)."""
     return metrics.where(F.col("steps") == steps).orderBy("sampling", "vector", "run_id")

@@ -1,60 +1,29 @@
 """Labeling: flows <-> attack schedule by addresses and time (E1-E3), plus
 the exploratory distributions over labeled flows (H8-H10, R7).
 
-The schedule is usually tiny (one row per attack window), so the join is a
-broadcast hash join on the addresses with the time interval as a residual
-predicate.  Its size is checked first: above ``broadcast_limit`` rows the
-schedule is exploded into hour buckets and joined on (addresses, hour) with a
-shuffle, then the exact bounds are re-checked.
+The schedule is folded to one row per address key that holds the key's attack
+windows, so a plain left join on the addresses meets at most one row per flow:
+no flow is multiplied, none is merged, nothing is shuffled after the join.
+Spark chooses the join: it broadcasts a schedule below its own size limit and
+shuffles both sides otherwise (with skew splitting of hot addresses).  The
+windows of one address key must fit into a row.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT = 200_000
-NORMAL = "Normal"
-
-
-def _micros(c: Column) -> Column:
-    # hour buckets only need a monotone, consistent epoch on both sides
-    return F.unix_micros(c.cast("timestamp"))
+from .position import keyed_scan
 
+NORMAL = "Normal"
 
-def _interval_join(left: DataFrame, sched: DataFrame, eq: list[tuple[str, str]],
-                   cond_fn, broadcast_limit: int, lt0: str, lt1: str | None, how: str = "inner") -> DataFrame:
-    """Join ``left`` with ``sched`` on equalities ``eq`` plus ``cond_fn``.
 
-    ``lt0`` / ``lt1`` name the left interval (``lt1`` None = a point).
-    """
-    n = sched.count()
-    if n <= broadcast_limit:
-        s = F.broadcast(sched)
-        cond = None
-        for lc, sc in eq:
-            c = left[lc] == s[sc]
-            cond = c if cond is None else cond & c
-        return left.join(s, on=cond & cond_fn(left, s), how=how)
-    # large schedule: hour buckets on both sides, equi join, then exact check
-    hour = 3_600_000_000
-    sb = sched.withColumn("_h", F.explode(F.sequence(F.floor(_micros(F.col("_st0")) / hour).cast("long"),
-                                                     F.floor(_micros(F.col("_st1")) / hour).cast("long"))))
-    end = F.col(lt1) if lt1 else F.col(lt0)
-    lb = left.withColumn("_h", F.explode(F.sequence(F.floor(_micros(F.col(lt0)) / hour).cast("long"),
-                                                    F.floor(_micros(end) / hour).cast("long"))))
-    cond = lb["_h"] == sb["_h"]
-    for lc, sc in eq:
-        cond = cond & (lb[lc] == sb[sc])
-    return lb.join(sb, on=cond & cond_fn(lb, sb), how=how).drop(lb["_h"]).drop(sb["_h"])
-
-
-def label_flows(flows: DataFrame, schedule: DataFrame, mode: str, flow_key: Sequence[str],
+def label_flows(flows: DataFrame, schedule: DataFrame, mode: str,
                 src: str = "sourceIPAddress", dst: str = "destinationIPAddress",
-                start: str = "flow_start", end: str | None = None,
-                broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+                start: str = "flow_start", end: str | None = None) -> DataFrame:
     """Add ``Attack`` (schedule name or 'Normal') and ``Label`` (1/0).
 
     * ``5tuple``: flow src/dst equal schedule src/dst, start in [t0, t1)
@@ -62,40 +31,30 @@ def label_flows(flows: DataFrame, schedule: DataFrame, mode: str, flow_key: Sequ
     * ``AGM``: source equal, flow window [start, end) overlaps [t0, t1)
 
     Several matches: the one with the lowest ``priority`` (then name) wins.
+    Every flow row comes out once, repeated rows included.  Times may have any
+    ordered type (timestamps, milliseconds), the same on both sides.
     """
-    keys = list(flow_key)
-    sch = schedule.select(F.col("attack").alias("_attack"), F.col("src").alias("_ssrc"),
-                          F.col("dst").alias("_sdst"), F.col("t0").alias("_st0"), F.col("t1").alias("_st1"),
-                          F.col("priority").alias("_prio"))
-    if mode == "5tuplebi":
-        sch = sch.unionByName(sch.select("_attack", F.col("_sdst").alias("_ssrc"), F.col("_ssrc").alias("_sdst"),
-                                         "_st0", "_st1", "_prio"))
-    cols = flows.columns
-    if mode in ("5tuple", "5tuplebi"):
-        left = flows.select(*cols, F.col(src).alias("_src"), F.col(dst).alias("_dst"), F.col(start).alias("_t"))
-        eq = [("_src", "_ssrc"), ("_dst", "_sdst")]
-
-        def cond(l, s):
-            return (l["_t"] >= s["_st0"]) & (l["_t"] < s["_st1"])
-        m = _interval_join(left, sch, eq, cond, broadcast_limit, "_t", None, how="left")
-    elif mode == "AGM":
-        left = flows.select(*cols, F.col(src).alias("_src"), F.col(start).alias("_t"), F.col(end).alias("_t1"))
-        eq = [("_src", "_ssrc")]
-
-        def cond(l, s):
-            return (l["_t"] < s["_st1"]) & (l["_t1"] > s["_st0"])
-        m = _interval_join(left, sch, eq, cond, broadcast_limit, "_t", "_t1", how="left")
-    else:
+    if mode not in ("5tuple", "5tuplebi", "AGM"):
         raise ValueError(f"unknown labeling mode {mode!r}")
-    # one pass: every flow row with its matches (usually 0 or 1), reduced per
-    # flow to the best match; the flow table is evaluated once
-    best = F.min(F.when(F.col("_attack").isNotNull(), F.struct("_prio", "_attack")))
-    out = m.groupBy(*[F.col(k) for k in keys]).agg(
-        *[F.any_value(c).alias(c) for c in cols if c not in keys], best.alias("_m"))
-    out = out.select(*cols, "_m")
-    return out.withColumn("Attack", F.coalesce(F.col("_m._attack"), F.lit(NORMAL))) \
-              .withColumn("Label", F.when(F.col("_m").isNotNull(), F.lit(1)).otherwise(F.lit(0))) \
-              .drop("_m")
+    window = F.struct("priority", "attack", "t0", "t1")
+    sched = schedule.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), window.alias("_w"))
+    if mode == "5tuplebi":
+        sched = sched.unionByName(sched.select(F.col("_dst").alias("_src"), F.col("_src").alias("_dst"), "_w"))
+    keys = ["_src"] if mode == "AGM" else ["_src", "_dst"]
+    folded = sched.groupBy(*keys).agg(F.collect_set("_w").alias("_ws"))
+    cond = F.col(src) == F.col("_src")
+    if mode != "AGM":
+        cond = cond & (F.col(dst) == F.col("_dst"))
+    t = F.col(start)
+
+    def hit(w):
+        if mode == "AGM":
+            return (t < w["t1"]) & (F.col(end) > w["t0"])
+        return (t >= w["t0"]) & (t < w["t1"])
+    best = F.array_min(F.transform(F.filter("_ws", hit), lambda w: F.struct(w["priority"], w["attack"])))
+    found = flows.join(folded, on=cond, how="left").withColumn("_best", best)
+    return found.withColumns({"Attack": F.coalesce(F.col("_best.attack"), F.lit(NORMAL)),
+                              "Label": F.when(F.col("_best").isNotNull(), 1).otherwise(0)}).drop("_best", "_ws", *keys)
 
 
 def distribution(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -108,53 +67,44 @@ def distribution_rollup(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.rollup(*cols).agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> DataFrame:
-    """Exact quantiles (linear interpolation, as pandas) of one column.
+def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """Exact quantiles (linear interpolation, as pandas), one row per column
+    with values: ``column``, ``q0``, ``q1``, ...
 
-    The column is ranked with the skew-safe global scan (a sort split over
-    many tasks), the needed positions floor/ceil((n-1)q) are picked out and
-    interpolated: no task ever holds the whole column.  One row, columns
-    ``q<i>``.
+    All columns are unpivoted and counted by value, with a map-side partial
+    count, so a value that fills the column is one row.  The skew-safe scan
+    then runs over the distinct values: no task holds a whole column.
     """
-    from .position import global_position
-    x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    n = x.count()
-    if n == 0:
-        return df.sparkSession.createDataFrame([tuple([None] * len(qs))], ", ".join(f"q{i} double" for i in range(len(qs))))
-    ranked = global_position(x, ["_x"], "_p")
-    picks = []
-    need = set()
-    for q in qs:
-        h = (n - 1) * q
-        lo, hi = int(h // 1), int(-(-h // 1))
-        picks.append((lo, hi, h - lo))
-        need.update((lo, hi))
-    sel = ranked.where(F.col("_p").isin(sorted(need)))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"))
+                                         for c in cols])).alias("x")).select("x.*").where("value is not null")
+    values = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    upto = keyed_scan(values, ["column"], ["value"], pos_col=None, sums={"_upto": "_n"})
+    total = values.groupBy("column").agg(F.sum("_n").alias("_total"))
+    ranked = upto.join(F.broadcast(total), "column")  # one row per column
     aggs = []
-    for i, (lo, hi, frac) in enumerate(picks):
-        vlo = F.max(F.when(F.col("_p") == lo, F.col("_x")))
-        vhi = F.max(F.when(F.col("_p") == hi, F.col("_x")))
-        aggs.append((vlo + (vhi - vlo) * F.lit(frac)).alias(f"q{i}"))
-    return sel.agg(*aggs)
+    for i, q in enumerate(qs):
+        h = (F.col("_total") - 1) * F.lit(float(q))
+
+        def at(pos):
+            return F.max(F.when((pos < F.col("_upto")) & (pos >= F.col("_upto") - F.col("_n")), F.col("value")))
+        lo, hi, frac = at(F.floor(h)), at(F.ceil(h)), F.max(h - F.floor(h))
+        aggs.append((lo + (hi - lo) * frac).alias(f"q{i}"))
+    return ranked.groupBy("column").agg(*aggs)
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, std, min, quartiles (exact, linear), max per column;
     one row per column.  Moments are one partial aggregate, quartiles come
     from :func:`exact_quantiles`."""
-    parts = []
+    rows = []
     for c in cols:
-        x = F.col(c).cast("double")
-        mom = df.agg(F.lit(c).alias("column"), F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
-                     F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-        qs = exact_quantiles(df, c, [0.25, 0.5, 0.75]).select(F.col("q0").alias("p25"), F.col("q1").alias("p50"),
-                                                              F.col("q2").alias("p75"))
-        row = mom.withColumn("_one", F.lit(1)).join(F.broadcast(qs.withColumn("_one", F.lit(1))), on="_one")
-        parts.append(row.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        x = F.col(f"`{c}`").cast("double")
+        rows.append(F.struct(F.lit(c).alias("column"), F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
+                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")))
+    moments = df.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    return moments.join(quartiles, "column", "left").select(
+        "column", "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 
 
 def extreme_flows(flows: DataFrame, count_col: str, key: Sequence[str]) -> DataFrame:

@@ -10,16 +10,16 @@ task, so one hot flow holding a third of the packets becomes one task; a
 bare ``Window.orderBy`` is worse (``Exchange SinglePartition``).  Instead:
 
 1. A small sample of the sort keys (``keys + order``) is taken once on the
-   driver (at most ``SAMPLE_PER_BUCKET`` rows per bucket) and cut into
+   driver (about ``SAMPLE_PER_BUCKET`` rows per bucket) and cut into
    ``num_buckets`` ranges.  ``bucket`` is then a pure function of a row: a
-   balanced tree of comparisons against those literal bounds.  A hot key is
+   search in log2(bounds) steps over those constants.  A hot key is
    split over many buckets, because the bounds also cut inside the order.
 2. Built-in windows over ``(bucket, keys)`` number the rows and keep running
    sums / lag inside each piece (bounded by the bucket size).
-3. One summary row per bucket (first key, last key, rows / sums of the last
-   key, last row values) gives, with windows over this table of at most
-   ``num_buckets`` rows, the carry-in of each bucket's first key.
-4. The carry-in is added through a broadcast join on ``(bucket, first key)``;
+3. One summary row per (bucket, key) piece (rows, sums, first and last row
+   values) gives, with windows over the pieces of a key (at most
+   ``num_buckets``), the carry-in of the piece that continues a key.
+4. The carry-in is added through a broadcast join on ``(bucket, key)``;
    the broadcast side holds at most ``num_buckets`` rows.
 
 Because the bucket is computed from the row itself, every re-execution of
@@ -156,13 +156,15 @@ def bucketize(df: DataFrame, cols: Sequence[str], num_buckets: int | None = None
 def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[str] | str,
                pos_col: str | None = "pos", sums: dict[str, str] | None = None,
                lags: dict[str, str] | None = None, gap_session: tuple[str, str, float] | None = None,
+               leads: dict[str, str] | None = None, maxs: dict[str, str] | None = None,
                num_buckets: int | None = None, keep_bucket: bool = False) -> DataFrame:
     """Add ``pos_col`` (0-based position within ``keys`` by ``order``).
 
     ``sums`` maps output name -> numeric input column (running inclusive sum
     within the key; NULL counts as 0).  ``lags`` maps output name -> input
     column whose previous-row value within the key is wanted (NULL on the
-    key's first row).  ``gap_session = (out, ts_col, seconds)`` numbers the
+    key's first row), ``leads`` the same for the next row, ``maxs`` to the
+    column whose running inclusive maximum is wanted (NULLs left out).  ``gap_session = (out, ts_col, seconds)`` numbers the
     sessions inside the key (0-based): a gap strictly greater than
     ``seconds`` starts a new one.
 
@@ -174,6 +176,8 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
     order = _to_list(order)
     sums = dict(sums or {})
     lags = dict(lags or {})
+    leads = dict(leads or {})
+    maxs = dict(maxs or {})
     fields = {f.name: f.dataType for f in df.schema.fields}
     d = df if _B in df.columns else bucketize(df, keys + order, num_buckets)
     base_cols = [c for c in df.columns if c != _B]
@@ -186,6 +190,12 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
         local[f"_tl_s_{name}"] = F.sum(F.coalesce(F.col(c), zero)).over(w_run)
     for name, c in lags.items():
         local[f"_tl_l_{name}"] = F.lag(F.col(c), 1).over(w)
+    for name, c in leads.items():
+        local[f"_tl_f_{name}"] = F.lead(F.col(c), 1).over(w)
+    if leads:
+        local["_tl_end"] = F.lead(F.lit(1), 1).over(w).isNull()
+    for name, c in maxs.items():
+        local[f"_tl_m_{name}"] = F.max(F.col(c)).over(w_run)
     if gap_session:
         g_out, g_ts, g_sec = gap_session
         gap_us = F.lit(int(g_sec * 1_000_000))
@@ -202,7 +212,11 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
     if gap_session:
         last_vals.append(F.col(gap_session[1]).alias("_v__gts"))
     piece_aggs = [F.count(F.lit(1)).alias("_n"),
-                  *[F.sum(F.col(c)).alias(f"_ks_{name}") for name, c in sums.items()]]
+                  *[F.sum(F.col(c)).alias(f"_ks_{name}") for name, c in sums.items()],
+                  *[F.max(F.col(c)).alias(f"_km_{name}") for name, c in maxs.items()]]
+    if leads:
+        piece_aggs.append(F.min(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
+                                         *[F.col(c).alias(f"_v_{name}") for name, c in leads.items()])).alias("_head"))
     if last_vals:
         piece_aggs.append(F.max(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *last_vals)).alias("_last"))
     if gap_session:
@@ -223,6 +237,12 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
         off[f"_off_{name}"] = F.sum(f"_ks_{name}").over(before)
     for name in lags:
         off[f"_carry_{name}"] = F.lag(F.col(f"_last._v_{name}"), 1).over(wk)
+    for name in maxs:
+        off[f"_max_{name}"] = F.max(f"_km_{name}").over(before)
+    for name in leads:
+        off[f"_next_{name}"] = F.lead(F.col(f"_head._v_{name}"), 1).over(wk)
+    if leads:
+        off["_has_next"] = F.lead(F.lit(1), 1).over(wk).isNotNull()
     pieces = pieces.withColumns(off)
     if gap_session:
         prev_t = F.lag(F.col("_last._v__gts"), 1).over(wk)
@@ -232,11 +252,12 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
         pieces = pieces.withColumn("_off_sess", F.coalesce(F.sum("_true_st").over(before), F.lit(0)))
     keep = [F.col(_B).alias("_ob"), *[F.col(k).alias(f"_ok_{i}") for i, k in enumerate(keys)], "_off_n"]
     keep += [f"_off_{name}" for name in sums] + [f"_carry_{name}" for name in lags]
+    keep += [f"_max_{name}" for name in maxs] + [f"_next_{name}" for name in leads]
     if gap_session:
         keep += ["_fis", "_off_sess"]
     # at most one open key per bucket boundary (per refinement of it) has a
-    # predecessor piece, so this table is bounded by the bucket count
-    offsets = pieces.where("_has_prev").select(*keep)
+    # predecessor piece (or a successor), so this table is bounded by the bucket count
+    offsets = pieces.where("_has_prev or _has_next" if leads else "_has_prev").select(*keep)
 
     cond = rows[_B] == offsets["_ob"]
     for i, k in enumerate(keys):
@@ -252,6 +273,10 @@ def keyed_scan(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[
     for name in lags:
         out_cols[name] = F.when(matched & (F.col("_tl_lpos") == 0), F.col(f"_carry_{name}")) \
             .otherwise(F.col(f"_tl_l_{name}"))
+    for name in maxs:
+        out_cols[name] = F.greatest(F.col(f"_tl_m_{name}"), F.col(f"_max_{name}"))
+    for name in leads:
+        out_cols[name] = F.when(matched & F.col("_tl_end"), F.col(f"_next_{name}")).otherwise(F.col(f"_tl_f_{name}"))
     if gap_session:
         fis_c = F.coalesce(F.col("_fis"), F.lit(1))
         out_cols[gap_session[0]] = (F.coalesce(F.col("_off_sess"), F.lit(0)) + F.col("_tl_gcum")

@@ -30,8 +30,7 @@ def pair_flows(spark, sf):
 
 
 def _labeled(spark, sf, mode):
-    return LB.label_flows(pair_flows(spark, sf), attack_schedule(spark, sf), mode,
-                          FW.FIVE_TUPLE + ["session"])
+    return LB.label_flows(pair_flows(spark, sf), attack_schedule(spark, sf), mode)
 
 
 def _label_sql(bidir: bool) -> str:
@@ -71,8 +70,7 @@ USING (src, win)""")
 def q_label_agm(spark, sf):
     f = FW.agm_flow_id(pkt_user(spark, sf), WINDOW_S).groupBy("src", "win").agg(
         F.min("ts").alias("flow_start"), F.max("ts").alias("flow_end"))
-    lab = LB.label_flows(f, agm_schedule(spark, sf), "AGM", ["src", "win"], src="src",
-                         start="flow_start", end="flow_end")
+    lab = LB.label_flows(f, agm_schedule(spark, sf), "AGM", src="src", start="flow_start", end="flow_end")
     return lab.select("src", "win", "Attack", "Label")
 
 
@@ -113,7 +111,7 @@ def q_describe(spark, sf):
     return round_doubles(LB.describe(table(spark, sf, "lineitem"), _DESCRIBE_COLS))
 
 
-@register("extreme_flows", with_views("pkt_pair", extra=FLOWS_SQL.rsplit(",", 1)[0] if False else FLOWS_SQL) + f"""
+@register("extreme_flows", with_views("pkt_pair", extra=FLOWS_SQL) + f"""
 SELECT (SELECT min(packets) FROM pflows) AS min_packets,
        (SELECT a_ip FROM pflows ORDER BY packets, {KEY5}, session LIMIT 1) AS min_a_ip,
        (SELECT session FROM pflows ORDER BY packets, {KEY5}, session LIMIT 1) AS min_session,

@@ -140,7 +140,7 @@ def q_experiment_report(spark, sf):
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     # several fits read the labeled vectors: cut the lineage once
-    lab = LB.label_flows(flows, sched, "5tuple", key).checkpoint()
+    lab = LB.label_flows(flows, sched, "5tuple").checkpoint()
     split = P.split_train_test(lab, key)
     clean = {c: f"f{i}" for i, c in enumerate(feats)}
     data = split.select(*[F.col(f"`{c}`").cast("double").alias(a) for c, a in clean.items()], "part",

@@ -72,21 +72,32 @@ def read_runs(spark: SparkSession, root: str, file_name: str = "*.csv") -> DataF
     }).drop("file_path")
 
 
-RESOURCE_COLS = ["epoch", "used", "free", "buff", "cach", "total", "usr", "sys", "idl"]
-
-
-def read_resource_log(spark: SparkSession, path: str, preamble: int = 5,
-                      cols: Sequence[str] = RESOURCE_COLS) -> DataFrame:
-    """Resource log (dstat-style CSV: ``preamble`` lines before the
-    header, fields split on ',' or tab).  Lines are numbered per file by
-    ``_metadata.file_path`` + a per-file position, so no driver loop."""
-    raw = spark.read.text(path).select("value", "_metadata.file_path")
-    lines = raw.withColumn("_fields", F.split(F.col("value"), r"[,\t]"))
-    # data lines are the numeric ones; the preamble and the header are text
-    first = F.trim(F.col("_fields")[0])
-    data = lines.where(first.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"))
-    return data.select(F.col("file_path").alias("source"),
-                       *[F.col("_fields")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+def read_resource_log(spark: SparkSession, path: str, cols: Sequence[str] | None = None) -> DataFrame:
+    """Resource logs (text lines, then numeric ones; fields split on ','
+    or tab).
+
+    Each file's names come from its own header, its last text line with
+    several fields.  A name that comes again gets ``_2``, ``_3`` ... (memory
+    ``used``, then swap ``used_2``).  The result has ``source`` (file), the
+    ``cols`` asked for (all names of all files, sorted, if not given) as
+    doubles; a column that a file lacks is NULL.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source"),
+                                       F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    fields = F.transform(F.split("value", r"[,\t]"), lambda x: F.trim(F.regexp_replace(x, '"', "")))
+    lines = raw.select("source", "_block", "_line", fields.alias("_fields"))
+    numeric = F.col("_fields")[0].rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$")
+    text = lines.where(~numeric & (F.size("_fields") > 1))
+    header = text.groupBy("source").agg(F.max_by("_fields", F.struct("_block", "_line")).alias("_h"))
+    named = F.transform("_h", lambda x, i: F.concat(x, F.when(
+        F.size(F.filter(F.slice("_h", 1, i), lambda y: y == x)) > 0,
+        F.concat(F.lit("_"), (F.size(F.filter(F.slice("_h", 1, i), lambda y: y == x)) + 1).cast("string"))).otherwise("")))
+    header = header.select("source", named.alias("_names"))
+    if cols is None:
+        cols = [r[0] for r in header.select(F.explode("_names").alias("n")).distinct().orderBy("n").collect() if r[0]]
+    j = lines.where(numeric).join(header, "source")
+    at = [F.try_element_at("_fields", F.nullif(F.array_position("_names", F.lit(c)), F.lit(0)).cast("int")).try_cast("double").alias(c) for c in cols]
+    return j.select("source", *at)
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
