@@ -80,3 +80,69 @@ def test_stream_scoring_equals_batch(spark):
     streamed = {tuple(r) for r in spark.read.parquet(out).collect()}
     batch = {tuple(r) for r in model.transform(feats).select("vec_id", "prediction").collect()}
     assert streamed == batch and len(batch) == 120
+
+
+def _stage_parts(spark, df, parts, name):
+    """Files arriving in the given order, then the end marker."""
+    import time
+    src = scratch_path(spark, name)
+    for nos in parts:
+        df.where(F.col("packet_no").isin(nos)).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    ST.append_end_marker(df, src, after="30 days")
+    return src
+
+
+def _run(spark, stream, name):
+    out = scratch_path(spark, f"{name}-out")
+    ST.run_append(stream, out, scratch_path(spark, f"{name}-ck"))
+    return spark.read.parquet(out).where("src is not null")
+
+
+def test_packets_out_of_order_give_the_batch_flows(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    seconds = [0, 50, 40, 120, 300, 310, 320, 390, 395]
+    df = _packets(spark, [("a", i, t0 + dt.timedelta(seconds=s), 1) for i, s in enumerate(seconds)]
+                  + [("b", 100 + i, t0 + dt.timedelta(seconds=10 * i), None) for i in range(30)])
+    src = _stage_parts(spark, df, [[0, 1, *range(100, 130, 2)], [2, 3, 7, *range(101, 130, 2)], [4, 5, 6, 8]], "ooo-in")
+    flows = ST.timeout_flows(ST.packet_stream(spark, src, df.schema), ["src"], 75, 100, watermark="1 day")
+    got = sorted((r.src, r.flowStartMilliseconds // 1000 - int(t0.replace(tzinfo=dt.timezone.utc).timestamp()), r.packets, r.octets)
+                 for r in _run(spark, flows, "ooo").collect())
+    # a: 120 s is past the active limit of the flow begun at 0, the gap before 300 s past the idle one
+    assert got == [("a", 0, 3, 3), ("a", 120, 1, 1), ("a", 300, 5, 5),
+                   ("b", 0, 11, 0), ("b", 110, 11, 0), ("b", 220, 8, 0)]
+
+
+def test_flow_cut_equals_a_loop_over_packets():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        us = np.sort(rng.integers(0, 400, rng.integers(1, 40)))
+        octets = rng.integers(0, 9, len(us))
+        want, cur = [], None
+        for u, o in zip(us.tolist(), octets.tolist()):
+            if cur and (u - cur[1] > 20 or u - cur[0] > 60):
+                want.append(tuple(cur))
+                cur = None
+            cur = cur or [u, u, 0, 0]
+            cur[1], cur[2], cur[3] = u, cur[2] + 1, cur[3] + o
+        half = len(us) // 2
+        first, flow = ST._cut(us[:half], octets[:half], None, 20, 60)
+        rest, flow = ST._cut(us[half:], octets[half:], flow, 20, 60)
+        assert first + rest + [flow] == want + [tuple(cur)]
+
+
+def test_sampler_in_event_time_with_idle_sessions(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    minutes = [0, 1, 2, 3, 4, 5, 200, 201, 202, 203]
+    df = _packets(spark, [("a", i, t0 + dt.timedelta(minutes=m), 1) for i, m in enumerate(minutes)])
+    src = _stage_parts(spark, df, [[0, 2, 5], [1, 3, 4], [7, 9], [6, 8]], "idle-in")
+    s = ST.sample_stream(ST.packet_stream(spark, src, df.schema), "src", "every_nth", 2, watermark="10 minutes", idle_seconds=3600)
+    out, ck = scratch_path(spark, "idle-out"), scratch_path(spark, "idle-ck")
+    q = (s.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ck)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r.packet_no, r.pos) for r in spark.read.parquet(out).where("src is not null").collect())
+    assert got == [(0, 0), (2, 2), (4, 4), (6, 0), (8, 2)]
+    # idle keys have left the state; only the end marker's own group may wait
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1

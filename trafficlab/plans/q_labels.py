@@ -74,9 +74,9 @@ def q_label_agm(spark, sf):
     return lab.select("src", "win", "Attack", "Label")
 
 
-def _labeled_cte() -> str:
+def _labeled_cte(bidir: bool = False) -> str:
     """The 5-tuple labeled flows as one more CTE after the flow views."""
-    body = _label_sql(False)
+    body = _label_sql(bidir)
     head, sel = body.rsplit("\nSELECT f.", 1)
     return head + ",\nlabeled AS (SELECT p.*, l.Attack, l.Label FROM pflows p JOIN (SELECT f." + sel + f") l USING ({KEY5}, session))\n"
 

@@ -6,12 +6,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timecols import col_micros
+from ..functions.timecols import col_micros, millis
 from ..operators import flows as FW
-from ..sources.tables import pkt_pair, pkt_user
+from ..sources.tables import attack_schedule, pkt_pair, pkt_user
 from ..streaming import streams as ST
 from .oracle_views import with_views
 from .q_flows import ACTIVE_S, ACTIVE_SELECT, IDLE_S, KEY5, KEYED_SQL, WINDOW_S, _WIN_US
+from .q_labels import _labeled_cte
 from .registry import REGISTRY
 from .registry import register
 
@@ -125,6 +126,36 @@ def q_stream_n_of_n(spark, sf):
     return _appended(spark, s, "nofn").select("packet_no", "src", "pos")
 
 
+_USER_SESSION_POS = f"""
+ug AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > {DAY_US} THEN 1 ELSE 0 END AS cut
+       FROM pkt_user WINDOW w AS (PARTITION BY src ORDER BY ts, packet_no)),
+us AS (SELECT *, sum(cut) OVER (PARTITION BY src ORDER BY ts, packet_no ROWS UNBOUNDED PRECEDING) AS session FROM ug),
+up AS (SELECT *, row_number() OVER (PARTITION BY src, session ORDER BY ts, packet_no) - 1 AS pos FROM us)"""
+
+
+@register("stream_sampler_idle", with_views("pkt_user", extra=_USER_SESSION_POS) + "SELECT packet_no, src, pos FROM up WHERE pos % 2 = 0")
+def q_stream_sampler_idle(spark, sf):
+    p = pkt_user(spark, sf)
+    path = _stage(spark, p, "sampler-idle")
+    ST.append_end_marker(p, path)
+    s = ST.sample_stream(ST.packet_stream(spark, path, p.schema), "src", "every_nth", 2, watermark="1 day", idle_seconds=86400)
+    return _appended(spark, s, "sampler-idle").where(F.col("src").isNotNull()).select("packet_no", "src", "pos")
+
+
+@register("stream_label", _labeled_cte(True) + f"""SELECT {KEY5}, (epoch_us(flow_start) // 1000) AS flowStartMilliseconds,
+  Attack, Label FROM labeled""")
+def q_stream_label(spark, sf):
+    p = FW.with_canonical_key(pkt_pair(spark, sf))
+    path = _stage(spark, p, "label")
+    ST.append_end_marker(p, path)
+    flows = ST.session_flows(ST.packet_stream(spark, path, p.schema), FW.FIVE_TUPLE, "6 hours")
+    flows = flows.select(*FW.FIVE_TUPLE, F.unix_millis("first_ts").alias("flowStartMilliseconds"))
+    sched = attack_schedule(spark, sf)
+    sched = sched.withColumns({"t0": millis(F.col("t0")), "t1": millis(F.col("t1"))})
+    labeled = ST.label_stream(flows, sched, "5tuplebi", src="a_ip", dst="b_ip", start="flowStartMilliseconds")
+    return _appended(spark, labeled, "label").where(F.col("a_ip").isNotNull())
+
+
 @register("stream_time_slots", with_views("pkt_user")
           + f"SELECT DISTINCT src, CAST(floor(epoch_us(ts) / {DAY_US}) AS BIGINT) AS slot FROM pkt_user")
 def q_stream_time_slots(spark, sf):

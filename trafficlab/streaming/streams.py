@@ -1,9 +1,15 @@
 """Structured Streaming versions of the flow and sampling operators.
 
 Packets arrive as files (``readStream`` + ``maxFilesPerTrigger``); flows are
-windowed / session-windowed aggregates with a watermark; per-key samplers
-keep a small counter in state (``applyInPandasWithState``); duplicates are
-dropped within the watermark; scoring is a stateless transform.
+windowed / session-windowed aggregates with a watermark; duplicates are
+dropped within the watermark; labeling is a stream-static join; scoring is a
+stateless transform.
+
+The timeout cutter and the samplers keep state per key
+(``applyInPandasWithState``).  Packets wait in the key's state until the
+watermark has passed them and are then taken in event-time order, so the
+result does not depend on the order of arrival within the watermark delay.  A
+key's waiting packets (those of one delay) must fit into a task.
 
 Aggregates run in ``update`` mode: every micro-batch appends its changed
 rows, tagged with the batch id, through ``foreachBatch``; state older than
@@ -15,15 +21,20 @@ aggregate.  Event time must be ``TIMESTAMP`` (``withWatermark`` rejects
 
 from __future__ import annotations
 
+import hashlib
+import io
 import time
 from typing import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timecols import col_micros, micros
+from ..operators.labels import label_flows
 from ..session import scratch_path
 
 
@@ -117,63 +128,130 @@ def session_flows(packets: DataFrame, keys: Sequence[str], gap: str, watermark:
                  F.min("ts").alias("first_ts")))
 
 
-def _counter_sampler(keep: Callable[[pd.Series], pd.Series], key: str, order: Sequence[str],
-                     out_schema: T.StructType):
-    def fn(k, pdfs, state):
-        seen = state.get[0] if state.exists else 0
-        chunks = [p for p in pdfs]
-        if not chunks:
-            return
-        pdf = pd.concat(chunks, ignore_index=True).sort_values(list(order), kind="mergesort")
-        pos = pd.Series(range(seen, seen + len(pdf)), index=pdf.index)
-        sel = pdf[keep(pos).values].copy()
-        sel["pos"] = pos[keep(pos).values].astype("int64").values
-        state.update((seen + len(pdf),))
-        yield sel[[f.name for f in out_schema.fields]]
-    return fn
+def _pack(rows: pd.DataFrame) -> bytes:
+    if rows.empty:
+        return b""
+    sink = io.BytesIO()
+    data = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, data.schema) as out:
+        out.write_table(data)
+    return sink.getvalue()
+
+
+def _waiting_and_ready(pdfs, packed: bytes, done_us: int, watermark_us: int, order: Sequence[str]):
+    """Packets still to wait and those the watermark has passed, in event-time order.
+
+    A packet at or before ``done_us``, up to where its key has been worked
+    off, came later than the watermark allows and is left out."""
+    frames = [p for p in pdfs if len(p)]
+    if packed:
+        frames.append(pa.ipc.open_stream(packed).read_pandas())
+    if not frames:
+        return pd.DataFrame(), pd.DataFrame({"_us": []})
+    rows = pd.concat(frames, ignore_index=True)
+    rows = rows[rows["_us"] > done_us].sort_values(["_us", *order], kind="mergesort")
+    ready = rows["_us"] <= watermark_us
+    return rows[~ready], rows[ready]
+
+
+def _session_starts(us: np.ndarray, last_us: int | None, idle_us: int | None) -> np.ndarray:
+    """True where a packet comes more than ``idle_us`` after the one before it (``last_us`` before the first)."""
+    if idle_us is None or not len(us):
+        return np.zeros(len(us), bool)
+    before = np.concatenate([[us[0] if last_us is None else last_us], us[:-1]])
+    return us - before > idle_us
+
+
+def _positions(starts: np.ndarray, seen: int) -> np.ndarray:
+    """Position in the session of each packet, ``seen`` packets of the first session being earlier."""
+    at = np.arange(len(starts), dtype=np.int64)
+    first = np.maximum.accumulate(np.where(starts, at, -1))
+    return np.where(first < 0, at + seen, at - first)
 
 
 def _n_of_n_kept(n: int, seed: int):
-    """Position -> kept?  In each block of N = n*n positions the n with the
-    lowest md5('seed:pos') are kept (the same rule as the batch sampler, so
-    a block's choice needs no state beyond the position counter)."""
-    import hashlib
+    """Which positions are kept: in each block of N = n*n positions the n with
+    the lowest md5('seed:pos') (the same rule as the batch sampler, so a
+    block's choice needs no state beyond the position counter)."""
     big = n * n
-    cache: dict[int, set] = {}
 
-    def kept(pos: int) -> bool:
-        b = pos // big
-        if b not in cache:
-            slots = range(b * big, b * big + big)
-            ranked = sorted(slots, key=lambda q: (hashlib.md5(f"{seed}:{q}".encode()).hexdigest(), q))
-            cache.clear()
-            cache[b] = set(ranked[:n])
-        return pos in cache[b]
-    return kept
+    def keep(pos: np.ndarray) -> np.ndarray:
+        kept: set[int] = set()
+        for b in np.unique(pos // big):
+            slots = range(int(b) * big, int(b) * big + big)
+            kept.update(sorted(slots, key=lambda q: (hashlib.md5(f"{seed}:{q}".encode()).hexdigest(), q))[:n])
+        return np.isin(pos, list(kept))
+    return keep
+
+
+def _keep_rule(mode: str, n: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    if mode == "every_nth":
+        return lambda pos: pos % n == 0
+    if mode == "first_n":
+        return lambda pos: pos < n
+    if mode == "n_of_N":
+        return _n_of_n_kept(n, seed)
+    raise ValueError(mode)
 
 
 def sample_stream(packets: DataFrame, key: str, mode: str, n: int,
-                  order: Sequence[str] = ("ts", "packet_no"), seed: int = 1000) -> DataFrame:
+                  order: Sequence[str] = ("ts", "packet_no"), seed: int = 1000,
+                  watermark: str | None = None, idle_seconds: float | None = None) -> DataFrame:
     """Per-key sampler with the packet counter carried in state
     across micro-batches: ``every_nth`` keeps positions 0, n, 2n ...,
     ``first_n`` the first n packets of the key, ``n_of_N`` n hash-ranked
     positions of every block of n*n.  (A single global counter
-    would serialise the stream, so the carry is per key.)"""
+    would serialise the stream, so the carry is per key.)
+
+    With a ``watermark`` packets are numbered in event-time order as the
+    watermark passes them; without one, as a live sampler does, in order of
+    arrival.  With ``idle_seconds`` (needs a watermark) a longer gap starts the
+    count anew and a key idle for so long leaves the state; without it the
+    counter of every key is kept for good, so keys must be bounded.
+    """
+    if idle_seconds is not None and watermark is None:
+        raise ValueError("idle_seconds needs a watermark")
     out_schema = T.StructType(packets.schema.fields + [T.StructField("pos", T.LongType())])
-    if mode == "every_nth":
-        def keep(p):
-            return p % n == 0
-    elif mode == "first_n":
-        def keep(p):
-            return p < n
-    elif mode == "n_of_N":
-        def keep(p):
-            return p.map(_n_of_n_kept(n, seed))
-    else:
-        raise ValueError(mode)
-    state_schema = T.StructType([T.StructField("seen", T.LongType())])
-    return packets.groupBy(key).applyInPandasWithState(
-        _counter_sampler(keep, key, order, out_schema), out_schema, state_schema, "append", "NoTimeout")
+    names = [f.name for f in out_schema.fields]
+    keep = _keep_rule(mode, n, seed)
+    idle_us = None if idle_seconds is None else int(idle_seconds * 1e6)
+    src = packets.withColumn("_us", F.unix_micros("ts"))
+
+    def kept(rows: pd.DataFrame, pos: np.ndarray) -> pd.DataFrame:
+        return rows.assign(pos=pos)[keep(pos)][names]
+
+    if watermark is None:
+        def by_arrival(k, pdfs, state):
+            seen = state.get[0] if state.exists else 0
+            frames = [p for p in pdfs if len(p)]
+            if frames:
+                rows = pd.concat(frames, ignore_index=True).sort_values(list(order), kind="mergesort")
+                state.update((seen + len(rows),))
+                yield kept(rows, np.arange(seen, seen + len(rows), dtype=np.int64))
+        return src.groupBy(key).applyInPandasWithState(by_arrival, out_schema, "seen long", "append", "NoTimeout")
+
+    def in_order(k, pdfs, state):
+        seen, last, done, packed = state.get if state.exists else (0, None, -1, b"")
+        mark_us = state.getCurrentWatermarkMs() * 1000
+        wait, ready = _waiting_and_ready(pdfs, bytes(packed), done, mark_us, order)
+        if len(ready):
+            us = ready["_us"].to_numpy(np.int64)
+            pos = _positions(_session_starts(us, last, idle_us), seen)
+            seen, last, done = int(pos[-1]) + 1, int(us[-1]), mark_us
+            yield kept(ready, pos)
+        idle = idle_us is not None and (last is None or mark_us >= last + idle_us)
+        if wait.empty and idle and state.exists:
+            state.remove()
+            return
+        state.update((seen, last, done, _pack(wait)))
+        due = [] if wait.empty else [int(wait["_us"].iloc[0])]
+        if idle_us is not None and last is not None and not idle:
+            due.append(last + idle_us)
+        if due:
+            state.setTimeoutTimestamp(min(due) // 1000 + 2)
+
+    return src.withWatermark("ts", watermark).groupBy(key).applyInPandasWithState(
+        in_order, out_schema, "seen long, last long, done long, waiting binary", "append", "EventTimeTimeout")
 
 
 def time_slots(packets: DataFrame, key: str, seconds: int, watermark: str = "1 day") -> DataFrame:
@@ -193,52 +271,79 @@ def score_stream(model, stream: DataFrame) -> DataFrame:
     return model.transform(stream)
 
 
+def label_stream(flows: DataFrame, schedule: DataFrame, mode: str, **names) -> DataFrame:
+    """Labels of a stream of flows; the folded schedule is the static side (see ``label_flows``)."""
+    return label_flows(flows, schedule, mode, **names)
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
 
 
+def _cut(us: np.ndarray, octets: np.ndarray, flow: tuple | None, idle_us: int, active_us: int):
+    """Flows closed by the packets at ``us`` (sorted) and the flow left open,
+    each (start, last, packets, octets); one step per flow, not per packet."""
+    closed = []
+    gaps = np.append(np.flatnonzero(np.diff(us) > idle_us) + 1, len(us))
+    total = np.concatenate([[0], np.cumsum(octets)])
+    i = 0
+    while i < len(us):
+        if flow is not None and (us[i] - flow[1] > idle_us or us[i] - flow[0] > active_us):
+            closed.append(flow)
+            flow = None
+        start, _, packets, size = flow or (int(us[i]), 0, 0, 0)
+        j = min(int(gaps[np.searchsorted(gaps, i, "right")]), int(np.searchsorted(us, start + active_us, "right")))
+        flow = (start, int(us[j - 1]), packets + j - i, size + int(total[j] - total[i]))
+        i = j
+    return closed, flow
+
+
 def timeout_flows(packets: DataFrame, keys: Sequence[str], idle_seconds: float, active_seconds: float,
                   watermark: str = "1 day") -> DataFrame:
     """T5: flows per key cut by the idle and the active timeout, with the
-    open flow kept in state: (start, last, packets, octets).  A packet more
+    open flow (start, last, packets, octets) kept in state.  A packet more
     than ``idle`` after the last one or more than ``active`` after the flow
-    start closes the flow; an event-time timer at last + idle closes it when
-    the watermark passes.  Output: keys, flowStartMilliseconds, packets, octets."""
+    start closes the flow; an event-time timer closes it when the watermark
+    leaves no packet that could continue it.  Packets are taken in event-time
+    order as the watermark passes them, so packets out of order within the
+    delay give the batch result.
+    Output: keys, flowStartMilliseconds, packets, octets."""
     keys = list(keys)
     key_fields = [packets.schema[k] for k in keys]
     out_schema = T.StructType(key_fields + [T.StructField("flowStartMilliseconds", T.LongType()),
                                             T.StructField("packets", T.LongType()),
                                             T.StructField("octets", T.LongType())])
-    state_schema = T.StructType([T.StructField("start", T.LongType()), T.StructField("last", T.LongType()),
-                                 T.StructField("packets", T.LongType()), T.StructField("octets", T.LongType())])
     idle_us, active_us = int(idle_seconds * 1e6), int(active_seconds * 1e6)
     names = [f.name for f in out_schema.fields]
 
     def fn(key, pdfs, state):
-        out = []
-        if state.hasTimedOut:
-            s = state.get
-            out.append(list(key) + [s[0] // 1000, s[2], s[3]])
-            state.remove()
+        flow, done, packed = None, -1, b""
+        if state.exists:
+            start, last, n, size, done, packed = state.get
+            flow = None if start is None else (start, last, n, size)
+        mark_us = state.getCurrentWatermarkMs() * 1000
+        wait, ready = _waiting_and_ready(pdfs, bytes(packed), done, mark_us, ["packet_no"])
+        closed = []
+        if len(ready):
+            octets = ready["octets"].fillna(0).to_numpy(np.int64)
+            closed, flow = _cut(ready["_us"].to_numpy(np.int64), octets, flow, idle_us, active_us)
+            done = mark_us
+        if flow is not None and mark_us >= flow[1] + idle_us:
+            closed.append(flow)
+            flow = None
+        if flow is None and wait.empty:
+            if state.exists:
+                state.remove()
         else:
-            cur = list(state.get) if state.exists else None
-            chunks = [p for p in pdfs]
-            pdf = pd.concat(chunks, ignore_index=True).sort_values(["_us", "packet_no"], kind="mergesort")
-            for us, octets in zip(pdf["_us"].tolist(), pdf["octets"].tolist()):
-                octets = int(octets) if octets == octets else 0
-                if cur is not None and (us - cur[1] > idle_us or us - cur[0] > active_us):
-                    out.append(list(key) + [cur[0] // 1000, cur[2], cur[3]])
-                    cur = None
-                if cur is None:
-                    cur = [us, us, 0, 0]
-                cur[1] = us
-                cur[2] += 1
-                cur[3] += octets
-            state.update(tuple(cur))
-            state.setTimeoutTimestamp(cur[1] // 1000 + idle_us // 1000 + 1)
+            state.update((*(flow or (None,) * 4), done, _pack(wait)))
+            due = [] if wait.empty else [int(wait["_us"].iloc[0])]
+            if flow is not None:
+                due.append(flow[1] + idle_us)
+            state.setTimeoutTimestamp(min(due) // 1000 + 2)
         # the end-of-input marker has NULL keys: it only moves the watermark
-        if out and not any(k is None for k in key):
-            yield pd.DataFrame(out, columns=names)
+        if closed and not any(k is None for k in key):
+            yield pd.DataFrame([[*key, f[0] // 1000, f[2], f[3]] for f in closed], columns=names)
 
-    src = packets.withColumn("_us", F.unix_micros("ts")).withWatermark("ts", watermark)
-    return src.groupBy(*keys).applyInPandasWithState(fn, out_schema, state_schema, "append", "EventTimeTimeout")
+    src = packets.select(*keys, "ts", "packet_no", "octets", F.unix_micros("ts").alias("_us")).withWatermark("ts", watermark)
+    return src.groupBy(*keys).applyInPandasWithState(
+        fn, out_schema, "start long, last long, packets long, octets long, done long, waiting binary", "append", "EventTimeTimeout")
