@@ -49,7 +49,7 @@ def test_flow_counts_add_up(spark):
     from trafficlab.sources.tables import pkt_pair
     from tests.conftest import SF001
     p = pkt_pair(spark, SF001)
-    v = FW.caia_vector(p, 6 * 3600)
+    v = FW.caia_vector(p, 6 * 3600, active_seconds=None)
     tot = v.agg(F.sum("count(packetTotalCount,forward)") + F.sum("count(packetTotalCount,backward)")).first()[0]
     assert tot == p.count()
 

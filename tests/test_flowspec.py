@@ -50,9 +50,31 @@ def test_timeouts_cut_inside_a_window(spark):
 def test_unsupported_features_raise(spark):
     p = _packets(spark, [0])
     with pytest.raises(ValueError):
-        extract_flows(p, FlowSpec([{"apply": [{"accumulate": ["ipTTL"]}, "forward"]}], ["sourceIPAddress", "__timeWindow10s"]))
+        extract_flows(p, FlowSpec([{"apply": [{"median": ["ipTTL"]}, "forward"]}], ["sourceIPAddress", "__timeWindow10s"]))
     with pytest.raises(ValueError):
-        extract_flows(p, FlowSpec([{"apply": [{"accumulate": ["ipTTL"]}, "forward"]}], [], True))
+        extract_flows(p, FlowSpec([{"apply": [{"accumulate": ["ipTTL"]}, "backward"]}], ["sourceIPAddress", "__timeWindow10s"]))
+    with pytest.raises(ValueError):
+        extract_flows(p, FlowSpec([{"apply": [{"median": ["ipTTL"]}, "forward"]}], [], True))
+    with pytest.raises(ValueError):
+        extract_flows(p, FlowSpec([{"apply": [{"accumulate": ["none"]}, "forward"]}], [], True))
+    with pytest.raises(ValueError):
+        FlowSpec.from_json({"features": [], "key_features": [], "rate_limit": 3})
+
+
+def test_accumulate(spark):
+    there, back = _packets(spark, [0, 20, 40]), _packets(spark, [10, 30], 2, 1, "b", "a").withColumn("ttl", F.lit(None).cast("long"))
+    p = there.unionByName(back.withColumn("packet_no", F.col("packet_no") + 10))
+    lists = [{"apply": [{"accumulate": [a]}, d]} for a in ("ipTTL", "tcpSynTotalCount", "_interPacketTimeSeconds") for d in ("forward", "backward")]
+    r = extract_flows(p, FlowSpec(["sourceIPAddress", *lists], [], True, 1800, 300)).collect()
+    assert [tuple(x) for x in r] == [("a", [64, 64, 64], [None, None], [1, 1, 1], [1, 1], [None, 20.0, 20.0], [None, 20.0])]
+    spec = FlowSpec(["sourceIPAddress", {"apply": [{"accumulate": ["destinationTransportPort"]}, "forward"]}], ["sourceIPAddress", "__timeWindow60s"], False, 1800, 300)
+    assert sorted((x[1], x[2]) for x in extract_flows(p, spec).collect()) == [("a", [2, 2, 2]), ("b", [1, 1])]
+
+
+def test_vector_cuts_long_flows(spark):
+    slow = _packets(spark, range(0, 2400, 60))
+    assert FW.caia_vector(slow).count() == 2
+    assert FW.caia_vector(slow, active_seconds=None).count() == 1
 
 
 def test_traffic_without_ports_is_kept(spark):

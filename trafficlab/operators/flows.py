@@ -81,9 +81,10 @@ def with_ipt(packets: DataFrame, keys: Sequence[str], order: Sequence[str] = PAC
     return lagged.withColumn(out, ipt).drop("_prev_ts")
 
 
-def caia_vector(packets: DataFrame, idle_seconds: float = 300,
-                num_buckets: int | None = None, flow_sampling: tuple | None = None) -> DataFrame:
-    """bidirectional 5-tuple flows cut by the idle timeout -> 34 columns.
+def caia_vector(packets: DataFrame, idle_seconds: float = 300, num_buckets: int | None = None,
+                flow_sampling: tuple | None = None, active_seconds: float | None = 1800) -> DataFrame:
+    """bidirectional 5-tuple flows cut by the idle and the active timeout
+    (``active_seconds=None``: by the idle timeout only) -> 34 columns.
 
     Forward is the orientation of the flow's first packet.  Per direction:
     packet, octet, SYN, ACK, FIN, CWR counts (0 when the direction is absent)
@@ -96,10 +97,14 @@ def caia_vector(packets: DataFrame, idle_seconds: float = 300,
     packets, the flow start and addresses the whole flow.
     """
     keyed = with_canonical_key(packets)
-    # one bucketing of (5-tuple, time) serves both scans: sessions, then the
-    # per-direction inter-packet time inside each session
-    sess = sessionize(keyed, FIVE_TUPLE, idle_seconds, num_buckets=num_buckets, keep_bucket=True)
-    fkey = FIVE_TUPLE + ["session"]
+    if active_seconds is None:
+        # one bucketing of (5-tuple, time) serves both scans: sessions, then the
+        # per-direction inter-packet time inside each session
+        sess = sessionize(keyed, FIVE_TUPLE, idle_seconds, num_buckets=num_buckets, keep_bucket=True)
+        fkey = FIVE_TUPLE + ["session"]
+    else:
+        sess = active_timeout(keyed, FIVE_TUPLE, idle_seconds, active_seconds, num_buckets=num_buckets)
+        fkey = FIVE_TUPLE + ["session", "subflow"]
     if flow_sampling is None:
         ipt = with_ipt(sess, fkey + ["a_side"], num_buckets=num_buckets)
         keep = F.lit(True)

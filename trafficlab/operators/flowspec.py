@@ -9,7 +9,10 @@ and ``{"version": "v2", "preprocessing": {"flows": [...]}}``.
 The compiler produces ordinary Spark aggregates: unidirectional specs go
 through the two-level (flow, attribute, value) count table (distinct, mode,
 modeCount, min / mean / max / stdev all come from it), bidirectional specs
-through per-direction conditional aggregates over idle-timeout sessions.
+through per-direction conditional aggregates over the flows of both timeouts.
+``{"apply": [{"accumulate": [attribute]}, direction]}`` keeps the packets'
+values in time order as one array (NULLs included), so the packets of such a
+flow must fit into a row.  Anything else in a spec raises an error.
 """
 
 from __future__ import annotations
@@ -70,6 +73,9 @@ class FlowSpec:
             d = json.loads(Path(src).read_text())
         if d.get("version") == "v2":
             d = d["preprocessing"]["flows"][0]
+        unknown = set(d) - {"features", "key_features", "bidirectional", "active_timeout", "idle_timeout"}
+        if unknown:
+            raise ValueError(f"unsupported spec fields {sorted(unknown)}")
         return cls(features=list(d["features"]), key_features=list(d.get("key_features", [])),
                    bidirectional=bool(d.get("bidirectional", False)),
                    active_timeout=d.get("active_timeout"), idle_timeout=d.get("idle_timeout"))
@@ -132,6 +138,15 @@ def _unidirectional(packets: DataFrame, spec: FlowSpec, window_seconds: int, idl
     flows = FW.agm_flow_id(packets, window_seconds, idle_seconds, spec.active_timeout if idle_seconds else None)
     fkeys = keys + [c for c in ("win", "session", "subflow") if c in flows.columns]
     funcs = [f for f in spec.features if isinstance(f, dict)]
+    arrays = [f for f in funcs if _accumulated(f)]
+    if arrays:
+        if len(arrays) < len(funcs) or any(f["apply"][1] != "forward" for f in arrays):
+            raise ValueError("a unidirectional spec takes accumulate in the forward direction, and no other function beside it")
+        parts = sorted({_accumulated(f) for f in arrays})
+        g = flows.groupBy(*fkeys).agg(F.min("ts").alias("_t0"), F.count(F.lit(1)).alias("_pk"), F.sum("octets").alias("_oc"),
+                                      _packet_list(parts).alias("_list"))
+        g = g.withColumns({feature_name(f): _values("_list", _accumulated(f)) for f in arrays})
+        return _select_unidirectional(g, spec, packets, keys)
     for f in funcs:
         (fn, args), = f.items()
         if len(args) != 1 or not isinstance(args[0], str):
@@ -187,6 +202,10 @@ def _unidirectional(packets: DataFrame, spec: FlowSpec, window_seconds: int, idl
         else:
             raise ValueError(f"unsupported function {fn!r} in a unidirectional spec")
     grouped = lvl1.groupBy(*fkeys).agg(*aggs) if items else lvl1
+    return _select_unidirectional(grouped, spec, packets, keys)
+
+
+def _select_unidirectional(grouped: DataFrame, spec: FlowSpec, packets: DataFrame, keys: list[str]) -> DataFrame:
     plain = {"flowStartMilliseconds": millis(F.col("_t0"), is_ntz(packets, "ts")),
              "packetTotalCount": F.col("_pk").cast("long"),
              "octetTotalCount": F.col("_oc").cast("long")}
@@ -199,6 +218,34 @@ def _unidirectional(packets: DataFrame, spec: FlowSpec, window_seconds: int, idl
     return grouped.select(*sel)
 
 
+def _accumulated(feature: Any) -> str | None:
+    """The attribute of ``{"apply": [{"accumulate": [attribute]}, direction]}``."""
+    if isinstance(feature, dict) and "apply" in feature and isinstance(feature["apply"][0], dict):
+        (fn, args), = feature["apply"][0].items()
+        if fn == "accumulate":
+            if len(args) != 1 or args[0] not in ATTRIBUTES.keys() | COUNTERS.keys():
+                raise ValueError(f"unsupported feature {feature_name(feature)!r}")
+            return args[0]
+    return None
+
+
+def _packet_value(attr: str) -> Column:
+    if attr in COUNTERS:
+        letter = COUNTERS[attr]
+        return F.lit(1) if not letter else F.coalesce(F.col("flags").contains(letter), F.lit(False)).cast("int")
+    return _attr_col(attr)
+
+
+def _packet_list(attrs: list[str], cond: Column | None = None) -> Column:
+    """The packets (those meeting ``cond``) in time order, as one array of their values."""
+    row = F.struct("ts", "packet_no", *[_packet_value(a).alias(a) for a in attrs])
+    return F.array_sort(F.collect_list(row if cond is None else F.when(cond, row)))
+
+
+def _values(listed: str, attr: str) -> Column:
+    return F.transform(F.col(f"`{listed}`"), lambda x: x[attr])
+
+
 def _side_expr(feature: Any, cond: Column, flags: Column) -> Column:
     """Aggregate of one (non-apply) feature over the packets matching ``cond``."""
     if isinstance(feature, str):
@@ -228,12 +275,13 @@ def _bidirectional(packets: DataFrame, spec: FlowSpec, idle_seconds: float) -> D
     ipt = FW.with_ipt(sess, fkey + ["a_side"])
     flags = F.col("flags")
     aggs = [F.min(F.struct("ts", "packet_no", "src", "dst", "sport", "dport", "a_side")).alias("_first")]
-    applied = []
+    parts = sorted({_accumulated(f) for f in spec.features if _accumulated(f)})
+    if parts:
+        aggs += [_packet_list(parts, F.col("a_side")).alias("_a_list"), _packet_list(parts, ~F.col("a_side")).alias("_b_list")]
     for f in spec.features:
-        if isinstance(f, dict) and "apply" in f:
-            inner, direction = f["apply"]
+        if isinstance(f, dict) and "apply" in f and not _accumulated(f):
+            inner = f["apply"][0]
             name = feature_name(f)
-            applied.append((name, direction))
             aggs.append(_side_expr(inner, F.col("a_side"), flags).alias(f"a:{name}"))
             aggs.append(_side_expr(inner, ~F.col("a_side"), flags).alias(f"b:{name}"))
     g = ipt.groupBy(*fkey).agg(*aggs)
@@ -248,9 +296,11 @@ def _bidirectional(packets: DataFrame, spec: FlowSpec, idle_seconds: float) -> D
         name = feature_name(f)
         if isinstance(f, str):
             sel.append(plain[name].alias(name))
+        elif "apply" not in f or f["apply"][1] not in ("forward", "backward"):
+            raise ValueError(f"unsupported feature {name!r} in a bidirectional spec")
         else:
-            direction = f["apply"][1]
-            a, b = F.col(f"`a:{name}`"), F.col(f"`b:{name}`")
-            fwd = direction == "forward"
+            attr = _accumulated(f)
+            a, b = (_values("_a_list", attr), _values("_b_list", attr)) if attr else (F.col(f"`a:{name}`"), F.col(f"`b:{name}`"))
+            fwd = f["apply"][1] == "forward"
             sel.append(F.when(fwd_is_a, a if fwd else b).otherwise(b if fwd else a).alias(name))
     return g.select(*sel)

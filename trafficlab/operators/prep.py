@@ -115,6 +115,20 @@ def narrow_types(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def narrow(df: DataFrame, cols: Sequence[str], floats: bool = False) -> DataFrame:
+    """G7 applied: every column cast to the type ``narrow_types`` found (one
+    row per column, collected); with ``floats`` other doubles become float32,
+    which rounds them to 24 bits."""
+    types = {r["column"]: r["type"] for r in narrow_types(df, cols).collect()}
+    found = {c: "float" if floats and t == "double" else t for c, t in types.items()}
+    return apply_narrowing(df, found)
+
+
+def split_xy(df: DataFrame, label: str, drop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The feature columns (without ``drop``) and the label column."""
+    return df.drop(label, *drop), df.select(label)
+
+
 def apply_narrowing(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
 

@@ -199,6 +199,15 @@ def q_run_bundles(spark, sf):
     return round_doubles(EV.bundles(metrics(spark, sf)))
 
 
+@register("run_bundle_rows", RUNS_SQL + """ SELECT vector, CAST(bundle_mode AS INTEGER) AS bundle_mode, run_id, round(f1, 6) AS f1 FROM (
+  SELECT vector, mode AS bundle_mode, run_id, f1 FROM metrics WHERE steps > 0
+  UNION ALL SELECT u.vector, b.mode, u.run_id, u.f1 FROM metrics u
+    JOIN (SELECT DISTINCT vector, mode FROM metrics WHERE steps > 0) b USING (vector) WHERE u.steps = 0)""")
+def q_run_bundle_rows(spark, sf):
+    rows = EV.bundle_rows(metrics(spark, sf)).select("vector", F.col("bundle_mode").cast("int").alias("bundle_mode"), "run_id", "f1")
+    return round_doubles(rows)
+
+
 @register("run_bundles_steps", RUNS_SQL + " SELECT run_id, sampling, vector, round(f1, 6) AS f1 FROM metrics WHERE steps = 5")
 def q_run_bundles_steps(spark, sf):
     return round_doubles(EV.bundles_by_steps(metrics(spark, sf), 5).select("run_id", "sampling", "vector", "f1"))

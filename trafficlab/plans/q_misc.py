@@ -96,11 +96,11 @@ def _caia_subset(cols):
 
 @register("caia_counts", _caia_subset(_COUNT_COLS))
 def q_caia_counts(spark, sf):
-    v = FW.caia_vector(pkt_pair(spark, sf), IDLE_S)
+    v = FW.caia_vector(pkt_pair(spark, sf), IDLE_S, active_seconds=None)
     return v.select(*[F.col(f"`{c}`") for c in _FLOWKEY + _COUNT_COLS])
 
 
 @register("caia_stats", _caia_subset(_STAT_COLS))
 def q_caia_stats(spark, sf):
-    v = round_doubles(FW.caia_vector(pkt_pair(spark, sf), IDLE_S))
+    v = round_doubles(FW.caia_vector(pkt_pair(spark, sf), IDLE_S, active_seconds=None))
     return v.select(*[F.col(f"`{c}`") for c in _FLOWKEY + _STAT_COLS])

@@ -130,7 +130,7 @@ def q_experiment_report(spark, sf):
     from ..schema import CAIA_ORDER
     from ..sources.tables import attack_schedule, pkt_pair
     from .q_flows import FS_CAIA, IDLE_S
-    vec = FW.caia_vector(pkt_pair(spark, sf), IDLE_S, flow_sampling=FS_CAIA)
+    vec = FW.caia_vector(pkt_pair(spark, sf), IDLE_S, flow_sampling=FS_CAIA, active_seconds=None)
     feats = [c for c in CAIA_ORDER if c not in ("flowStartMilliseconds", "sourceIPAddress", "destinationIPAddress")]
     flows = vec.withColumn("flow_start", F.col("flowStartMilliseconds"))
     key = ["sourceIPAddress", "destinationIPAddress", "sourceTransportPort", "destinationTransportPort",

@@ -10,12 +10,16 @@ from .oracle_views import ORDER_SORT as SQL_ORDER_SORT
 from .registry import register, round_doubles
 
 LI_KEY = ["l_orderkey"] + ORDER_SORT
-SPLIT_SQL = f"""
+def _split_sql(chunk_rows: int) -> str:
+    return f"""
 pos AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, {SQL_ORDER_SORT}) - 1 AS row_id FROM lineitem),
-split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY row_id // {P.CHUNK_ROWS}
+split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY row_id // {chunk_rows}
                           ORDER BY md5('{P.SPLIT_SEED}:' || CAST(row_id AS VARCHAR)), row_id)
-                        <= ceil(count(*) OVER (PARTITION BY row_id // {P.CHUNK_ROWS}) * {P.TEST_SIZE})
+                        <= ceil(count(*) OVER (PARTITION BY row_id // {chunk_rows}) * {P.TEST_SIZE})
                    THEN 'test' ELSE 'train' END AS part FROM pos)"""
+
+
+SPLIT_SQL = _split_sql(P.CHUNK_ROWS)
 DOC_SQL = """
 dl AS (SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
 dpos AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM dl),
@@ -43,6 +47,15 @@ def q_train_test_split(spark, sf):
     return P.split_train_test(table(spark, sf, "lineitem"), LI_KEY).select("row_id", "part", "l_orderkey", "l_linenumber")
 
 
+SMALL_CHUNK = 7_000
+
+
+@register("train_test_split_many", f"WITH {_split_sql(SMALL_CHUNK)} SELECT row_id, part, l_orderkey, l_linenumber FROM split")
+def q_train_test_split_many(spark, sf):
+    split = P.split_train_test(table(spark, sf, "lineitem"), LI_KEY, chunk_rows=SMALL_CHUNK)
+    return split.select("row_id", "part", "l_orderkey", "l_linenumber")
+
+
 @register("split_sizes", f"WITH {SPLIT_SQL} SELECT part, count(*) AS n FROM split GROUP BY part")
 def q_split_sizes(spark, sf):
     s = P.split_train_test(table(spark, sf, "lineitem"), LI_KEY)
@@ -181,3 +194,36 @@ def q_pca_fit(spark, sf):
     pc = model.pc.toArray()
     rows = [(j, i, float(pc[i, j])) for j in range(pc.shape[1]) for i in range(pc.shape[0])]
     return spark.createDataFrame(rows, "component int, feature int, loading double")
+
+
+@register("pca_rotation", """WITH v AS (SELECT vec_id, unnest(embedding) AS x FROM embeddings)
+SELECT vec_id, round(sum(CAST(x AS DOUBLE) * x), 4) AS squared_norm FROM v GROUP BY vec_id""")
+def q_pca_rotation(spark, sf):
+    """A projection on all components is a rotation: it keeps each row's norm."""
+    from pyspark.ml.functions import vector_to_array
+    w = embeddings_wide(spark, sf)
+    out = P.apply_pca(P.fit_pca(w, EMB_COLS, EMB_DIM), w, EMB_COLS).select("vec_id", vector_to_array("pca").alias("pca"))
+    norm = F.aggregate("pca", F.lit(0.0), lambda a, x: a + x * x)
+    return out.select("vec_id", F.round(norm, 4).alias("squared_norm"))
+
+
+@register("pca_variances", "SELECT round(" + " + ".join(f"var_samp(embedding[{i + 1}])" for i in range(EMB_DIM))
+          + ", 4) AS total_variance FROM embeddings")
+def q_pca_variances(spark, sf):
+    """The variances along all components add up to the trace of the covariance."""
+    from pyspark.ml.functions import vector_to_array
+    w = embeddings_wide(spark, sf)
+    out = P.apply_pca(P.fit_pca(w, EMB_COLS, EMB_DIM), w, EMB_COLS).select(vector_to_array("pca").alias("pca"))
+    total = sum((F.var_samp(F.col("pca")[i]) for i in range(EMB_DIM)), F.lit(0.0))
+    return out.agg(F.round(total, 4).alias("total_variance"))
+
+
+def _type_counts_sql() -> str:
+    return "SELECT " + ", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in NARROW_COLS) + " FROM lineitem"
+
+
+@register("narrow_apply", _type_counts_sql())
+def q_narrow_apply(spark, sf):
+    """G7 applied: sums over the narrowed columns are those of the originals."""
+    li = P.narrow(table(spark, sf, "lineitem"), NARROW_COLS)
+    return li.agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in NARROW_COLS])

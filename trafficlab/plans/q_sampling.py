@@ -216,3 +216,15 @@ def q_union_captures(spark, sf):
     parts = [p.where(F.col("capture").isin(early)), p.where(~F.col("capture").isin(early))]
     u = S.union_captures(parts)
     return u.groupBy("capture").agg(F.count(F.lit(1)).alias("packets"), F.sum("octets").cast("long").alias("octets"))
+
+
+SMALL_CHUNK = 7_000
+
+
+@register("chunk_id_many", f"""
+SELECT pos // {SMALL_CHUNK} AS chunk, count(*) AS rows_in_chunk, sum(l_quantity) AS qty FROM (
+  SELECT l_quantity, row_number() OVER (ORDER BY l_orderkey, {SQL_ORDER_SORT}) - 1 AS pos FROM lineitem)
+GROUP BY 1""")
+def q_chunk_id_many(spark, sf):
+    c = S.with_chunk_id(table(spark, sf, "lineitem"), ["l_orderkey"] + ORDER_SORT, SMALL_CHUNK)
+    return c.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows_in_chunk"), F.sum("l_quantity").alias("qty"))
