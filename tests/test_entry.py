@@ -1,5 +1,7 @@
 """Driver contract: entry runs, every query has a builder, oracle keys exist."""
 
+import pandas as pd
+
 import __spark_entry__ as E
 
 
@@ -16,6 +18,14 @@ def test_oracles_are_for_registered_queries():
     assert len(q) >= 80
 
 
+def _values(pdf):
+    def plain(v):
+        if pd.isna(v):
+            return None
+        return f"{v:.6g}" if isinstance(v, float) else str(v)
+    return sorted([tuple(plain(v) for v in row) for row in pdf[sorted(pdf.columns)].astype(object).itertuples(index=False)], key=str)
+
+
 def test_small_oracle_matches(spark):
     """A few keys against DuckDB at sf0.001 (the full set runs in scripts/oracle_check.py)."""
     import duckdb
@@ -29,6 +39,7 @@ def test_small_oracle_matches(spark):
         d = con.execute(E.oracle_sql()[key]).df()
         assert len(s) == len(d), key
         assert sorted(s.columns) == sorted(d.columns), key
+        assert _values(s) == _values(d), key
 
 
 def test_results_do_not_depend_on_session_time_zone(spark):
