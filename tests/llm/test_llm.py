@@ -323,5 +323,44 @@ def test_suffix_dedup(spark, block):
         assert tuple(r)[1:] == want[2**63 if r["doc_id"] is None else r["doc_id"]], r["doc_id"]
 
 
+def hot_rows():
+    """A passage shorter and one longer than 50 bytes, with other neighbours in each document."""
+    short, long_ = prose(78, 5)[:30], prose(79, 14)[:70]
+    rows = [(500 + i, prose(600 + i, 12) + (short if i % 2 else long_) + prose(700 + i, 12), *[None] * 6) for i in range(60)]
+    return rows + [(560 + i, prose(600 + i, 12) + short + prose(700 + i, 12) + "!", *[None] * 6) for i in range(0, 60, 7)]
+
+
+@pytest.mark.parametrize("block", [4 << 20, 3000])
+def test_suffix_dedup_spreads_frequent_names(spark, block, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_NAME", 8)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_NAMES", 500)
+    rows = hot_rows()
+    rows += [(*rows[3][:1], rows[5][1], *[None] * 6), (None, rows[7][1] + prose(1, 9), *[None] * 6)]
+    out = suffix_dedup.drop_repeated_bytes(spark.createDataFrame(rows, DOCS), block_bytes=block).collect()
+    want = {}
+    for r in rows:  # rows with equal doc_id do not remove from each other
+        d = 2**63 if r[0] is None else r[0]
+        others = [x for x in rows if x[0] is not None and x[0] < d]
+        want.setdefault(r[0], []).append(brute_suffix([*others, (2**63, r[1])], 50)[2**63])
+    assert any(w[0][1] for w in want.values())
+    assert sorted((str(r["doc_id"]), tuple(r)[1:]) for r in out) == sorted((str(d), w) for d, ws in want.items() for w in ws)
+
+
+def test_suffix_buckets_hold_few_contexts_of_one_name():
+    import pyarrow as pa
+
+    blocks = [pa.table({"block": [k] * 20, "doc_id": [r[0] for r in hot_rows()[20 * k:20 * k + 20]], "h": list(range(20)),
+                        "text": [r[1] for r in hot_rows()[20 * k:20 * k + 20]]}) for k in range(3)]
+    none = suffix_dedup._table({"kind": pa.int32(), "key": pa.int64(), "h": pa.int64(), "payload": pa.binary()}, [])
+    sent = pa.concat_tables([suffix_dedup._send_names(1, 50, 20)(b, none) for b in blocks])
+    answers = suffix_dedup._find_repeated(8)(sent)
+    around = pa.concat_tables([
+        suffix_dedup._send_contexts(1, 1, 4, 50, 20)(b, answers.filter(pa.array([x == k for x in answers.column("block").to_pylist()])))
+        for k, b in enumerate(blocks)])
+    names = [n for b, x in zip(around.column("bucket").to_pylist(), around.column("name").to_pylist()) if b == 0 for n in np.frombuffer(x, np.uint64)]
+    assert max(np.unique(names, return_counts=True)[1], default=0) <= 8
+    assert {b for b in around.column("bucket").to_pylist() if b} == {1, 2, 3, 4}
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.drop_repeated_bytes(empty(spark)).count() == 0

@@ -13,19 +13,26 @@ distance.  That is the property a difference cover gives two arbitrary suffixes
 1. Texts are packed into blocks of about ``BLOCK_BYTES`` by a hash, in a
    bucketed table, so that the passes below reread them without a shuffle.
    Exact copies are found by hash and take no part.
-2. Names: each block sends its distinct sampled strings, cut into buckets of
-   bounded size; a bucket is sorted at once and answers which names occur in
-   several documents (one bit each).
+2. Names: each block sends its distinct sampled strings and about how often it
+   has them, cut into buckets of bounded size; a bucket is sorted at once and
+   answers which names occur in several documents (one bit each) and which
+   occur more than ``HOT_NAME`` times in the corpus (one more bit).
 3. Suffix buckets: each block sends its repeated sampled suffixes with the
    bytes around them, once per distinct context, with the smallest doc_id.  A
    suffix bucket holds all suffixes with equal first ``GRAM`` bytes; one bucket
    at a time it names and sorts the ``length``-byte strings around its samples
    and answers, per suffix and shift, whether a smaller document has them.
+   A hot name is not kept together: the block sends the 64-bit name of every
+   ``length``-byte string around it, once, with the smallest doc_id, to a bucket
+   chosen by the string.
 4. Each block marks the covered bytes.
 
-No string's owners meet in one task: a block pre-aggregates its documents, so a
-passage that a third of all documents share counts once per block.  Contexts
-and strings are compared by 64-bit names within equal 64-bit sample names.
+A short shared passage, or the edge of a long one, has other neighbours in each
+document, so it makes one context per document, not per block.  The buckets by
+name hold at most ``HOT_NAME`` contexts of one name; the strings around a hot
+name are spread over all string buckets, where one string counts once per
+block, however many documents have it.  Contexts and strings are compared by
+64-bit names within equal 64-bit sample names.
 
 Cases: a null or empty text has no bytes; a null doc_id is larger than any
 other; rows with equal doc_id do not remove from each other; an empty table
@@ -49,6 +56,10 @@ LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 4 << 20
 #: Names and contexts in one bucket, about.
 BUCKET_NAMES, BUCKET_CONTEXTS = 1_500_000, 150_000
+#: Occurrences of a name from which its strings are spread one by one (counted up to a factor of two too high).
+HOT_NAME = 20_000
+#: Contexts whose strings are named at once.
+STEP = 20_000
 LAST = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(50)
@@ -134,13 +145,48 @@ class Block:
         return at + base, where[first] + base, where[last] + base, doc[first], names[at]
 
     def names(self):
-        """Sorted distinct names, and whether several documents of the block have them."""
+        """Sorted distinct names, and a byte each: the logarithm of their count, and bit 7 when several documents of the block have them."""
         order = np.argsort(self.name, kind="stable")  # samples come by document, so owners stay in order
         name, owner = self.name[order], self.ids[self.doc[order]]
         head = np.concatenate(([True], name[1:] != name[:-1])) if len(name) else np.zeros(0, bool)
         first = np.flatnonzero(head)
         last = np.append(first[1:], len(name)) - 1 if len(first) else first
-        return name[first], owner[first] != owner[last]
+        power = np.ceil(np.log2(last - first + 1)).astype(np.uint8)
+        return name[first], power | ((owner[first] != owner[last]).astype(np.uint8) << np.uint8(7))
+
+    def _chosen(self, names: np.ndarray) -> np.ndarray:
+        """Samples whose name is in a sorted array."""
+        if not len(names) or not len(self.name):
+            return np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(names, self.name), len(names) - 1)
+        return np.flatnonzero(names[k] == self.name)
+
+    def strings(self, hot: np.ndarray):
+        """Strings around the samples whose name is in the sorted array ``hot``.
+
+        The sorted distinct 64-bit names of the strings, their smallest doc_id; and for
+        each occurrence its string, its first byte and whether a smaller document of the block has it.
+        """
+        use = self._chosen(hot)
+        if not len(use):
+            return None
+        reach = self.length - self.gram
+        padded = np.concatenate([np.zeros(reach, np.uint8), self.buf, np.zeros(self.length, np.uint8)])
+        s = np.arange(reach + 1)
+        keys, begins, docs = [], [], []
+        for i in range(0, len(use), STEP):
+            own = use[i:i + STEP]
+            at = self.at[own]
+            string = gram_names(padded[at[:, None] + np.arange(reach + self.length)], self.length)
+            row, col = np.nonzero((s >= (at - self.high[own])[:, None]) & (s <= (at - self.low[own])[:, None]))
+            keys.append(mix64(string[row, reach - col] + self.name[own][row]))
+            begins.append(at[row] - col)
+            docs.append(self.ids[self.doc[own]][row])
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        distinct, entry = np.unique(key, return_inverse=True)
+        owner = np.full(len(distinct), LAST, np.int64)
+        np.minimum.at(owner, entry, doc)
+        return {"key": distinct, "owner": owner, "entry": entry, "begin": np.concatenate(begins), "own": doc > owner[entry]}
 
     def contexts(self, repeated: np.ndarray):
         """Entries of the samples whose name is in the sorted array ``repeated``.
@@ -148,10 +194,7 @@ class Block:
         For each distinct (name, shifts, bytes around): the entry, ordered; and
         for each sample its entry and whether a smaller document of the block has it too.
         """
-        if not len(repeated) or not len(self.name):
-            return None
-        k = np.minimum(np.searchsorted(repeated, self.name), len(repeated) - 1)
-        use = np.flatnonzero(repeated[k] == self.name)
+        use = self._chosen(repeated)
         if not len(use):
             return None
         at, low, high, doc, name = self.at[use], self.low[use], self.high[use], self.doc[use], self.name[use]
@@ -171,8 +214,12 @@ class Block:
                 "name": name[first], "shift": shift[first], "around": around[first], "owner": owner}
 
 
+#: Kinds of answers to a block: its copies, repeated names, flags of contexts, hot names, flags of strings.
+COPY, COLD, FLAGS, HOT, STRINGS = range(5)
+
+
 def _copies(side: pa.Table) -> set:
-    return {(d, h) for kind, d, h in zip(side.column("kind").to_pylist(), side.column("key").to_pylist(), side.column("h").to_pylist()) if kind == 0}
+    return {(d, h) for kind, d, h in zip(side.column("kind").to_pylist(), side.column("key").to_pylist(), side.column("h").to_pylist()) if kind == COPY}
 
 
 def _bucket_of(name: np.ndarray, buckets: int) -> np.ndarray:
@@ -180,7 +227,7 @@ def _bucket_of(name: np.ndarray, buckets: int) -> np.ndarray:
 
 
 SIDE = "block bigint, kind int, key bigint, h bigint, payload binary"
-NAMES = "bucket bigint, block bigint, payload binary, several binary"
+NAMES = "bucket bigint, block bigint, payload binary, counts binary"
 CONTEXTS = "bucket bigint, block bigint, name binary, shift binary, around binary, owner binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -190,12 +237,12 @@ def _table(schema: dict, rows: list[tuple]) -> pa.Table:
 
 
 def _send_names(buckets: int, length: int, gram: int):
-    schema = {"bucket": pa.int64(), "block": pa.int64(), "payload": pa.binary(), "several": pa.binary()}
+    schema = {"bucket": pa.int64(), "block": pa.int64(), "payload": pa.binary(), "counts": pa.binary()}
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         rows = []
         if docs.num_rows:
-            name, several = Block(docs, _copies(side), length, gram).names()
+            name, counts = Block(docs, _copies(side), length, gram).names()
             bucket = _bucket_of(name, buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -203,55 +250,74 @@ def _send_names(buckets: int, length: int, gram: int):
             for k in np.unique(bucket):
                 own = order[cut[k]:cut[k + 1]]
                 low = np.ascontiguousarray(name[own]).view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits in a bucket
-                rows.append((int(k), block, low.tobytes(), np.packbits(several[own]).tobytes()))
+                rows.append((int(k), block, low.tobytes(), counts[own].tobytes()))
         return _table(schema, rows)
     return run
 
 
-def _find_repeated(rows: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in rows.column("payload").to_pylist()]
-    size = np.array([len(p) for p in parts])
-    wide = np.zeros((int(size.sum()), 8), np.uint8)
-    wide[:, :5] = np.concatenate(parts)
-    name = wide.view(np.uint64).ravel()
-    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows.column("several").to_pylist(), size)]).astype(bool)
-    order = np.argsort(name, kind="stable")
-    ranked = name[order]
-    twice = np.zeros(len(name), bool)
-    same = ranked[1:] == ranked[:-1]
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    hit = twice | several
-    ends = np.cumsum(size)
+def _find_repeated(most: int):
     schema = {"block": pa.int64(), "kind": pa.int32(), "key": pa.int64(), "h": pa.int64(), "payload": pa.binary()}
-    out = [(b, 1, k, None, np.packbits(hit[e - n:e]).tobytes())
-           for b, k, n, e in zip(rows.column("block").to_pylist(), rows.column("bucket").to_pylist(), size, ends) if hit[e - n:e].any()]
-    return _table(schema, out)
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in rows.column("payload").to_pylist()]
+        size = np.array([len(p) for p in parts])
+        wide = np.zeros((int(size.sum()), 8), np.uint8)
+        wide[:, :5] = np.concatenate(parts)
+        name = wide.view(np.uint64).ravel()
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8)
+        count = np.int64(1) << (counts & 127).astype(np.int64)
+        order = np.argsort(name, kind="stable")
+        ranked = name[order]
+        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        run_of = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        hit, hot = np.zeros(len(name), bool), np.zeros(len(name), bool)
+        hit[order] = np.diff(np.append(first, len(name)))[run_of] > 1
+        hit |= counts > 127
+        hot[order] = np.add.reduceat(count[order], first)[run_of] > most
+        hot &= hit
+        ends = np.cumsum(size)
+        out = []
+        for b, k, n, e in zip(rows.column("block").to_pylist(), rows.column("bucket").to_pylist(), size, ends):
+            for kind, bits in ((COLD, hit[e - n:e] & ~hot[e - n:e]), (HOT, hot[e - n:e])):
+                if bits.any():
+                    out.append((b, kind, k, int(count[e - n:e][bits].sum()), np.packbits(bits).tobytes()))
+        return _table(schema, out)
+    return run
 
 
-def _repeated(block: Block, side: pa.Table, buckets: int) -> np.ndarray:
-    """Names of a block that the answers mark as repeated."""
+def _answers(block: Block, side: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of a block that the answers mark as repeated: those below ``HOT_NAME`` occurrences, and the hot ones."""
     name, _ = block.names()
     bucket = _bucket_of(name, buckets)
-    out = []
+    out = {COLD: [], HOT: []}
     for kind, k, payload in zip(side.column("kind").to_pylist(), side.column("key").to_pylist(), side.column("payload").to_pylist()):
-        if kind == 1:
+        if kind in out:
             own = name[bucket == k]
-            out.append(own[np.unpackbits(np.frombuffer(payload, np.uint8), count=len(own)).astype(bool)])
-    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            out[kind].append(own[np.unpackbits(np.frombuffer(payload, np.uint8), count=len(own)).astype(bool)])
+    return tuple(np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in out.values())
 
 
-def _send_contexts(name_buckets: int, buckets: int, length: int, gram: int):
+def _send_contexts(name_buckets: int, buckets: int, string_buckets: int, length: int, gram: int):
     schema = {"bucket": pa.int64(), "block": pa.int64(), "name": pa.binary(), "shift": pa.binary(), "around": pa.binary(), "owner": pa.binary()}
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         rows = []
         if docs.num_rows:
             block = Block(docs, _copies(side), length, gram)
-            got = block.contexts(_repeated(block, side, name_buckets))
+            cold, hot = _answers(block, side, name_buckets)
+            number = docs.column("block")[0].as_py()
+            got = block.strings(hot)
+            if got is not None:
+                bucket = _bucket_of(got["key"], string_buckets)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(string_buckets + 1))
+                for k in np.unique(bucket):
+                    own = order[cut[k]:cut[k + 1]]
+                    rows.append((buckets + int(k), number, got["key"][own].tobytes(), b"", b"", got["owner"][own].tobytes()))
+            got = block.contexts(cold)
             if got is not None:
                 bucket = _bucket_of(got["name"], buckets)
-                number = docs.column("block")[0].as_py()
                 for k in np.unique(bucket):
                     own = np.flatnonzero(bucket == k)
                     rows.append((int(k), number, *(np.ascontiguousarray(got[c][own]).tobytes() for c in ("name", "shift", "around", "owner"))))
@@ -259,7 +325,17 @@ def _send_contexts(name_buckets: int, buckets: int, length: int, gram: int):
     return run
 
 
-def _sort_bucket(length: int, gram: int):
+def _least(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether an equal key has a smaller id."""
+    ranked = np.lexsort((ids, key))
+    k = key[ranked]
+    first = np.concatenate(([True], k[1:] != k[:-1]))
+    out = np.zeros(len(key), bool)
+    out[ranked] = ids[ranked][first][np.cumsum(first) - 1] < ids[ranked]
+    return out
+
+
+def _sort_bucket(buckets: int, length: int, gram: int):
     reach = length - gram
     width = reach + length
     schema = {"block": pa.int64(), "kind": pa.int32(), "key": pa.int64(), "h": pa.int64(), "payload": pa.binary()}
@@ -267,7 +343,12 @@ def _sort_bucket(length: int, gram: int):
     def run(rows: pa.Table) -> pa.Table:
         got = {c: rows.column(c).to_pylist() for c in ("name", "shift", "around", "owner")}
         size = [len(x) // 8 for x in got["name"]]
+        ends = np.cumsum(size)
+        places = list(zip(rows.column("block").to_pylist(), rows.column("bucket").to_pylist(), size, ends))
         name = np.frombuffer(b"".join(got["name"]), np.uint64)
+        if places[0][1] >= buckets:  # strings around hot names
+            smaller = _least(name, np.frombuffer(b"".join(got["owner"]), np.int64))
+            return _table(schema, [(b, STRINGS, k - buckets, None, np.packbits(smaller[e - n:e]).tobytes()) for b, k, n, e in places])
         shift = np.frombuffer(b"".join(got["shift"]), np.uint8).reshape(-1, 2)
         around = np.frombuffer(b"".join(got["around"]), np.uint8).reshape(-1, width)
         owner = np.frombuffer(b"".join(got["owner"]), np.int64)
@@ -275,7 +356,7 @@ def _sort_bucket(length: int, gram: int):
         # entries with equal names share a suffix bucket; take whole buckets at a time
         order = np.argsort(name, kind="stable")
         heads = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
-        limits = np.append(heads[np.concatenate(([True], np.diff(heads // 20_000) > 0))], len(name))
+        limits = np.append(heads[np.concatenate(([True], np.diff(heads // STEP) > 0))], len(name))
         for i, j in zip(limits[:-1], limits[1:]):
             own = order[i:j]
             string = gram_names(around[own], length)  # by first byte: reach - shift
@@ -283,20 +364,13 @@ def _sort_bucket(length: int, gram: int):
             valid = (s >= shift[own, 0, None]) & (s <= shift[own, 1, None])
             row, col = np.nonzero(valid)
             key = mix64(string[row, reach - col] + name[own][row])
-            ids = owner[own][row]
-            ranked = np.lexsort((ids, key))
-            k = key[ranked]
-            first = np.concatenate(([True], k[1:] != k[:-1]))
-            least = ids[ranked][first][np.cumsum(first) - 1]
-            smaller = least < ids[ranked]
-            np.bitwise_or.at(flags, own[row[ranked[smaller]]], np.uint64(1) << col[ranked[smaller]].astype(np.uint64))
-        ends = np.cumsum(size)
-        out = [(b, 2, k, None, flags[e - n:e].tobytes()) for b, k, n, e in zip(rows.column("block").to_pylist(), rows.column("bucket").to_pylist(), size, ends)]
-        return _table(schema, out)
+            smaller = _least(key, owner[own][row])
+            np.bitwise_or.at(flags, own[row[smaller]], np.uint64(1) << col[smaller].astype(np.uint64))
+        return _table(schema, [(b, FLAGS, k, None, flags[e - n:e].tobytes()) for b, k, n, e in places])
     return run
 
 
-def _mark(name_buckets: int, buckets: int, length: int, gram: int):
+def _mark(name_buckets: int, buckets: int, string_buckets: int, length: int, gram: int):
     schema = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
@@ -304,12 +378,25 @@ def _mark(name_buckets: int, buckets: int, length: int, gram: int):
         if docs.num_rows:
             block = Block(docs, _copies(side), length, gram)
             edge = np.zeros(len(block.buf) + length + 1, np.int32)
-            got = block.contexts(_repeated(block, side, name_buckets))
+            cold, hot = _answers(block, side, name_buckets)
+            answers = list(zip(side.column("kind").to_pylist(), side.column("key").to_pylist(), side.column("payload").to_pylist()))
+            got = block.strings(hot)
+            if got is not None:
+                smaller = np.zeros(len(got["key"]), bool)
+                bucket = _bucket_of(got["key"], string_buckets)
+                for kind, k, payload in answers:
+                    if kind == STRINGS:
+                        own = np.flatnonzero(bucket == k)
+                        smaller[own] = np.unpackbits(np.frombuffer(payload, np.uint8), count=len(own)).astype(bool)
+                begin = got["begin"][got["own"] | smaller[got["entry"]]]
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + length, -1)
+            got = block.contexts(cold)
             if got is not None:
                 flags = np.zeros(len(got["name"]), np.uint64)
                 bucket = _bucket_of(got["name"], buckets)
-                for kind, k, payload in zip(side.column("kind").to_pylist(), side.column("key").to_pylist(), side.column("payload").to_pylist()):
-                    if kind == 2:
+                for kind, k, payload in answers:
+                    if kind == FLAGS:
                         flags[bucket == k] = np.frombuffer(payload, np.uint64)
                 use, entry = got["use"], got["entry"]
                 s = np.arange(length - gram + 1)
@@ -352,17 +439,20 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         least = slim.groupBy("h", "h2", "n_bytes").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("h", "h2", "n_bytes", "least")
         copies = staged(
             slim.join(least, ["h", "h2", "n_bytes"]).where("least < coalesce(doc_id, 9223372036854775807)").select("block", "doc_id", "h", "n_bytes"), "suffix-copies")
-        side0 = copies.select("block", F.lit(0).alias("kind"), F.col("doc_id").alias("key"), "h", F.lit(None).cast("binary").alias("payload"))
+        side0 = copies.select("block", F.lit(COPY).alias("kind"), F.col("doc_id").alias("key"), "h", F.lit(None).cast("binary").alias("payload"))
 
         def by_block(side: DataFrame, f, schema: str) -> DataFrame:
             return texts.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(f, schema)
 
         sent = by_block(side0, _send_names(name_buckets, length, gram), NAMES)
-        side1 = staged(sent.groupBy("bucket").applyInArrow(_find_repeated, SIDE), "suffix-names")
+        side1 = staged(sent.groupBy("bucket").applyInArrow(_find_repeated(HOT_NAME), SIDE), "suffix-names")
+        # about half of the reach around each sample, one string a byte
+        hot = side1.where(F.col("kind") == HOT).agg(F.coalesce(F.sum("h"), F.lit(0))).first()[0]
+        string_buckets = max(1, math.ceil(hot * (length - gram + 1) / 2 / BUCKET_NAMES))
         both = side0.unionByName(side1)
-        around = by_block(both, _send_contexts(name_buckets, buckets, length, gram), CONTEXTS)
-        side2 = staged(around.groupBy("bucket").applyInArrow(_sort_bucket(length, gram), SIDE), "suffix-flags")
-        marked = by_block(both.unionByName(side2), _mark(name_buckets, buckets, length, gram), RESULT)
+        around = by_block(both, _send_contexts(name_buckets, buckets, string_buckets, length, gram), CONTEXTS)
+        side2 = staged(around.groupBy("bucket").applyInArrow(_sort_bucket(buckets, length, gram), SIDE), "suffix-flags")
+        marked = by_block(both.unionByName(side2), _mark(name_buckets, buckets, string_buckets, length, gram), RESULT)
         whole = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
         done = staged(marked.unionByName(whole), "suffix-result")
         drop_staged(copies, side1, side2)
