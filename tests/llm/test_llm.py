@@ -234,6 +234,42 @@ def test_minhash_components(spark, blocks, monkeypatch):
             assert (r["component_id"], r["n_shingles"], r["kept"]) == (low[r["doc_id"]], size[r["doc_id"]], low[r["doc_id"]] == r["doc_id"])
 
 
+def test_minhash_blocks_are_bounded_by_rows(spark, monkeypatch):
+    base = prose(31, 40).split()
+    rows = [(k, " ".join([*base[:20], f"edit{k}", *base[20:]]), *[None] * 6) for k in range(60)]  # far below a million shingles
+    held = []
+    pairs = minhash._block_pairs
+
+    def seen(df, keys, blocks):
+        out = pairs(df, keys, blocks)
+        if keys == ["component"]:
+            held.extend(out.groupBy("component", "low", "high").count().collect())
+        return out
+
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(minhash, "_block_pairs", seen)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 75).collect()
+    low, _ = brute_components(rows, 75)
+    assert {r["doc_id"]: r["component_id"] for r in out} == low
+    assert len(held) == 55 and max(r["count"] for r in held) < 30
+
+
+def test_links_are_counted_tile_by_tile(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(minhash, "TILE_ROWS", 4)
+    monkeypatch.setattr(minhash, "TILE_SHINGLES", 16)
+    r = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([np.arange(40 * (k // 6), 40 * (k // 6) + 40), r.integers(1000, 1100, 6)])).astype(np.uint64) for k in range(23)]
+    rows = pa.RecordBatch.from_pydict({"component": [1] * 23, "low": [0] * 23, "high": [0] * 23, "rep": list(range(23)), "set": [x.tobytes() for x in sets]})
+    got = [e for b in minhash._confirm(70)([rows]) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 70 * len(np.union1d(sets[a], sets[b]))
+    root = list(range(23))
+    for _ in range(23):
+        root = [min([root[b] for b in range(23) if linked(a, b)]) for a in range(23)]
+    assert sorted(got) == sorted((root[k], k) for k in range(23) if root[k] != k)
+
+
 def test_minhash_empty(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 

@@ -16,7 +16,8 @@
    (100 * intersection >= percent * union) connect, again by a spanning forest
    per task.  Components of the confirmed links are the result.
 
-Large buckets and clusters are cut into blocks of bounded size; every pair of
+Large buckets and clusters are cut into blocks of bounded size (clusters by
+rows and by shingles, intersections are counted tile by tile); every pair of
 blocks is one task group, so no task holds an unbounded group and no pair of a
 group is left out.  A link with similarity 0.85 is missed with a chance of
 about 1e-5 (no common band) unless other links join its documents.
@@ -40,8 +41,10 @@ SHINGLE = 5
 HASHES, ROWS, BANDS, BITS = 144, 6, 24, 4
 #: Five standard deviations of the estimate at the threshold.
 MARGIN = 0.16
-#: Most signatures of a bucket and most shingles of a cluster in one block.
+#: About the most rows of a bucket or cluster and the most shingles of a cluster in one block.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000
+#: Rows and shingles whose intersections are counted at once.
+TILE_ROWS, TILE_SHINGLES = 1024, 4096
 CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -241,12 +244,12 @@ def _similar(cut: float):
 def _confirm(percent: int):
     """Exact links inside one cluster block pair."""
 
-    def linked(sets: list[np.ndarray]):
+    def linked(sets: list[np.ndarray]) -> np.ndarray:
         n = len(sets)
         size = np.array([len(s) for s in sets], np.int64)
         if n == 2:
             both = len(np.intersect1d(*sets, assume_unique=True))
-            return np.array([[0, both], [both, 0]]), size
+            return np.full((2, 2), both and 100 * both >= percent * (size.sum() - both))
         owner = np.repeat(np.arange(n), size)
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
@@ -256,13 +259,18 @@ def _confirm(percent: int):
         shared = np.bincount(column) >= 2  # a shingle of one set only meets nothing
         keep = shared[column]
         column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
-        both = np.zeros((n, n), np.float32)
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            i, j = np.searchsorted(column, [low, low + 4096])
-            m = np.zeros((n, 4096), np.float32)
-            m[owner[i:j], column[i:j] - low] = 1
-            both += m @ m.T
-        return both.astype(np.int64), size
+        ok = np.zeros((n, n), bool)
+        for r in range(0, n, TILE_ROWS):
+            tile = slice(r, min(n, r + TILE_ROWS))
+            both = np.zeros((tile.stop - r, n), np.float32)
+            for low in range(0, int(column[-1]) + 1 if len(column) else 0, TILE_SHINGLES):
+                i, j = np.searchsorted(column, [low, low + TILE_SHINGLES])
+                m = np.zeros((n, TILE_SHINGLES), np.float32)
+                m[owner[i:j], column[i:j] - low] = 1
+                both += m[tile] @ m.T
+            both = both.astype(np.int64)
+            ok[tile] = (both > 0) & (100 * both >= percent * (size[tile, None] + size[None, :] - both))
+        return ok
 
     def run(batches):
         def groups():
@@ -273,9 +281,7 @@ def _confirm(percent: int):
                 if len(ids) < 2:
                     continue
                 raw = t.column("set")
-                both, size = linked([np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in first])
-                union = size[:, None] + size[None, :] - both
-                ok = (100 * both >= percent * union) & (union > 0)
+                ok = linked([np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in first])
                 yield [(int(ids[r]), int(ids[m])) for r, m in forest(len(ids), lambda f, k=ok: k[f])]
         return _batched(groups())
     return run
@@ -318,7 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     sized = staged(
         clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("n")), "node"), "minhash-clusters")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).alias("blocks"))
     wanted = sized.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
     # merge: the clustered documents grow with the corpus, so they are never broadcast
     sets = slim.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "component", "blocks").mapInArrow(
