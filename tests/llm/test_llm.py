@@ -270,6 +270,16 @@ def test_links_are_counted_tile_by_tile(monkeypatch):
     assert sorted(got) == sorted((root[k], k) for k in range(23) if root[k] != k)
 
 
+def test_bands_miss_few_threshold_pairs():
+    assert [minhash.band_rows(p) for p in (85, 80)] == [6, 4]
+    assert all(minhash.missed(p, minhash.band_rows(p)) <= 2e-5 for p in range(50, 100))
+    r = np.random.default_rng(80)
+    a = r.integers(0, 2**32, (20_000, minhash.HASHES), dtype=np.uint32)
+    b = np.where(r.random(a.shape) < 0.8, a, a ^ np.uint32(1))  # minima of pairs at 0.80
+    rows = minhash.band_rows(80)
+    assert all((minhash.bands(x, rows) == minhash.bands(y, rows)).any() for x, y in zip(a, b))
+
+
 def test_minhash_empty(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 

@@ -3,8 +3,9 @@
 1. Each text becomes a set of distinct 5-word shingles (64-bit hashes of the
    word sequence; A-Z lower-cased).  Equal sets are folded to one
    representative, so exact copies cost nothing further.
-2. ``HASHES`` min-wise minima are taken.  ``BANDS`` bands of ``ROWS`` minima
-   give bucket keys; the low ``BITS`` bits of every minimum are packed into a
+2. ``HASHES`` min-wise minima are taken.  Bands of minima, as many rows each as
+   keep the missed share of threshold pairs below ``MISSED`` (0.85: 24 bands of
+   6, 0.80: 36 bands of 4), give bucket keys; the low ``BITS`` bits of every minimum are packed into a
    signature.
 3. Buckets shared by several representatives give candidates.  Within a bucket
    the similarity of two signatures is estimated from the number of equal
@@ -19,8 +20,9 @@
 Large buckets and clusters are cut into blocks of bounded size (clusters by
 rows and by shingles, intersections are counted tile by tile); every pair of
 blocks is one task group, so no task holds an unbounded group and no pair of a
-group is left out.  A link with similarity 0.85 is missed with a chance of
-about 1e-5 (no common band) unless other links join its documents.
+group is left out.  A link at the threshold shares no band with a chance of
+1.2e-5 at 0.85 and 6e-9 at 0.80, and is missed then unless other links join
+its documents.
 
 Cases: a null or empty text has no shingles and links with nothing; shorter
 texts than five words are one shingle; rows with the same doc_id count as one
@@ -38,7 +40,9 @@ from .common import default_partitions, doc_chunks, drop_staged, mix64, staged,
 from .components import components
 
 SHINGLE = 5
-HASHES, ROWS, BANDS, BITS = 144, 6, 24, 4
+HASHES, BITS = 144, 4
+#: Most pairs at the threshold, as a share, that have no band in common.
+MISSED = 2e-5
 #: Five standard deviations of the estimate at the threshold.
 MARGIN = 0.16
 #: About the most rows of a bucket or cluster and the most shingles of a cluster in one block.
@@ -117,10 +121,20 @@ def pack(m: np.ndarray) -> bytes:
     return (low[0::2] | (low[1::2] << 4)).tobytes()
 
 
-def bands(m: np.ndarray) -> np.ndarray:
-    k = m.reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
+def missed(percent: int, rows: int) -> float:
+    """Chance of a pair at the threshold to have no band of ``rows`` minima in common."""
+    return (1 - (percent / 100) ** rows) ** (HASHES // rows)
+
+
+def band_rows(percent: int) -> int:
+    """Most rows a band, of those that divide ``HASHES``, that miss at most ``MISSED``."""
+    return max((r for r in range(1, HASHES + 1) if HASHES % r == 0 and missed(percent, r) <= MISSED), default=1)
+
+
+def bands(m: np.ndarray, rows: int) -> np.ndarray:
+    k = m.reshape(-1, rows).astype(np.uint64)
+    h = np.arange(len(k), dtype=np.uint64)
+    for i in range(rows):
         h = mix64(h * _BASE + k[:, i])
     return h.view(np.int64)
 
@@ -156,30 +170,32 @@ def forest(n: int, linked) -> list[tuple[int, int]]:
 SIGNATURE = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sig binary"
 
 
-def _sign(batches):
-    shingler = Shingler()
-    for b in batches:
-        buf, off = utf8(b.column(1))
-        n, a, c, keys, sigs = [], [], [], [], []
-        for i, j in doc_chunks(off, CHUNK):
-            h, at = shingler.shingles(buf[off[i]:off[j]], off[i:j + 1] - off[i])
-            for k in range(j - i):
-                s = np.unique(h[at[k]:at[k + 1]])
-                n.append(len(s))
-                if not len(s):
-                    a.append(None)
-                    c.append(None)
-                    keys.append(None)
-                    sigs.append(None)
-                    continue
-                a.append(int(np.bitwise_xor.reduce(mix64(s)).view(np.int64)))
-                c.append(int(np.add.reduce(mix64(s ^ _BASE)).view(np.int64)))
-                m = minima(s)
-                keys.append(bands(m))
-                sigs.append(pack(m))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"])
+def _sign(rows: int):
+    def run(batches):
+        shingler = Shingler()
+        for b in batches:
+            buf, off = utf8(b.column(1))
+            n, a, c, keys, sigs = [], [], [], [], []
+            for i, j in doc_chunks(off, CHUNK):
+                h, at = shingler.shingles(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+                for k in range(j - i):
+                    s = np.unique(h[at[k]:at[k + 1]])
+                    n.append(len(s))
+                    if not len(s):
+                        a.append(None)
+                        c.append(None)
+                        keys.append(None)
+                        sigs.append(None)
+                        continue
+                    a.append(int(np.bitwise_xor.reduce(mix64(s)).view(np.int64)))
+                    c.append(int(np.add.reduce(mix64(s ^ _BASE)).view(np.int64)))
+                    m = minima(s)
+                    keys.append(bands(m, rows))
+                    sigs.append(pack(m))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"])
+    return run
 
 
 def _sets(batches):
@@ -303,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     parts = default_partitions(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = staged(slim.mapInArrow(_sign, SIGNATURE), "minhash-signatures")
+    signed = staged(slim.mapInArrow(_sign(band_rows(percent)), SIGNATURE), "minhash-signatures")
     reps = staged(
         signed.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b")
         .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id").alias("s"))
