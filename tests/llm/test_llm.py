@@ -139,6 +139,24 @@ def test_decontamination(spark):
     assert not block.judge(*v.tokens(crossed.encode()), 0.6, 0.99)  # one value stands for two
 
 
+def judged(item: str, text: str):
+    v = decontam.Vocabulary()
+    return decontam.Block([(1, item.encode())], decontam.WINDOW).judge(*v.tokens(text.encode()), 0.6, 0.8)
+
+
+def test_decontamination_judges_one_place():
+    assert not judged("Yes.", "yes I said") and not judged("Who was Einstein?", "He asked who was Newton?")
+    assert not judged("Who was Albert Einstein?", "Who was Isaac Newton?")
+    assert judged("Who was Albert Einstein?", "He asked: who was Albert Einstein? Yes.")[0][0] == 1
+    item = prose(45, 40).split()
+    scattered = " ".join(f"{' '.join(item[i:i + 10])} {prose(46 + i, 400)}" for i in range(0, 40, 10))
+    assert not judged(" ".join(item), scattered)  # four quarters, far apart
+    assert judged(" ".join(item), " ".join(item[:20] + ["so"] + item[20:]) + scattered)
+    question = "if there are 12 apples and he gives Bob 5 kg of them to Eve how many will he keep then"
+    wrong = question.replace("Bob", "Tom").replace("Eve", "Tom").replace("12", "7").replace(" 5 ", " 7 ")
+    assert judged(question, f"{question} . {(prose(50, 200) + ' . ' + wrong + ' . ') * 4}") == [(1, 1.0, 1.0, False)]
+
+
 def test_window_join_matches_brute_force():
     block = decontam.Block([(i, prose(100 + i, 30).encode()) for i in range(20)], decontam.WINDOW)
     v = decontam.Vocabulary()

@@ -3,14 +3,21 @@
 A text becomes a sequence of template tokens: numbers, units and names are
 replaced by typed placeholders, other words by their lower-cased core.  A name
 is a capitalised word that does not open a sentence; a run of names is one
-placeholder.  Windows of ``window`` template tokens (an item shorter than that
-is one window) are hash-joined with the benchmark's windows.  For every
-matched (document, item) the slots are checked: along one alignment each
-benchmark value must stand for one document value and the other way round.  A
-document is contaminated by an item when the matched windows cover at least
-``coverage`` of the item's template and the slots agree in at least
-``slot_share`` of the slot pairs; it is a re-parameterised copy when some
-agreeing slot has another value.
+placeholder.
+
+Windows of ``window`` template tokens are hash-joined with the benchmark's
+windows.  An item of fewer template tokens than a window is
+matched verbatim: all its words, symbols like ``+`` included, must follow each
+other in the text, and it needs ``SHORTEST`` words; shorter items match nothing.
+
+Matches are judged where they lie together: along alignments (document position
+less item position) that differ by at most half the item's length, and by a
+window at least.  Along one alignment each benchmark value must stand for one
+document value and the other way round.  A document is contaminated by an item
+when the matched windows of some place cover at least ``coverage`` of the
+item's template and the slots agree there in at least ``slot_share`` of the
+slot pairs; it is a re-parameterised copy when some agreeing slot of its best
+place has another value.
 
 The benchmark is the stated query set: its windows are read in blocks of at
 most ``BLOCK_WINDOWS`` (an item is never split), each block is broadcast and
@@ -36,6 +43,8 @@ from .common import mix64
 WINDOW = 8
 COVERAGE = 0.6
 SLOT_SHARE = 0.8
+#: Least words of an item that is shorter than a window.
+SHORTEST = 4
 #: Most benchmark windows in one broadcast block (about 24 bytes each).
 BLOCK_WINDOWS = 2_000_000
 #: Units of measure (lower case).
@@ -86,47 +95,70 @@ class Vocabulary:
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         self.kind[i] = kind
-        self.key[i] = xxhash.xxh64_intdigest(low.encode())
+        self.key[i] = xxhash.xxh64_intdigest((low or word).encode())
         self.ends[i] = word.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
         self.capital[i] = core[:1].isupper()
         return i
 
     def tokens(self, text: bytes):
-        """Template keys, slot values (0 for plain words) of a text."""
+        """Template keys and slot values (0 for plain words) of both readings, and the keys of all words.
+
+        The second reading is None when no capitalised word opens a sentence.
+        """
         words = text.split()
         ids = list(map(self.index.get, words))
         if None in ids:
             ids = [self.index[w] if w in self.index else self.add(w) for w in words]
         ids = np.array(ids, np.int64)
         kind, key = self.kind[ids], self.key[ids]
+        every = key
+        opening = None
         if len(ids):
             opens = np.concatenate(([True], self.ends[ids][:-1]))
-            kind[(kind == PLAIN) & self.capital[ids] & ~opens] = NAME
+            name = (kind == PLAIN) & self.capital[ids]
+            opening = name & opens
+            kind[name & ~opens] = NAME
+        if len(self.index) > self.LIMIT:
+            self.clear()
         keep = kind != NONE
-        kind, key = kind[keep], key[keep]
-        if not len(kind):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        if not kind.any():  # plain words only
-            return key, np.zeros(len(key), np.uint64)
-        # a run of names is one slot whose value is the whole run
-        head = np.concatenate(([True], ~((kind[1:] == NAME) & (kind[:-1] == NAME))))
-        starts = np.flatnonzero(head)
+        if not keep.any():
+            none = np.zeros(0, np.uint64)
+            return (none, none), None, every
+        if not keep.all():
+            kind, key, opening = kind[keep], key[keep], opening[keep]
+        plain = _slots(kind, key, None)
+        return plain, None, every
+
+
+def _slots(kind: np.ndarray, key: np.ndarray, alone: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Template keys and slot values; names in ``alone`` are slots of their own."""
+    if not kind.any():  # plain words only
+        return key, np.zeros(len(key), np.uint64)
+    # a run of names is one slot whose value is the whole run
+    follows = (kind[1:] == NAME) & (kind[:-1] == NAME)
+    if alone is not None:
+        follows &= ~(alone[1:] | alone[:-1])
+    starts = np.flatnonzero(np.concatenate(([True], ~follows)))
+    if len(starts) == len(key):
+        value = mix64(key)
+    else:
         value = np.add.reduceat(mix64(key + _STEP * (np.arange(len(key), dtype=np.uint64) - np.repeat(starts, np.diff(np.append(starts, len(key)))).astype(np.uint64))), starts)
         kind, key = kind[starts], key[starts]
-        template = np.where(kind == PLAIN, key, np.array(_SALT, np.uint64)[kind])
-        slot = np.where(kind == PLAIN, np.uint64(0), value | np.uint64(1))
-        if len(self.index) > self.LIMIT:
-            self.clear()
-        return template, slot
+    template = np.where(kind == PLAIN, key, np.array(_SALT, np.uint64)[kind])
+    return template, np.where(kind == PLAIN, np.uint64(0), value | np.uint64(1))
 
 
 def window_hashes(template: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every window of ``width`` template tokens (the tokens are hashes already)."""
-    n = max(0, len(template) - width + 1)
-    h = np.full(n, width, np.uint64)
-    for i in range(width):
-        h += template[i:i + n] * _FACTOR[i]
-    return h * _STEP
+    """Hash of every window of ``width`` template tokens along the last axis (the tokens are hashes already)."""
+    if template.shape[-1] < width:
+        return np.zeros((*template.shape[:-1], 0), np.uint64)
+    h, step = template, 1
+    while 2 * step <= width:
+        h = h[..., :-step] * _FACTOR[step] + h[..., step:]
+        step *= 2
+    if step < width:  # the first and the last ``step`` tokens
+        h = h[..., :step - width] * _FACTOR[width] + h[..., width - step:]
+    return (h + np.uint64(width)) * _STEP
 
 
 def mostly_plain(slot: np.ndarray, width: int) -> np.ndarray:
@@ -136,38 +168,31 @@ def mostly_plain(slot: np.ndarray, width: int) -> np.ndarray:
     return 2 * (total[width:width + n] - total[:n]) >= width
 
 
-class Block:
-    """Windows of some benchmark items, sorted by hash."""
+class Windows:
+    """Windows of one reading of some benchmark items, sorted by join key."""
 
-    def __init__(self, items: list[tuple[int, bytes]], width: int):
-        vocab = Vocabulary()
-        h, at, pos, self.ids, self.templates, self.slots, self.width = [], [], [], [], [], [], []
-        for item_id, text in items:
-            template, slot = vocab.tokens(text)
-            w = min(width, len(template))
-            if not w:
-                continue
-            k = len(self.ids)
-            self.ids.append(item_id)
-            self.slots.append(slot)
-            self.width.append(w)
-            x = window_hashes(template, w)
-            p = np.flatnonzero(mostly_plain(slot, w))
-            h.append(x[p])
-            pos.append(p)
-            at.append(np.full(len(p), k))
-        self.hash = np.concatenate(h) if h else np.zeros(0, np.uint64)
+    def __init__(self):
+        self.parts = []
+        self.texts: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+
+    def add(self, item: int, template: np.ndarray, slot: np.ndarray, width: int) -> None:
+        self.texts[item] = template, slot, width
+        p = np.flatnonzero(mostly_plain(slot, width))
+        self.parts.append((window_hashes(template, width)[p], np.full(len(p), item), p, np.full(len(p), width)))
+
+    def sort(self) -> None:
+        self.hash, self.item, self.pos, self.width = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)]
+        self.parts = []
         order = np.argsort(self.hash, kind="stable")
-        self.hash = self.hash[order]
-        self.item = np.concatenate(at)[order] if at else np.zeros(0, np.int64)
-        self.pos = np.concatenate(pos)[order] if pos else np.zeros(0, np.int64)
-        self.seen = np.zeros(1 << 22, bool)
+        self.hash, self.item, self.pos, self.width = (x[order] for x in (self.hash, self.item, self.pos, self.width))
+        self.widths = np.unique(self.width).tolist()
+        self.seen = np.zeros(1 << 22 if len(self.hash) else 1, bool)
         self.seen[self.hash >> np.uint64(42)] = True
 
     def match(self, template: np.ndarray, slot: np.ndarray):
         """Matched (item, item position, document position) of one document."""
         found = []
-        for w in sorted(set(self.width)):
+        for w in self.widths:
             x = window_hashes(template, w)
             p = np.flatnonzero(self.seen[x >> np.uint64(42)]) if len(x) else np.zeros(0, np.int64)
             if not len(p):
@@ -176,36 +201,78 @@ class Block:
             n = np.searchsorted(self.hash, x[p], "right") - lo
             k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             d = np.repeat(p, n)
-            same = np.array(self.width)[self.item[k]] == w
+            same = self.width[k] == w
             found.append(np.stack([self.item[k][same], self.pos[k][same], d[same]]))
         return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
 
-    def judge(self, template, slot, coverage: float, slot_share: float) -> list[tuple[int, float, float, bool]]:
+    def places(self, item: int, ipos: np.ndarray, dpos: np.ndarray, slot: np.ndarray, reach: int):
+        """(coverage, agreeing slots, re-parameterised) of one item around each of its alignments."""
+        _, own, w = self.texts[item]
+        shift = dpos - ipos
+        order = np.argsort(shift, kind="stable")
+        shift, ipos = shift[order], ipos[order]
+        anchors, first = np.unique(shift, return_index=True)
+        ends = {0: np.append(first[1:], len(shift))}
+        if reach and len(anchors) > 1:
+            ends[reach] = np.searchsorted(shift, anchors + reach, "right")
+        for far, end in ends.items():
+            for i, j in zip(first, end):
+                if far and shift[j - 1] == shift[i]:
+                    continue  # one alignment: judged already
+                covered = np.zeros(len(own), bool)
+                pairs = set()
+                for s in np.unique(shift[i:j]):
+                    p = ipos[i:j][shift[i:j] == s]
+                    here = np.unique((p[:, None] + np.arange(w)).ravel())
+                    covered[here] = True
+                    at = here[own[here] != 0]
+                    pairs.update((int(s), int(a), int(b)) for a, b in zip(own[at], slot[at + s]))
+                there = {}
+                back = {}
+                for s, a, b in pairs:
+                    there.setdefault((s, a), set()).add(b)
+                    back.setdefault((s, b), set()).add(a)
+                good = [(a, b) for s, a, b in pairs if len(there[s, a]) == 1 and len(back[s, b]) == 1]
+                yield float(covered.mean()), len(good) / len(pairs) if pairs else 1.0, any(a != b for a, b in good)
+
+
+class Block:
+    """Windows of some benchmark items: both readings, and the short items word by word."""
+
+    def __init__(self, items: list[tuple[int, bytes]], width: int):
+        vocab = Vocabulary()
+        self.ids = []
+        self.plain, self.named, self.short = Windows(), Windows(), Windows()
+        for item_id, text in items:
+            plain, named, every = vocab.tokens(text)
+            k = len(self.ids)
+            self.ids.append(item_id)
+            if len(plain[0]) >= width:
+                self.plain.add(k, *plain, width)
+                # the document may open a sentence where the item does not
+                if named is not None and len(named[0]) >= width:
+                    self.named.add(k, *named, width)
+            elif len(plain[0]) and len(every) >= SHORTEST:
+                self.short.add(k, every, np.zeros(len(every), np.uint64), min(width, len(every)))
+        for x in (self.plain, self.named, self.short):
+            x.sort()
+
+    def judge(self, plain, named, every, coverage: float, slot_share: float) -> list[tuple[int, float, float, bool]]:
         """(item, coverage, agreeing slots, re-parameterised) of the items that contaminate a document."""
-        item, ipos, dpos = self.match(template, slot)
-        out = []
-        for k in np.unique(item):
-            of = item == k
-            w, own = self.width[k], self.slots[k]
-            covered = np.zeros(len(own), bool)
-            pairs = set()
-            for shift in np.unique((dpos - ipos)[of]):
-                p = ipos[of & (dpos - ipos == shift)]
-                here = np.unique((p[:, None] + np.arange(w)).ravel())
-                covered[here] = True
-                s = here[own[here] != 0]
-                pairs.update((int(shift), int(a), int(b)) for a, b in zip(own[s], slot[s + shift]))
-            there = {}
-            back = {}
-            for shift, a, b in pairs:
-                there.setdefault((shift, a), set()).add(b)
-                back.setdefault((shift, b), set()).add(a)
-            good = [(a, b) for shift, a, b in pairs if len(there[shift, a]) == 1 and len(back[shift, b]) == 1]
-            share = len(good) / len(pairs) if pairs else 1.0
-            cover = float(covered.mean())
-            if cover >= coverage and share >= slot_share:
-                out.append((self.ids[k], cover, share, any(a != b for a, b in good)))
-        return out
+        best = {}
+        none = np.zeros(len(every), np.uint64) if self.short.widths else None
+        for windows, text, least in ((self.plain, plain, coverage), (self.named, named, coverage), (self.short, (every, none), 1.0)):
+            if text is None or not windows.widths:
+                continue
+            item, ipos, dpos = windows.match(*text)
+            for k in np.unique(item):
+                of = item == k
+                own, w = windows.texts[k][1:]
+                reach = 0 if windows is self.short else max(w, len(own) // 2)
+                for cover, share, other in windows.places(k, ipos[of], dpos[of], text[1], reach):
+                    if cover >= least and share >= slot_share:
+                        best[k] = max(best.get(k, (0.0, 0.0, False, False)), (cover, share, not other, other))
+        return [(self.ids[k], cover, share, other) for k, (cover, share, _, other) in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame, window: int, most: int):
@@ -213,7 +280,7 @@ def _blocks(benchmark: DataFrame, window: int, most: int):
     items, size = [], 0
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator(prefetchPartitions=True):
         text = (row[1] or "").encode()
-        n = len(text.split())
+        n = 2 * len(text.split())  # two readings
         if items and size + n > most:
             yield Block(items, window)
             items, size = [], 0
