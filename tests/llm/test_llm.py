@@ -144,6 +144,14 @@ def judged(item: str, text: str):
     return decontam.Block([(1, item.encode())], decontam.WINDOW).judge(*v.tokens(text.encode()), 0.6, 0.8)
 
 
+def test_decontamination_finds_verbatim_items_of_mostly_slots():
+    sums = "Compute 12 + 35 - 7 * 18 / 9 + 44 - 61 + 5 * 3 + 1020 - 77 = ?"
+    for item in (sums, "12 + 35 = ?", "Sort 9 8 7 12 55 31 2 40 18 77"):
+        assert judged(item, f"{prose(41, 60)}. {item} {prose(42, 60)}") == [(1, 1.0, 1.0, False)]
+    assert not judged(sums, "Compute 11 + 36 - 8 * 19 / 8 + 45 - 62 + 6 * 2 + 1021 - 78 = ?")  # its template says nothing
+    assert not judged("12 + 35 = ?", "13 + 35 = ? and 12 + 35 - 1 = ?")
+
+
 def test_decontamination_judges_one_place():
     assert not judged("Yes.", "yes I said") and not judged("Who was Einstein?", "He asked who was Newton?")
     assert not judged("Who was Albert Einstein?", "Who was Isaac Newton?")

@@ -6,7 +6,9 @@ is a capitalised word that does not open a sentence; a run of names is one
 placeholder.
 
 Windows of ``window`` template tokens are hash-joined with the benchmark's
-windows.  An item of fewer template tokens than a window is
+windows.  A window with fewer than half plain words says
+too little by its template: it is joined on the template and the slot values,
+so it matches verbatim only.  An item of fewer template tokens than a window is
 matched verbatim: all its words, symbols like ``+`` included, must follow each
 other in the text, and it needs ``SHORTEST`` words; shorter items match nothing.
 
@@ -168,6 +170,16 @@ def mostly_plain(slot: np.ndarray, width: int) -> np.ndarray:
     return 2 * (total[width:width + n] - total[:n]) >= width
 
 
+def window_keys(template: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
+    """Join key of every window: its template, with the slot values where fewer than half are plain words."""
+    x = window_hashes(template, width)
+    heavy = np.flatnonzero(~mostly_plain(slot, width)) if slot.any() else ()
+    if len(heavy):
+        exact = np.where(slot != 0, mix64(template + slot), template)
+        x[heavy] = window_hashes(exact[heavy[:, None] + np.arange(width)], width)[:, 0]
+    return x
+
+
 class Windows:
     """Windows of one reading of some benchmark items, sorted by join key."""
 
@@ -177,8 +189,8 @@ class Windows:
 
     def add(self, item: int, template: np.ndarray, slot: np.ndarray, width: int) -> None:
         self.texts[item] = template, slot, width
-        p = np.flatnonzero(mostly_plain(slot, width))
-        self.parts.append((window_hashes(template, width)[p], np.full(len(p), item), p, np.full(len(p), width)))
+        x = window_keys(template, slot, width)
+        self.parts.append((x, np.full(len(x), item), np.arange(len(x)), np.full(len(x), width)))
 
     def sort(self) -> None:
         self.hash, self.item, self.pos, self.width = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)]
@@ -193,7 +205,7 @@ class Windows:
         """Matched (item, item position, document position) of one document."""
         found = []
         for w in self.widths:
-            x = window_hashes(template, w)
+            x = window_keys(template, slot, w)
             p = np.flatnonzero(self.seen[x >> np.uint64(42)]) if len(x) else np.zeros(0, np.int64)
             if not len(p):
                 continue
