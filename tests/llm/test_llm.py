@@ -152,6 +152,16 @@ def test_decontamination_finds_verbatim_items_of_mostly_slots():
     assert not judged("12 + 35 = ?", "13 + 35 = ? and 12 + 35 - 1 = ?")
 
 
+def test_decontamination_finds_renamed_sentence_openers():
+    item = "Tom has 12 apples. Tom gives Ann 3 apples. Ann eats 2 apples. How many apples does Tom have left?"
+    copy = item.replace("Tom", "Max").replace("Ann", "Eve").replace("12", "15")
+    (_, cover, share, other), = judged(item, f"The How and Why. {prose(43, 60)}. {copy} {prose(44, 60)}")
+    assert cover > 0.9 and share == 1 and other
+    assert judged(item, f"The How and Why. {prose(43, 60)}. {item} {prose(44, 60)}") == [(1, 1.0, 1.0, False)]
+    lone = "Tom has 3 big red apples. Tom buys 4 small green ones. Tom eats 2 of them now. How many are left at home?"
+    assert judged(lone, lone.replace("Tom", "Max"))
+
+
 def test_decontamination_judges_one_place():
     assert not judged("Yes.", "yes I said") and not judged("Who was Einstein?", "He asked who was Newton?")
     assert not judged("Who was Albert Einstein?", "Who was Isaac Newton?")

@@ -2,11 +2,12 @@
 
 A text becomes a sequence of template tokens: numbers, units and names are
 replaced by typed placeholders, other words by their lower-cased core.  A name
-is a capitalised word that does not open a sentence; a run of names is one
-placeholder.
+is a capitalised word; a run of names is one placeholder.  A capitalised word
+that opens a sentence may be a name or not, so a text has two readings: such
+words are plain in one and placeholders of their own in the other.
 
 Windows of ``window`` template tokens are hash-joined with the benchmark's
-windows.  A window with fewer than half plain words says
+windows of the same reading.  A window with fewer than half plain words says
 too little by its template: it is joined on the template and the slot values,
 so it matches verbatim only.  An item of fewer template tokens than a window is
 matched verbatim: all its words, symbols like ``+`` included, must follow each
@@ -56,6 +57,7 @@ UNITS = frozenset(
     "gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes "
     "hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:[a-z]{1,3}|%)?$")
+EDGES = re.compile(r"^\W+|\W+$")
 PLAIN, NUM, UNIT, NAME, NONE = range(5)
 _SALT = [np.uint64(x) for x in (0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +83,7 @@ class Vocabulary:
         import xxhash
 
         word = raw.decode("utf-8", "replace")
-        core = re.sub(r"^\W+|\W+$", "", word)
+        core = word if word.isalpha() else EDGES.sub("", word)
         low = core.lower()
         if not core:
             kind = NONE
@@ -129,7 +131,7 @@ class Vocabulary:
         if not keep.all():
             kind, key, opening = kind[keep], key[keep], opening[keep]
         plain = _slots(kind, key, None)
-        return plain, None, every
+        return plain, _slots(np.where(opening, NAME, kind), key, opening) if opening.any() else None, every
 
 
 def _slots(kind: np.ndarray, key: np.ndarray, alone: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +264,8 @@ class Block:
             if len(plain[0]) >= width:
                 self.plain.add(k, *plain, width)
                 # the document may open a sentence where the item does not
-                if named is not None and len(named[0]) >= width:
+                named = plain if named is None else named
+                if len(named[0]) >= width:
                     self.named.add(k, *named, width)
             elif len(plain[0]) and len(every) >= SHORTEST:
                 self.short.add(k, every, np.zeros(len(every), np.uint64), min(width, len(every)))
