@@ -376,6 +376,23 @@ def test_html_template(spark):
     assert html_template.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_html_template_decides_without_known_names(spark):
+    def article(i):
+        return (f"<html><body><div class='xq1'>Daily {i}</div><main><div class='xq2'><p>Read our paper every day</p></div><h1>Head {i}</h1><div class='xq3'><p>{prose(800 + i, 40)}</p></div>"
+                f"<div class='xq4'>Written by our own staff</div></main></body></html>")
+
+    def plain(i):
+        return (f"<html><body><div class='xq5'><a href='/'>home</a> <a href='/b'>all</a></div><div class='xq6'>Head {i}</div><div class='xq7'><p>{prose(900 + i, 90)}</p></div>"
+                f"<div class='xq8'>Printed on paper since 1900</div></body></html>")
+    rows = [(i, f"https://main.example/{i}", article(i)) for i in range(6)] + [(10 + i, f"https://plain.example/{i}", plain(i)) for i in range(6)]
+    rows += [(20 + i, f"https://same.example/{i}", article(0)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Head {i}\n\n{prose(800 + i, 40)}"
+        assert got[10 + i] == f"Head {i}\n\n{prose(900 + i, 90)}"
+    assert all(prose(800, 40) in got[20 + i] for i in range(5))  # copies only: nothing tells template and text apart
+
+
 def brute_suffix(rows, length):
     owner, out = {}, {}
     full = [(2**63 if r[0] is None else r[0], (r[1] or "").encode()) for r in rows]
