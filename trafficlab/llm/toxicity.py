@@ -3,8 +3,10 @@
 Inputs: each word is the sum of its hashed word embedding and the mean of its
 hashed character 4- and 5-gram embeddings.  A forward and a backward gated
 recurrent unit read a window of words; attention pools their states to one
-logit.  All overlapping windows of a text are scored, and the document's score
-is its largest window score, calibrated on documents left out of the fit.
+logit.  Windows of ``WINDOW`` words are scored from every ``STRIDE``-th word on,
+not from every word, and the document's score is its largest window score,
+calibrated on documents left out of the fit.  A phrase of up to 17 words lies
+whole in some window, one of 18 to 32 words may not.
 
 Training (numpy, in one task) uses a bounded sample of labelled rows:
 at most ``sample_rows`` of each class, those with the smallest hash, of at
