@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html_template, imatch, minhash, mixing, sharding, site_lines, suffix_dedup, toxicity
+from . import (
+    chat, decontam, hard_negatives, html_template, imatch, minhash, mixing, resample, sharding, site_lines, suffix_dedup, token_counts,
+    toxicity)
 from .common import table
 
 
@@ -69,9 +71,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024, carry=["doc_id"])
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"), every=50, positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_template_decontamination, op2_toxicity_bigru, op3_byte_sharding, op4_site_line_dedup, op5_chat_format,
-    op6_imatch_fingerprints, op7_html_template, op8_bbit_minhash, op9_mixing_tree, op10_suffix_dedup)}
+    op6_imatch_fingerprints, op7_html_template, op8_bbit_minhash, op9_mixing_tree, op10_suffix_dedup, op11_importance_resampling,
+    op12_token_counts, op13_hard_negatives)}
 
 _OP3 = """
 WITH RECURSIVE bits AS (
@@ -156,4 +173,47 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM p
 """
 
-ORACLE = {"op3_byte_sharding": _OP3, "op4_site_line_dedup": _OP4, "op5_chat_format": _OP5, "op8_bbit_minhash": _OP8, "op9_mixing_tree": _OP9}
+_OP11 = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+src AS (
+  SELECT true AS corpus, doc_id AS id, row_number() OVER () AS n, text FROM documents
+  UNION ALL SELECT false, item_id, row_number() OVER (), text FROM benchmark),
+w AS (SELECT corpus, id, n, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM src),
+f AS (SELECT corpus, n, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS feature FROM w),
+b AS (SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(feature)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM (SELECT DISTINCT feature FROM f), tab),
+c AS (SELECT corpus, n, bucket FROM f JOIN b USING (feature)),
+h AS (SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t FROM c GROUP BY bucket),
+z AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM h),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (big_s + 10000))::DOUBLE / ((s + 1) * (big_t + 10000))::DOUBLE))::BIGINT AS gain FROM h, z),
+m AS (SELECT n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM c JOIN g USING (bucket) WHERE corpus GROUP BY n),
+d AS (SELECT w.id AS doc_id, len(ws) AS n_words, len(ws) + greatest(len(ws) - 1, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(w.id::VARCHAR, ''))[:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN m USING (n) WHERE corpus),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_words >= 20) OVER () AS enough FROM d)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= enough * 25 // 100 THEN place END::BIGINT AS rank FROM r
+"""
+
+_OP13 = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.n, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, coalesce(list_inner_product(a.q, b.q), 0)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT n, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY n ORDER BY score DESC, id) AS nth
+  FROM s WHERE same QUALIFY nth <= 5),
+g AS (SELECT p.anchor_id, positive_id, s.id AS negative_id, positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.n, nth ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.n = p.n AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 3
+"""
+
+ORACLE = {"op3_byte_sharding": _OP3, "op4_site_line_dedup": _OP4, "op5_chat_format": _OP5, "op8_bbit_minhash": _OP8, "op9_mixing_tree": _OP9,
+          "op11_importance_resampling": _OP11, "op13_hard_negatives": _OP13}
