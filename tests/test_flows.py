@@ -65,3 +65,48 @@ def test_agm_timeouts_reduce_to_windows(spark):
     # a short idle timeout splits flows: never fewer flows than windows
     short = FW.agm_vector(p, 86400, idle_seconds=3600)
     assert short.count() >= len(plain)
+
+
+def _plain_active(rows, idle, active):
+    """(key, n) -> (session, subflow) by walking each key's packets in order."""
+    out = {}
+    for key in {k for k, _, _ in rows}:
+        last = start = None
+        s = -1
+        for t, n in sorted((t, n) for k, n, t in rows if k == key):
+            if last is None or t - last > idle:
+                s, sub, start = s + 1, 0, t
+            elif t - start > active:
+                sub, start = sub + 1, t
+            out[key, n] = (s, sub)
+            last = t
+    return out
+
+
+def test_active_timeout_equals_a_walk(spark):
+    import random
+
+    r = random.Random(4)
+    rows, n = [], 0
+    for key in ("a", "b", None, "hot"):
+        t = 0
+        for _ in range(900 if key == "hot" else 120):
+            t += r.choice([0, 1, 3, 10, 10, 40, 99, 100] + [101] * (key != "hot"))
+            rows.append((key, n, t))
+            n += 1
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(k, i, base + dt.timedelta(seconds=t)) for k, i, t in rows], "k string, packet_no long, ts timestamp_ntz")
+    for idle, active in ((100, 300), (100, 30), (1000, 7), (100, 10_000_000)):
+        sizes = []
+        out = FW.active_timeout(df, ["k"], idle, active, num_buckets=5, flow_start="f", on_round=sizes.append).collect()
+        got = {(x["k"], x["packet_no"]): (x["session"], x["subflow"]) for x in out}
+        assert got == _plain_active(rows, idle, active)
+        first = {}
+        for x in out:
+            key = (x["k"], x["session"], x["subflow"])
+            first[key] = min(first.get(key, x["ts"]), x["ts"])
+        assert all(x["f"] == first[x["k"], x["session"], x["subflow"]] for x in out)
+        assert sizes[-1] == 0
+        if (idle, active) == (100, 300):
+            # once blocks are longer than the entry zone every round holds about half of the one before
+            assert len(sizes) > 4 and all(b <= 0.75 * a for a, b in zip(sizes[1:], sizes[2:]))

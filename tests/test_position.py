@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trafficlab.operators.position import keyed_scan
+from tests.conftest import SF001
+from trafficlab.operators.position import bucketize, keyed_scan
 
 
 def _ref(df, keys, order):
@@ -35,11 +36,82 @@ def test_global_position_no_key(spark):
     assert out.where(F.col("pos") != F.col("t")).count() == 0
 
 
-def test_no_single_partition_exchange(spark):
-    df = spark.range(0, 100).select(F.col("id").alias("t"))
-    plan = keyed_scan(df, None, ["t"], num_buckets=4)._jdf.queryExecution().executedPlan().toString()
-    # the only SinglePartition exchange allowed is none on row data: windows run per bucket
-    assert "Window" in plan
+def _single_partition_children(plan: str) -> set[str]:
+    """Operators right below the single-partition exchanges of a plan."""
+    lines = [x.lstrip(" :+-*(0123456789)") for x in plan.split("\n")]
+    return {lines[i + 1].split("(")[0].split(" ")[0] for i, x in enumerate(lines) if x.startswith("Exchange SinglePartition")}
+
+
+def test_only_aggregates_meet_in_one_partition(spark):
+    df = spark.range(0, 1000).select(F.col("id").alias("t"), (F.col("id") % 3).alias("k"), F.lit("wide").alias("payload"))
+    for keys in (None, ["k"]):
+        out = keyed_scan(df, keys, ["t"], sums={"s": "k"}, lags={"l": "t"}, num_buckets=4)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert _single_partition_children(plan) <= {"HashAggregate", "ObjectHashAggregate", "SortAggregate"}
+        assert "hashpartitioning(_tl_bucket" in plan
+
+
+def test_building_a_scan_runs_no_job(spark):
+    sc = spark.sparkContext
+    df = spark.read.parquet(f"{SF001}/events.parquet")
+    sc.setJobGroup("scan-build", "scan-build")
+    keyed_scan(df, ["user_id"], ["ts", "event_id"], sums={"s": "event_id"}, gap_session=("g", "ts", 60))
+    assert list(sc.statusTracker().getJobIdsForGroup("scan-build")) == []
+    sc.setJobGroup("other", "other")
+
+
+def test_unused_columns_are_not_read(spark):
+    df = spark.read.parquet(f"{SF001}/events.parquet")
+    plan = keyed_scan(df, None, ["ts", "event_id"]).select("event_id", "pos")._jdf.queryExecution().executedPlan().toString()
+    assert "props" not in plan and "event_type" not in plan
+    assert "ReadSchema: struct<>" in plan  # the row count comes from the footers
+
+
+def test_many_buckets_cost_little_more(spark):
+    import time
+
+    df = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+
+    def seconds(buckets):
+        t0 = time.perf_counter()
+        bucketize(df, ["l_orderkey", *order], buckets, 1).select("l_orderkey", "_tl_bucket").write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+    for b in (8, 4096):
+        seconds(b)
+    few, many = (min(seconds(b) for _ in range(3)) for b in (8, 4096))
+    assert many < 2 * few + 2.5  # the bounds of 4,096 buckets are sorted once, at most 262,144 values
+
+
+def test_only_cut_keys_are_summarised(spark):
+    rows = [(f"k{i % 500}", i) for i in range(20000)] + [("hot", i) for i in range(10000)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    b = bucketize(df, ["k", "t"], 16, 1)
+    assert b.where("_tl_open").select("k").distinct().count() <= 15
+    cut = {r["k"] for r in b.groupBy("k").agg(F.countDistinct("_tl_bucket").alias("n")).where("n > 1").collect()}
+    assert cut <= {r["k"] for r in b.where("_tl_open").select("k").distinct().collect()}
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 23])
+def test_lasts_and_session_starts_match_windows(spark, buckets):
+    import random
+
+    r = random.Random(7)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"k{r.choice([0, 0, 0, 1, 2])}", i, t0 + dt.timedelta(seconds=r.randint(0, 20000)), r.choice([None, None, i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, n long, ts timestamp_ntz, v long")
+    out = keyed_scan(df, ["k"], ["ts", "n"], pos_col=None, gap_session=("s", "ts", 90), session_start="b", lasts={"p": "v"}, num_buckets=buckets)
+    got = {x["n"]: (x["s"], x["b"], x["p"]) for x in out.collect()}
+    want = {}
+    for key in ("k0", "k1", "k2"):
+        last, s, begin, past = None, -1, None, None
+        for _, n, ts, v in sorted((x for x in rows if x[0] == key), key=lambda x: (x[2], x[1])):
+            if last is None or (ts - last).total_seconds() > 90:
+                s, begin = s + 1, ts
+            want[n] = (s, begin, past)
+            last, past = ts, past if v is None else v
+    assert got == want
 
 
 def test_gap_sessions_boundary(spark):
@@ -62,7 +134,6 @@ def test_nan_and_null_order_values(spark):
 
 
 def test_hot_key_is_split(spark):
-    from trafficlab.operators.position import bucketize
     rows = [("hot", i) for i in range(3000)] + [(f"k{i}", i) for i in range(1500)]
     df = spark.createDataFrame(rows, "k string, t long")
     b = bucketize(df, ["k", "t"], 12)

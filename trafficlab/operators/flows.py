@@ -17,6 +17,7 @@ from ..functions.flags import flag_combo, flag_mode_letters
 from ..functions.stats import stdev0
 from ..functions.timecols import is_ntz, micros, millis
 from ..schema import AGM_ATTR_SOURCE, AGM_NUMERIC, AGM_ORDER, CAIA_ORDER
+from ..session import drop_staged, staged
 from .position import keyed_scan
 
 PACKET_ORDER = ["ts", "packet_no"]
@@ -81,6 +82,31 @@ def with_ipt(packets: DataFrame, keys: Sequence[str], order: Sequence[str] = PAC
     return lagged.withColumn(out, ipt).drop("_prev_ts")
 
 
+def bidirectional_flows(packets: DataFrame, idle_seconds: float, active_seconds: float | None = None,
+                        num_buckets: int | None = None, scan_again: bool = False) -> tuple[DataFrame, list[str]]:
+    """Packets with their bidirectional flow and ``ipt``, the seconds since the
+    flow's previous packet in the same direction, and the names of the flow key.
+
+    One scan per 5-tuple gives the session, its start and the previous packet of
+    either direction; a previous packet before the flow's start is none of its.
+    ``scan_again`` prepares for another scan on the flow key: it keeps the bucket
+    or, behind an active timeout, writes the flows."""
+    keyed = with_canonical_key(packets).withColumns({"_ta": F.when(F.col("a_side"), F.col("ts")), "_tb": F.when(~F.col("a_side"), F.col("ts"))})
+    lasts = {"_pa": "_ta", "_pb": "_tb"}
+    if active_seconds is None:
+        fkey = FIVE_TUPLE + ["session"]
+        flows = keyed_scan(keyed, FIVE_TUPLE, PACKET_ORDER, pos_col=None, gap_session=("session", "ts", idle_seconds),
+                           session_start="_fstart", lasts=lasts, num_buckets=num_buckets, keep_bucket=scan_again)
+    else:
+        fkey = FIVE_TUPLE + ["session", "subflow"]
+        flows = active_timeout(keyed, FIVE_TUPLE, idle_seconds, active_seconds, num_buckets=num_buckets, lasts=lasts, flow_start="_fstart")
+        flows = staged(flows, "flows") if scan_again else flows
+    z = _ntz(packets)
+    before = F.when(F.col("a_side"), F.col("_pa")).otherwise(F.col("_pb"))
+    ipt = F.when(before >= F.col("_fstart"), (_micros(F.col("ts"), z) - _micros(before, z)) / F.lit(1_000_000.0))
+    return flows.withColumn("ipt", ipt).drop("_ta", "_tb", "_pa", "_pb", "_fstart"), fkey
+
+
 def caia_vector(packets: DataFrame, idle_seconds: float = 300, num_buckets: int | None = None,
                 flow_sampling: tuple | None = None, active_seconds: float | None = 1800) -> DataFrame:
     """bidirectional 5-tuple flows cut by the idle and the active timeout
@@ -96,28 +122,13 @@ def caia_vector(packets: DataFrame, idle_seconds: float = 300, num_buckets: int
     are built from all packets; counts and statistics then use the kept
     packets, the flow start and addresses the whole flow.
     """
-    keyed = with_canonical_key(packets)
-    if active_seconds is None:
-        # one bucketing of (5-tuple, time) serves both scans: sessions, then the
-        # per-direction inter-packet time inside each session
-        sess = sessionize(keyed, FIVE_TUPLE, idle_seconds, num_buckets=num_buckets, keep_bucket=True)
-        fkey = FIVE_TUPLE + ["session"]
-    else:
-        sess = active_timeout(keyed, FIVE_TUPLE, idle_seconds, active_seconds, num_buckets=num_buckets)
-        fkey = FIVE_TUPLE + ["session", "subflow"]
-    if flow_sampling is None:
-        ipt = with_ipt(sess, fkey + ["a_side"], num_buckets=num_buckets)
-        keep = F.lit(True)
-    else:
-        from .sampling import keep_predicate
+    ipt, fkey = bidirectional_flows(packets, idle_seconds, active_seconds, num_buckets, flow_sampling is not None)
+    keep = F.lit(True)
+    if flow_sampling is not None:
+        from .sampling import FLOW_MODES, keep_predicate
         mode, n = flow_sampling
-        from .sampling import FLOW_MODES
         mode = FLOW_MODES.get(mode, mode) if isinstance(mode, int) else mode
-        # positions inside (flow, direction) in the same scan as the IPT
-        lagged = keyed_scan(sess, fkey + ["a_side"], PACKET_ORDER, pos_col="_dpos",
-                            lags={"_prev_ts": "ts"}, num_buckets=num_buckets)
-        z = _ntz(packets)
-        ipt = lagged.withColumn("ipt", (_micros(F.col("ts"), z) - _micros(F.col("_prev_ts"), z)) / F.lit(1_000_000.0))
+        ipt = keyed_scan(ipt, fkey + ["a_side"], PACKET_ORDER, pos_col="_dpos", num_buckets=num_buckets)
         keep = keep_predicate(F.col("_dpos"), mode, n)
     f = F.col("flags")
     aggs = [
@@ -322,62 +333,111 @@ def flag_summary(packets: DataFrame, flow_keys: Sequence[str], flags_col: str =
                        "distinct(_tcpFlags)", "modeCount(_tcpFlags)")
 
 
+def flow_ids(keys: Sequence[str]) -> dict[str, Column]:
+    """Two hashes that stand for the flow key in the pointer tables (16 bytes; NULL keys included)."""
+    cols = [F.col(f"`{k}`") for k in keys]
+    return {"_h1": F.xxhash64(*cols), "_h2": F.xxhash64(F.lit(1), *cols)}
+
+
+def cut_chain(nodes: DataFrame, active_us: int, idle_us: int, on_round=None) -> DataFrame:
+    """The packets of each session at which the active timeout cuts, its first packet included.
+
+    ``nodes``: ``_h1, _h2, session`` (the session), ``_p`` (a packet's number),
+    ``_rel`` (microseconds since the session's first packet) and ``_next``, the
+    number of the first packet more than ``active_us`` later (there may be none).
+    The cuts are the chain first -> next(first) -> ...; it is found by contraction:
+
+    * Time is cut into blocks, ``active`` long at level 0 and twice as long at
+      each further level.  A packet's pointer leads to the first element of its
+      chain behind its block; at level 0 that is ``_next``, for a chain steps
+      further than ``active``.
+    * Level k + 1 joins two blocks.  A pointer from the left one into the right
+      one is followed once more, any other stays.  Packets of a session are at
+      most ``idle`` apart, so a chain enters a block within its first
+      ``active + idle``; only packets there keep a pointer, so the rounds halve
+      once blocks are longer than that, and a session leaves with its last block.
+    * Downwards, the element that enters a block enters its left half (and its
+      pointer may enter the right half) or its right half.  A block of level 0
+      holds one element at most: all cuts are known.
+
+    ``on_round`` is called with the number of pointers of each level (tests)."""
+    sk = ["_h1", "_h2", "session"]
+    zone = active_us + idle_us
+    target = nodes.select(*sk, F.col("_p").alias("_next"), F.col("_rel").alias("_at_rel"))
+    now = staged(nodes.join(target, sk + ["_next"]).select(*sk, "_p", "_rel", F.col("_next").alias("_at"), "_at_rel"), "active-level")
+    levels, size = [], active_us
+    while True:
+        n = now.count()  # of a written table
+        if on_round is not None:
+            on_round(n)
+        if n == 0:
+            drop_staged(now)
+            break
+        into_right = f"(_rel div {size}) % 2 = 0 and _at_rel div {size} = _rel div {size} + 1"
+        levels.append((now, into_right))
+        size *= 2
+        kept = now.where(f"_rel % {size} < {zone}")
+        further = now.select(*sk, F.col("_p").alias("_at"), F.col("_at").alias("_far"), F.col("_at_rel").alias("_far_rel"))
+        followed = kept.where(into_right).join(further, sk + ["_at"]) \
+                       .select(*sk, "_p", "_rel", F.col("_far").alias("_at"), F.col("_far_rel").alias("_at_rel"))
+        now = staged(kept.where(f"not ({into_right})").unionByName(followed), "active-level")
+    entries = nodes.where("_rel = 0").groupBy(*sk).agg(F.min("_p").alias("_p"))
+    for level, into_right in reversed(levels):
+        entries = entries.join(level, sk + ["_p"], "left").select(
+            *sk, F.explode(F.array_compact(F.array(F.col("_p"), F.when(F.expr(into_right), F.col("_at"))))).alias("_p"))
+    cuts = staged(entries, "active-cuts")
+    drop_staged(*(level for level, _ in levels))
+    return cuts
+
+
 def active_timeout(packets: DataFrame, keys: Sequence[str], idle_seconds: float, active_seconds: float,
                    order: Sequence[str] = PACKET_ORDER, ts_col: str = "ts",
-                   num_buckets: int | None = None) -> DataFrame:
+                   num_buckets: int | None = None, lasts: dict[str, str] | None = None,
+                   flow_start: str | None = None, on_round=None) -> DataFrame:
     """idle sessions cut again by the active timeout.
 
     Inside an idle session a new flow starts at the first packet whose time
-    exceeds the current flow's start by more than ``active_seconds``.  The
-    cut points form a chain 0 -> nxt(0) -> nxt(nxt(0)) ..., where nxt(i) is
-    the first packet later than t_i + active.  ``nxt`` for every packet is a
-    running count over packets merged with probe rows at t_i + active (one
-    skew-safe scan); the chain is then followed by pointer doubling: log2 of
-    the longest possible chain rounds of balanced joins, each round
-    checkpointed to the shared checkpoint folder so lineage stays short.
-    Only sessions longer than ``active_seconds`` take part.  Adds
-    ``session`` and ``subflow`` (0-based inside the session).
+    exceeds the current flow's start by more than ``active_seconds``.  The next
+    packet after t + active comes for every packet from one skew-safe scan over
+    packets and probe rows; the chain of cuts from a session's first packet is
+    found by :func:`cut_chain`.  Only sessions longer than ``active_seconds``
+    take part, and the rounds carry 16-byte hashes of the key, never packets.
+    Adds ``session`` and ``subflow`` (0-based inside the session); ``lasts`` as in
+    ``keyed_scan`` within ``keys``, ``flow_start`` names a column for the flow's
+    first time.
     """
-    keys = list(keys)
-    sk = keys + ["session"]
-    active_us = int(active_seconds * 1_000_000)
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(packets.sparkSession)
-    # the session table feeds three branches: cut its lineage once
-    sess = sessionize(packets, keys, idle_seconds, order=order, ts_col=ts_col, num_buckets=num_buckets).checkpoint()
+    if active_seconds <= 0:
+        raise ValueError("the active timeout must be positive")
+    keys, order = list(keys), list(order)
+    sk = ["_h1", "_h2", "session"]
+    active_us, idle_us = int(active_seconds * 1_000_000), int(idle_seconds * 1_000_000)
     z = _ntz(packets, ts_col)
-    t = _micros(F.col(ts_col), z)
-    span = sess.groupBy(*sk).agg((F.max(t) - F.min(t)).alias("_span"))
-    long_keys = span.where(F.col("_span") > active_us).select(*sk)
-    long = _key_join(sess, long_keys, sk, "left_semi")
-    short = _key_join(sess, long_keys, sk, "left_anti").withColumn("subflow", F.lit(0).cast("long"))
-
-    pos = keyed_scan(long, sk, list(order), pos_col="_sp", num_buckets=num_buckets, keep_bucket=True).checkpoint()
-    tl = _micros(F.col(ts_col), z)
-    pk = pos.select(*sk, tl.alias("_t"), F.lit(0).alias("_kind"), F.col("_sp").alias("_p"))
-    pr = pos.select(*sk, (tl + F.lit(active_us)).alias("_t"), F.lit(1).alias("_kind"), F.col("_sp").alias("_p"))
-    u = pk.unionByName(pr).withColumn("_isp", (F.col("_kind") == 0).cast("long"))
-    cnt = keyed_scan(u, sk, ["_t", "_kind", "_p"], pos_col=None, sums={"_le": "_isp"}, num_buckets=num_buckets)
-    jump = cnt.where(F.col("_kind") == 1).select(*sk, F.col("_p").alias("pos"), F.col("_le").alias("nxt"))
-
-    max_span = span.agg(F.max("_span")).first()[0] or 0
-    max_chain = int(max_span // max(active_us, 1)) + 2
-    rounds = max(1, (max_chain - 1).bit_length())
-    tables = [jump.checkpoint()]
-    for _ in range(1, rounds + 1):
-        a, b = tables[-1].alias("a"), tables[-1].alias("b")
-        cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in sk] + [F.col("a.nxt") == F.col("b.pos")]
-        nxt2 = a.join(b, on=cond, how="left").select(*[F.col(f"a.{k}") for k in sk], F.col("a.pos"),
-                                                       F.col("b.nxt").alias("nxt"))
-        tables.append(nxt2.checkpoint())
-    cuts = pos.where(F.col("_sp") == 0).select(*sk, F.col("_sp").alias("pos"))
-    for j in reversed(tables):
-        step = _key_join(cuts, j, sk + ["pos"], "inner").where(F.col("nxt").isNotNull()) \
-                   .select(*sk, F.col("nxt").alias("pos"))
-        cuts = cuts.unionByName(step).distinct().checkpoint()
-    flagged = _key_join(pos, cuts.withColumn("_cut", F.lit(1)).withColumnRenamed("pos", "_sp"), sk + ["_sp"], "left") \
-                 .withColumn("_cut", F.coalesce(F.col("_cut"), F.lit(0)).cast("long"))
-    # same keys and order as ``pos``: its bucket column is reused (no new cut)
-    sub = keyed_scan(flagged, sk, list(order), pos_col=None, sums={"_sub": "_cut"}, num_buckets=num_buckets)
-    sub = sub.withColumn("subflow", F.col("_sub") - 1).drop("_sub", "_cut", "_sp")
-    return short.unionByName(sub.select(*short.columns))
+    # the session table feeds several branches: written once
+    scanned = keyed_scan(packets, keys, order, pos_col="_p", gap_session=("session", ts_col, idle_seconds),
+                         session_start="_begin", lasts=lasts, num_buckets=num_buckets)
+    sess = staged(scanned.withColumns(flow_ids(keys)), "active-sessions")
+    rel = _micros(F.col(ts_col), z) - _micros(F.col("_begin"), z)
+    long_keys = sess.where(rel > active_us).select(*sk).distinct()
+    long = sess.join(long_keys, sk, "left_semi")
+    start = {flow_start: F.col("_begin")} if flow_start else {}
+    short = sess.join(long_keys, sk, "left_anti").withColumns({"subflow": F.lit(0).cast("long"), **start})
+
+    slim = long.select(*sk, "_p", rel.alias("_rel"))
+    probes = slim.withColumns({"_t": F.col("_rel") + F.lit(active_us), "_kind": F.lit(1), "_seen": F.lit(None).cast("long")})
+    both = slim.withColumns({"_t": F.col("_rel"), "_kind": F.lit(0), "_seen": F.col("_p")}).unionByName(probes)
+    # a probe's last packet at or before it; the next one follows by number
+    seen = keyed_scan(both, sk, ["_t", "_kind", "_p"], pos_col=None, maxs={"_upto": "_seen"}, num_buckets=num_buckets)
+    nodes = staged(seen.where("_kind = 1").select(*sk, "_p", "_rel", (F.col("_upto") + 1).alias("_next")), "active-next")
+    cuts = cut_chain(nodes, active_us, idle_us, on_round)
+
+    # a marker before each cut packet; the flows of a session are the markers passed
+    markers = cuts.join(nodes, sk + ["_p"]).select(*sk, "_p", F.lit(0).alias("_kind"), F.lit(1).cast("long").alias("_cut"), F.col("_rel").alias("_cut_rel"))
+    rows = long.withColumns({"_kind": F.lit(1), "_cut": F.lit(0).cast("long"), "_cut_rel": F.lit(None).cast("long")})
+    marked = keyed_scan(rows.unionByName(markers, allowMissingColumns=True), sk, ["_p", "_kind"], pos_col=None,
+                        sums={"_sub": "_cut"}, lasts={"_cut_at": "_cut_rel"} if flow_start else None, num_buckets=num_buckets)
+    sub = marked.where("_kind = 1").withColumn("subflow", F.col("_sub") - 1)
+    if flow_start:
+        sub = sub.withColumn(flow_start, F.expr("_begin + make_dt_interval(0, 0, 0, cast(cast(_cut_at as decimal(18,0)) / 1000000 as decimal(18,6)))"))
+    made = ["session", *(lasts or {}), "subflow", *([flow_start] if flow_start else [])]
+    cols = [c for c in packets.columns if c not in made] + made
+    return short.select(*cols).unionByName(sub.select(*cols))

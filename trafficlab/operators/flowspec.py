@@ -265,14 +265,7 @@ def _side_expr(feature: Any, cond: Column, flags: Column) -> Column:
 
 
 def _bidirectional(packets: DataFrame, spec: FlowSpec, idle_seconds: float) -> DataFrame:
-    keyed = FW.with_canonical_key(packets)
-    if spec.active_timeout:
-        sess = FW.active_timeout(keyed, FW.FIVE_TUPLE, idle_seconds, spec.active_timeout)
-        fkey = FW.FIVE_TUPLE + ["session", "subflow"]
-    else:
-        sess = FW.sessionize(keyed, FW.FIVE_TUPLE, idle_seconds, keep_bucket=True)
-        fkey = FW.FIVE_TUPLE + ["session"]
-    ipt = FW.with_ipt(sess, fkey + ["a_side"])
+    ipt, fkey = FW.bidirectional_flows(packets, idle_seconds, spec.active_timeout or None)
     flags = F.col("flags")
     aggs = [F.min(F.struct("ts", "packet_no", "src", "dst", "sport", "dport", "a_side")).alias("_first")]
     parts = sorted({_accumulated(f) for f in spec.features if _accumulated(f)})
