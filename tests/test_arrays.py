@@ -29,6 +29,20 @@ def test_array_mode_equals_long_form(spark):
     assert arr == long
 
 
+def test_array_mode_of_long_and_odd_arrays(spark):
+    rows = [(1, [3, 1, 3, 1, 2]), (2, []), (3, [None, None, 5]), (4, None), (5, [i % 50_000 for i in range(100_000)] + [7])]
+    df = spark.createDataFrame(rows, "k long, a array<long>")
+    m = A.array_mode(F.col("a"))
+    got = {r[0]: tuple(r)[1:] for r in df.select("k", m["mode"], m["modeCount"], m["distinct"]).collect()}
+    assert got[1] == (1, 2, 3) and got[2] == (None, 0, 0) and got[3] == (5, 1, 2) and got[4][0] is None
+    assert got[5] == (7, 3, 50_000)
+
+
+def test_string_list(spark):
+    df = spark.createDataFrame([("[a  b c]",), ("[]",), (None,)], "t string")
+    assert [r[0] for r in df.select(A.parse_string_list(F.col("t"))).collect()] == [["a", "b", "c"], [], None]
+
+
 def test_rename_and_project(spark):
     from trafficlab.operators.columns import project_vector, rename_features
     from trafficlab.sources.tables import pkt_user

@@ -31,6 +31,18 @@ def test_user_function(spark):
     assert r["range(ipTTL)"] == r["max(ipTTL)"] - r["min(ipTTL)"] == 2
 
 
+def test_deviation_of_large_values_with_a_small_spread(spark):
+    spec = FlowSpec.from_json({"features": ["sourceIPAddress", {"stdev": ["octetTotalCount"]}, {"mean": ["octetTotalCount"]}, {"stdev": ["ipTTL"]}],
+                               "bidirectional": False, "key_features": ["sourceIPAddress", "__timeWindow60s"]})
+    t = dt.datetime(2024, 1, 1)
+    rows = [(k, i, t + dt.timedelta(seconds=i), None if k == "b" else 60, 10 ** 9 + (-1) ** i) for k in "ab" for i in range(10)] + [(None, 30, t, 5, 7)]
+    df = spark.createDataFrame(rows, "src string, packet_no long, ts timestamp, ttl long, octets long").repartition(4)
+    got = {r["sourceIPAddress"]: r for r in extract_flows(df, spec).collect()}
+    assert abs(got["a"]["stdev(octetTotalCount)"] - (10 / 9) ** 0.5) < 1e-7 and got["a"]["mean(octetTotalCount)"] == 1e9
+    assert got["a"]["stdev(ipTTL)"] == 0.0 and got["b"]["stdev(ipTTL)"] is None
+    assert got[None]["stdev(octetTotalCount)"] == 0.0
+
+
 def _packets(spark, seconds, sport=1, dport=2, src="a", dst="b"):
     t = dt.datetime(2024, 1, 1)
     rows = [("c", i, t + dt.timedelta(seconds=s), src, dst, sport, dport, 6, 64, 10, 10, "S") for i, s in enumerate(seconds)]

@@ -87,3 +87,18 @@ def test_n_one_is_identity_and_first_n_idempotent(spark):
     twice = S.sample_flow(once, "l_orderkey", "first_n", 2, order=ORDER_SORT).drop("pos")
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     assert {tuple(r) for r in once.select(*cols).collect()} == {tuple(r) for r in twice.select(*cols).collect()}
+
+
+def test_n_of_big_n_takes_one_scan_and_equals_a_draw_of_all_slots(spark):
+    import hashlib
+
+    for total, n in ((0, 3), (5, 3), (9, 3), (41, 4), (230, 10), (7, 1)):
+        p = spark.range(total).select(F.col("id").alias("packet_no"), F.col("id").alias("ts"))
+        got = sorted(r["pos"] for r in S.sample_packets(p, "n_of_N", n, seed=5).collect())
+        big, want = n * n, []
+        for b in range(-(-total // big)):
+            slots = sorted(range(b * big, b * big + big), key=lambda q: hashlib.md5(f"5:{q}".encode()).hexdigest())[:n]
+            want += [q for q in slots if q < total]
+        assert got == sorted(want)
+    plan = S.sample_packets(p, "n_of_N", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "Generate" not in plan

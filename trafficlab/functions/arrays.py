@@ -45,9 +45,15 @@ def array_stats(arr: Column) -> dict[str, Column]:
 
 
 def array_mode(arr: Column) -> dict[str, Column]:
-    """Mode (tie -> smallest), modeCount and distinct of a numeric array,
-    with higher-order functions on the array itself (no explode)."""
-    vals = F.array_distinct(arr)
-    counted = F.transform(vals, lambda v: F.struct(F.size(F.filter(arr, lambda x: x == v)).alias("c"), (-v).alias("nv"), v.alias("v")))
-    best = F.array_max(counted)
-    return {"mode": best["v"], "modeCount": best["c"].cast("long"), "distinct": F.size(vals).cast("long")}
+    """Mode (tie -> smallest), modeCount and distinct of an array, by sorting
+    it and folding its runs (no explode).  NULL elements are a value of
+    ``distinct`` only; an empty array has no mode and modeCount 0."""
+    values = F.array_sort(F.filter(arr, lambda x: x.isNotNull()))
+    start = F.try_element_at(values, F.lit(1))
+
+    def fold(acc, x):
+        run = F.when(x == acc["v"], acc["run"] + 1).otherwise(1)
+        longer = run > acc["c"]
+        return F.struct(x.alias("v"), run.alias("run"), F.when(longer, x).otherwise(acc["mode"]).alias("mode"), F.greatest(run, acc["c"]).alias("c"))
+    best = F.aggregate(values, F.struct(start.alias("v"), F.lit(0).alias("run"), start.alias("mode"), F.lit(0).alias("c")), fold)
+    return {"mode": best["mode"], "modeCount": best["c"].cast("long"), "distinct": F.size(F.array_distinct(arr)).cast("long")}

@@ -171,7 +171,7 @@ def _unidirectional(packets: DataFrame, spec: FlowSpec, window_seconds: int, idl
     else:
         lvl1 = flows.groupBy(*fkeys).agg(F.min("ts").alias("_t0"), F.count(F.lit(1)).alias("_pk"),
                                           F.sum("octets").alias("_oc"))
-    out_cols = {}
+    moments: dict[str, Column] = {}
     for f in funcs:
         (fn, (a,)), = f.items()
         on = F.col("attr") == a
@@ -192,16 +192,17 @@ def _unidirectional(packets: DataFrame, spec: FlowSpec, window_seconds: int, idl
         elif fn == "mean":
             aggs.append(F.try_divide(F.sum(F.when(on, val * F.col("c"))), F.sum(F.when(on, F.col("c"))).cast("double")).alias(name))
         elif fn == "stdev":
-            n = F.sum(F.when(on, F.col("c"))).cast("double")
-            s1 = F.sum(F.when(on, val * F.col("c")))
-            s2 = F.sum(F.when(on, val * val * F.col("c")))
-            var = F.try_divide(s2 - s1 * s1 / n, n - 1)
-            aggs.append(F.when(n == 1, F.lit(0.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias(name))
+            # count, mean and centred second moment of the packets, merged pairwise from the map tasks on:
+            # sums of squares would lose the digits of large values with a small spread
+            moments[name] = stdev0(_attr_col(a).cast("double"))
         elif fn in USER_FUNCTIONS:
             aggs.append(USER_FUNCTIONS[fn](F.when(on, val), F.when(on, F.col("c"))).alias(name))
         else:
             raise ValueError(f"unsupported function {fn!r} in a unidirectional spec")
     grouped = lvl1.groupBy(*fkeys).agg(*aggs) if items else lvl1
+    if moments:
+        spread = flows.groupBy(*fkeys).agg(*[c.alias(name) for name, c in moments.items()])
+        grouped = FW._key_join(grouped, spread, fkeys, "inner")
     return _select_unidirectional(grouped, spec, packets, keys)
 
 

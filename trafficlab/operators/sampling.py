@@ -121,13 +121,18 @@ def sample_packets(packets: DataFrame, mode, n: int, seed: int = DEFAULT_SEED,
     if mode == "every_nth":
         return positioned.where(F.pmod(pos, F.lit(n)) == 0)
     if mode == "n_of_N":
+        # complete blocks rank their packets; the tail block, which lacks slots, keeps the packets up to
+        # the n-th lowest rank of all its slots, found once (on the block's first row)
         big_n = n * n
-        blocks = positioned.select(F.floor(pos / big_n).alias("_blk")).distinct()
-        slots = blocks.select("_blk", F.explode(F.sequence(F.col("_blk") * big_n,
-                                                           F.col("_blk") * big_n + big_n - 1)).alias(pos_col))
-        w = Window.partitionBy("_blk").orderBy(_hash_rank_key(seed, F.col(pos_col)), F.col(pos_col))
-        chosen = slots.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select(pos_col)
-        return positioned.join(chosen, on=pos_col, how="left_semi")
+        place = lambda p: F.struct(_hash_rank_key(seed, p).alias("h"), p.alias("p"))
+        block = Window.partitionBy("_blk")
+        slots = F.sequence(F.col("_blk") * big_n, F.col("_blk") * big_n + big_n - 1)
+        lowest = F.get(F.array_sort(F.transform(slots, place)), F.lit(n - 1))
+        ranked = positioned.withColumns({"_blk": F.floor(pos / big_n), "_place": place(pos)}).withColumns({
+            "_r": F.row_number().over(block.orderBy("_place")), "_c": F.count(F.lit(1)).over(block)})
+        last = F.max(F.when((F.col("_r") == 1) & (F.col("_c") < big_n), lowest)).over(block)
+        kept = F.when(F.col("_c") == big_n, F.col("_r") <= n).otherwise(F.col("_place") <= F.col("_last"))
+        return ranked.withColumn("_last", last).where(kept).drop("_blk", "_place", "_r", "_c", "_last")
     if mode == "srs_per_block":
         blk = F.floor(pos / split)
         w = Window.partitionBy("_blk").orderBy(_hash_rank_key(seed, pos), pos)

@@ -47,6 +47,19 @@ def q_spec_agm(spark, sf):
     return extract_flows(pkt_user(spark, sf), AGM_SPEC, window_seconds=WINDOW_S)
 
 
+MOMENTS_SPEC = FlowSpec.from_json({
+    "features": ["sourceIPAddress", "packetTotalCount", {"mean": ["octetTotalCount"]}, {"stdev": ["octetTotalCount"]}, {"stdev": ["ipTTL"]}],
+    "bidirectional": False, "key_features": ["sourceIPAddress", "__timeWindow10s"]})
+
+
+@register("spec_moments", with_views("pkt_user") + f"""
+SELECT epoch_us(ts) // {_WIN_US} AS "timeWindow", src AS "sourceIPAddress", count(*) AS "packetTotalCount", round(avg(octets), 6) AS "mean(octetTotalCount)",
+  round(coalesce(stddev_samp(octets), 0), 6) AS "stdev(octetTotalCount)", round(coalesce(stddev_samp(ttl), 0), 6) AS "stdev(ipTTL)"
+FROM pkt_user GROUP BY ALL""")
+def q_spec_moments(spark, sf):
+    return round_doubles(extract_flows(pkt_user(spark, sf), MOMENTS_SPEC, window_seconds=WINDOW_S))
+
+
 def _spec_caia_sql() -> str:
     sql = _caia_sql()
     for name in CAIA_ORDER[6:]:
