@@ -197,3 +197,19 @@ def q_stream_active_flows(spark, sf):
     ST.append_end_marker(p, path)
     s = ST.timeout_flows(ST.packet_stream(spark, path, p.schema), FW.FIVE_TUPLE, IDLE_S, ACTIVE_S)
     return _appended(spark, s, "active").where(F.col("a_ip").isNotNull())
+
+
+_LATE_DELAY = "1 day"
+
+
+@register("stream_late", with_views("pkt_user", extra=f"""
+s AS (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) // greatest(1, (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 4) // 4) AS slice FROM pkt_user),
+m AS (SELECT max(epoch_us(ts)) - {DAY_US} AS mark FROM s WHERE slice IN (0, 2))""")
+          + "SELECT packet_no, src, slice = 1 AND epoch_us(ts) < mark AS late FROM s, m")
+def q_stream_late(spark, sf):
+    """The second quarter of the capture arrives after the third."""
+    p = pkt_user(spark, sf)
+    path = ST.stage_files(p, ST.fresh_dir(spark, "in-late"), "ts", 4, arrival=(0, 2, 1, 3))
+    out = ST.fresh_dir(spark, "out-late")
+    ST.run_split_late(ST.packet_stream(spark, path, p.schema), out, ST.fresh_dir(spark, "ck-late"), _LATE_DELAY)
+    return spark.read.parquet(out).select("packet_no", "src", "late")

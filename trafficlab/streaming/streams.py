@@ -5,11 +5,12 @@ windowed / session-windowed aggregates with a watermark; duplicates are
 dropped within the watermark; labeling is a stream-static join; scoring is a
 stateless transform.
 
-The timeout cutter and the samplers keep state per key
-(``applyInPandasWithState``).  Packets wait in the key's state until the
-watermark has passed them and are then taken in event-time order, so the
-result does not depend on the order of arrival within the watermark delay.  A
-key's waiting packets (those of one delay) must fit into a task.
+The timeout cutter and the event-time samplers are processors of
+:mod:`.stateful` on ``transformWithState``: packets wait in the key's map state
+until the watermark has passed their slot and are then taken in event-time
+order, so the result does not depend on the order of arrival within the
+watermark delay.  A sampler without a watermark keeps one counter per key
+(``applyInPandasWithState``).
 
 Aggregates run in ``update`` mode: every micro-batch appends its changed
 rows, tagged with the batch id, through ``foreachBatch``; state older than
@@ -22,13 +23,13 @@ aggregate.  Event time must be ``TIMESTAMP`` (``withWatermark`` rejects
 from __future__ import annotations
 
 import hashlib
-import io
+import heapq
 import time
+from functools import lru_cache
 from typing import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,19 +37,21 @@ from pyspark.sql import types as T
 from ..functions.timecols import col_micros, micros
 from ..operators.labels import label_flows
 from ..session import scratch_path
+from .stateful import FlowCutter, Sampler, slot_micros, use_rocksdb
 
 
 # ---------------------------------------------------------------- sources
-def stage_files(df: DataFrame, path: str, slice_col: str, slices: int) -> str:
-    """Write ``df`` as ``slices`` files in time order (one append each), so a
-    file source sees them arrive one after the other (T1 test input)."""
+def stage_files(df: DataFrame, path: str, slice_col: str, slices: int, arrival: Sequence[int] | None = None) -> str:
+    """Write ``df`` as ``slices`` files in time order, or in the order
+    ``arrival`` of the slices (one append each), so a file source sees them
+    arrive one after the other (T1 test input)."""
     us = col_micros(df, slice_col)
     lo_us, hi_us = df.agg(F.min(us), F.max(us)).first()
     if lo_us is None:
         return path
     hi_us += 1
     step = max(1, (hi_us - lo_us + slices - 1) // slices)
-    for i in range(slices):
+    for i in arrival or range(slices):
         part = df.where((us >= F.lit(lo_us + i * step)) & (us < F.lit(lo_us + (i + 1) * step)))
         part.coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)  # distinct modification times keep the arrival order
@@ -92,6 +95,46 @@ def run_update_log(stream: DataFrame, out_path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
+def run_split_late(stream: DataFrame, out_path: str, checkpoint: str, watermark: str, ts_col: str = "ts") -> int:
+    """Every row of the stream, with ``late`` telling whether it came behind
+    the watermark: earlier than the greatest event time of all previous batches
+    less the delay.  That is the watermark Spark holds for the batch, so ``late``
+    names the rows an aggregate may drop, which Spark itself only counts.
+
+    A batch is one folder that a repeated batch overwrites; its greatest time is
+    kept beside it, so a restart goes on with the same watermark.  Returns the
+    number of late rows written by this run."""
+    spark = stream.sparkSession
+    delay_us = int(pd.Timedelta(watermark).total_seconds() * 1e6)
+    late = 0
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        nonlocal late
+        sp = batch.sparkSession
+        marks = f"{out_path}-marks"
+        before = None
+        if batch_id > 0:
+            seen = sp.read.schema("batch bigint, max_us bigint").parquet(marks).where(F.col("batch") < batch_id)
+            before = seen.agg(F.max("max_us")).first()[0]
+        us = F.unix_micros(ts_col)
+        behind = F.lit(False) if before is None else F.coalesce(us < F.lit(before - delay_us), F.lit(False))
+        folder = f"{out_path}/batch={batch_id}"
+        batch.withColumn("late", behind).write.mode("overwrite").parquet(folder)
+        told = sp.read.schema(batch.schema.add("late", "boolean")).parquet(folder).agg(F.max(us), F.count(F.when(F.col("late"), 1))).first()
+        sp.createDataFrame([(batch_id, told[0])], "_b bigint, max_us bigint").select(F.col("_b").alias("batch"), "max_us") \
+          .coalesce(1).write.mode("overwrite").parquet(f"{marks}/_b={batch_id}")
+        late += told[1]
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return late
+
+
+def dropped_rows(query) -> int:
+    """Rows that the stateful operators of a streaming query dropped behind the watermark."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def run_append(stream: DataFrame, out_path: str, checkpoint: str) -> dict:
     """Append-mode Parquet sink with checkpoint (exactly-once file sink)."""
     q = (stream.writeStream.outputMode("append").format("parquet").option("path", out_path)
@@ -128,59 +171,22 @@ def session_flows(packets: DataFrame, keys: Sequence[str], gap: str, watermark:
                  F.min("ts").alias("first_ts")))
 
 
-def _pack(rows: pd.DataFrame) -> bytes:
-    if rows.empty:
-        return b""
-    sink = io.BytesIO()
-    data = pa.Table.from_pandas(rows, preserve_index=False)
-    with pa.ipc.new_stream(sink, data.schema) as out:
-        out.write_table(data)
-    return sink.getvalue()
-
+@lru_cache(maxsize=4096)
+def _block_choice(n: int, seed: int, block: int) -> np.ndarray:
+    """The n positions of lowest md5('seed:pos') in a block of n*n, by a heap of n entries.
 
-def _waiting_and_ready(pdfs, packed: bytes, done_us: int, watermark_us: int, order: Sequence[str]):
-    """Packets still to wait and those the watermark has passed, in event-time order.
-
-    A packet at or before ``done_us``, up to where its key has been worked
-    off, came later than the watermark allows and is left out."""
-    frames = [p for p in pdfs if len(p)]
-    if packed:
-        frames.append(pa.ipc.open_stream(packed).read_pandas())
-    if not frames:
-        return pd.DataFrame(), pd.DataFrame({"_us": []})
-    rows = pd.concat(frames, ignore_index=True)
-    rows = rows[rows["_us"] > done_us].sort_values(["_us", *order], kind="mergesort")
-    ready = rows["_us"] <= watermark_us
-    return rows[~ready], rows[ready]
-
-
-def _session_starts(us: np.ndarray, last_us: int | None, idle_us: int | None) -> np.ndarray:
-    """True where a packet comes more than ``idle_us`` after the one before it (``last_us`` before the first)."""
-    if idle_us is None or not len(us):
-        return np.zeros(len(us), bool)
-    before = np.concatenate([[us[0] if last_us is None else last_us], us[:-1]])
-    return us - before > idle_us
-
-
-def _positions(starts: np.ndarray, seen: int) -> np.ndarray:
-    """Position in the session of each packet, ``seen`` packets of the first session being earlier."""
-    at = np.arange(len(starts), dtype=np.int64)
-    first = np.maximum.accumulate(np.where(starts, at, -1))
-    return np.where(first < 0, at + seen, at - first)
+    The choice depends on the block alone: a worker finds it once for all its keys and batches."""
+    rank = lambda q: (hashlib.md5(f"{seed}:{q}".encode()).hexdigest(), q)
+    return np.array(heapq.nsmallest(n, range(block * n * n, (block + 1) * n * n), key=rank), np.int64)
 
 
 def _n_of_n_kept(n: int, seed: int):
-    """Which positions are kept: in each block of N = n*n positions the n with
-    the lowest md5('seed:pos') (the same rule as the batch sampler, so a
-    block's choice needs no state beyond the position counter)."""
-    big = n * n
-
+    """Which positions are kept: in each block of N = n*n positions the n of
+    lowest hash (the rule of the batch sampler, so a key's state is its position counter)."""
     def keep(pos: np.ndarray) -> np.ndarray:
-        kept: set[int] = set()
-        for b in np.unique(pos // big):
-            slots = range(int(b) * big, int(b) * big + big)
-            kept.update(sorted(slots, key=lambda q: (hashlib.md5(f"{seed}:{q}".encode()).hexdigest(), q))[:n])
-        return np.isin(pos, list(kept))
+        blocks = np.unique(pos // (n * n)).tolist()
+        chosen = [_block_choice(n, seed, b) for b in blocks]
+        return np.isin(pos, np.concatenate(chosen)) if chosen else np.zeros(0, bool)
     return keep
 
 
@@ -230,28 +236,9 @@ def sample_stream(packets: DataFrame, key: str, mode: str, n: int,
                 yield kept(rows, np.arange(seen, seen + len(rows), dtype=np.int64))
         return src.groupBy(key).applyInPandasWithState(by_arrival, out_schema, "seen long", "append", "NoTimeout")
 
-    def in_order(k, pdfs, state):
-        seen, last, done, packed = state.get if state.exists else (0, None, -1, b"")
-        mark_us = state.getCurrentWatermarkMs() * 1000
-        wait, ready = _waiting_and_ready(pdfs, bytes(packed), done, mark_us, order)
-        if len(ready):
-            us = ready["_us"].to_numpy(np.int64)
-            pos = _positions(_session_starts(us, last, idle_us), seen)
-            seen, last, done = int(pos[-1]) + 1, int(us[-1]), mark_us
-            yield kept(ready, pos)
-        idle = idle_us is not None and (last is None or mark_us >= last + idle_us)
-        if wait.empty and idle and state.exists:
-            state.remove()
-            return
-        state.update((seen, last, done, _pack(wait)))
-        due = [] if wait.empty else [int(wait["_us"].iloc[0])]
-        if idle_us is not None and last is not None and not idle:
-            due.append(last + idle_us)
-        if due:
-            state.setTimeoutTimestamp(min(due) // 1000 + 2)
-
-    return src.withWatermark("ts", watermark).groupBy(key).applyInPandasWithState(
-        in_order, out_schema, "seen long, last long, done long, waiting binary", "append", "EventTimeTimeout")
+    use_rocksdb(packets.sparkSession)
+    sampler = Sampler(src.columns, slot_micros(watermark), order, names, keep, idle_us)
+    return src.withWatermark("ts", watermark).groupBy(key).transformWithStateInPandas(sampler, out_schema, "Append", "EventTime")
 
 
 def time_slots(packets: DataFrame, key: str, seconds: int, watermark: str = "1 day") -> DataFrame:
@@ -280,24 +267,6 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
 
 
-def _cut(us: np.ndarray, octets: np.ndarray, flow: tuple | None, idle_us: int, active_us: int):
-    """Flows closed by the packets at ``us`` (sorted) and the flow left open,
-    each (start, last, packets, octets); one step per flow, not per packet."""
-    closed = []
-    gaps = np.append(np.flatnonzero(np.diff(us) > idle_us) + 1, len(us))
-    total = np.concatenate([[0], np.cumsum(octets)])
-    i = 0
-    while i < len(us):
-        if flow is not None and (us[i] - flow[1] > idle_us or us[i] - flow[0] > active_us):
-            closed.append(flow)
-            flow = None
-        start, _, packets, size = flow or (int(us[i]), 0, 0, 0)
-        j = min(int(gaps[np.searchsorted(gaps, i, "right")]), int(np.searchsorted(us, start + active_us, "right")))
-        flow = (start, int(us[j - 1]), packets + j - i, size + int(total[j] - total[i]))
-        i = j
-    return closed, flow
-
-
 def timeout_flows(packets: DataFrame, keys: Sequence[str], idle_seconds: float, active_seconds: float,
                   watermark: str = "1 day") -> DataFrame:
     """T5: flows per key cut by the idle and the active timeout, with the
@@ -316,34 +285,6 @@ def timeout_flows(packets: DataFrame, keys: Sequence[str], idle_seconds: float,
     idle_us, active_us = int(idle_seconds * 1e6), int(active_seconds * 1e6)
     names = [f.name for f in out_schema.fields]
 
-    def fn(key, pdfs, state):
-        flow, done, packed = None, -1, b""
-        if state.exists:
-            start, last, n, size, done, packed = state.get
-            flow = None if start is None else (start, last, n, size)
-        mark_us = state.getCurrentWatermarkMs() * 1000
-        wait, ready = _waiting_and_ready(pdfs, bytes(packed), done, mark_us, ["packet_no"])
-        closed = []
-        if len(ready):
-            octets = ready["octets"].fillna(0).to_numpy(np.int64)
-            closed, flow = _cut(ready["_us"].to_numpy(np.int64), octets, flow, idle_us, active_us)
-            done = mark_us
-        if flow is not None and mark_us >= flow[1] + idle_us:
-            closed.append(flow)
-            flow = None
-        if flow is None and wait.empty:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((*(flow or (None,) * 4), done, _pack(wait)))
-            due = [] if wait.empty else [int(wait["_us"].iloc[0])]
-            if flow is not None:
-                due.append(flow[1] + idle_us)
-            state.setTimeoutTimestamp(min(due) // 1000 + 2)
-        # the end-of-input marker has NULL keys: it only moves the watermark
-        if closed and not any(k is None for k in key):
-            yield pd.DataFrame([[*key, f[0] // 1000, f[2], f[3]] for f in closed], columns=names)
-
+    use_rocksdb(packets.sparkSession)
     src = packets.select(*keys, "ts", "packet_no", "octets", F.unix_micros("ts").alias("_us")).withWatermark("ts", watermark)
-    return src.groupBy(*keys).applyInPandasWithState(
-        fn, out_schema, "start long, last long, packets long, octets long, done long, waiting binary", "append", "EventTimeTimeout")
+    return src.groupBy(*keys).transformWithStateInPandas(FlowCutter(src.columns, slot_micros(watermark), idle_us, active_us, names), out_schema, "Append", "EventTime")
