@@ -21,6 +21,7 @@ A row without a packet number is an end-of-input marker: it moves the watermark.
 from __future__ import annotations
 
 import io
+import pickle
 from typing import Callable, Iterator, Sequence
 
 import numpy as np
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..operators.cutters import checked
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLOTS_PER_DELAY = 16
 
@@ -218,6 +221,42 @@ class FlowCutter(InEventTime):
         self.open.clear()
 
 
+class UserCutter(InEventTime):
+    """U4: a user's cutter; its state is kept pickled.  With ``idle_us`` a key idle for so long leaves and begins anew."""
+
+    def __init__(self, columns: list[str], slot_us: int, order: Sequence[str], cutter, names: list[str], out: str, idle_us: int | None):
+        super().__init__(columns, slot_us, order)
+        self.cutter, self.names, self.out, self.idle_us = cutter, names, out, idle_us
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "state binary, last bigint")
+
+    def take(self, key, rows, passed_us):
+        state, self.last = (None, None)
+        if self.kept.exists():
+            packed, self.last = tuple(self.kept.get())
+            state = pickle.loads(bytes(packed))
+        if len(rows):
+            packets = rows.rename(columns={"_us": "us"})
+            flows, state = self.cutter.cut(self.cutter.begin() if self.last is None else state, packets)
+            self.last = int(packets["us"].iloc[-1])
+            self.kept.update((pickle.dumps(state), self.last))
+            yield packets.assign(**{self.out: checked(flows, packets)})[self.names]
+        if self.idle_us is not None and self.last is not None and passed_us >= self.last + self.idle_us:
+            self.last = None
+            self.kept.clear()
+
+    def due(self):
+        return None if self.idle_us is None or self.last is None else self.last + self.idle_us
+
+    def idle(self):
+        return self.last is None
+
+    def drop(self):
+        self.kept.clear()
+
+
 def session_starts(us: np.ndarray, last_us: int | None, idle_us: int | None) -> np.ndarray:
     """True where a packet comes more than ``idle_us`` after the one before it (``last_us`` before the first)."""
     if idle_us is None or not len(us):

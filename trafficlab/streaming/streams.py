@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timecols import col_micros, micros
+from ..operators.cutters import Cutter
 from ..operators.labels import label_flows
 from ..session import scratch_path
-from .stateful import FlowCutter, Sampler, slot_micros, use_rocksdb
+from .stateful import FlowCutter, Sampler, UserCutter, slot_micros, use_rocksdb
 
 
 # ---------------------------------------------------------------- sources
@@ -241,6 +242,20 @@ def sample_stream(packets: DataFrame, key: str, mode: str, n: int,
     return src.withWatermark("ts", watermark).groupBy(key).transformWithStateInPandas(sampler, out_schema, "Append", "EventTime")
 
 
+def cut_stream(packets: DataFrame, keys: Sequence[str], cutter: Cutter, watermark: str, order: Sequence[str] = ("ts", "packet_no"),
+               out: str = "flow", idle_seconds: float | None = None) -> DataFrame:
+    """U4 on a stream: ``cut_flows`` in event time, as the watermark passes the packets.
+
+    With ``idle_seconds`` a key idle for so long leaves the state and its flows
+    are numbered from 0 again; without it the state of every key is kept."""
+    use_rocksdb(packets.sparkSession)
+    src = packets.withColumn("_us", F.unix_micros("ts"))
+    out_schema = T.StructType(packets.schema.fields + [T.StructField(out, T.LongType())])
+    idle_us = None if idle_seconds is None else int(idle_seconds * 1e6)
+    processor = UserCutter(src.columns, slot_micros(watermark), order, cutter, out_schema.names, out, idle_us)
+    return src.withWatermark("ts", watermark).groupBy(*keys).transformWithStateInPandas(processor, out_schema, "Append", "EventTime")
+
+
 def time_slots(packets: DataFrame, key: str, seconds: int, watermark: str = "1 day") -> DataFrame:
     """One packet per (key, time slot), duplicates dropped within the watermark."""
     slot = F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000)).cast("long")
