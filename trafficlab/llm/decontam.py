@@ -39,6 +39,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import mix64
@@ -64,6 +65,17 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FACTOR = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
+class _Index(dict):
+    """Numbers of words; a new word is added when it is asked for."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, raw: bytes) -> int:
+        i = self[raw] = self.add(raw)
+        return i
+
+
 class Vocabulary:
     """Attributes of raw words, kept per task and bounded."""
 
@@ -73,17 +85,21 @@ class Vocabulary:
         self.clear()
 
     def clear(self):
-        self.index: dict[bytes, int] = {}
+        self.index = _Index(self.add)
+        self.fresh: list[tuple[int, int, bool, bool]] = []  # of the words met since the arrays were extended
+        self.size = 0
         self.kind = np.zeros(1024, np.int8)
         self.key = np.zeros(1024, np.uint64)
         self.ends = np.zeros(1024, bool)
         self.capital = np.zeros(1024, bool)
 
     def add(self, raw: bytes) -> int:
-        import xxhash
-
         word = raw.decode("utf-8", "replace")
-        core = word if word.isalpha() else EDGES.sub("", word)
+        if word.isalpha():  # no number and no punctuation
+            low = word.lower()
+            self.fresh.append((UNIT if low in UNITS and low == word else PLAIN, xxhash.xxh64_intdigest(low.encode()), False, word[0].isupper()))
+            return self.size + len(self.fresh) - 1
+        core = EDGES.sub("", word)
         low = core.lower()
         if not core:
             kind = NONE
@@ -93,16 +109,19 @@ class Vocabulary:
             kind = UNIT
         else:
             kind = PLAIN
-        i = self.index[raw] = len(self.index)
-        if i == len(self.kind):
-            for name in ("kind", "key", "ends", "capital"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        self.kind[i] = kind
-        self.key[i] = xxhash.xxh64_intdigest((low or word).encode())
-        self.ends[i] = word.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
-        self.capital[i] = core[:1].isupper()
-        return i
+        ends = word.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
+        self.fresh.append((kind, xxhash.xxh64_intdigest((low or word).encode()), ends, core[:1].isupper()))
+        return self.size + len(self.fresh) - 1
+
+    def _extend(self) -> None:
+        low, self.size = self.size, self.size + len(self.fresh)
+        for name, values in zip(("kind", "key", "ends", "capital"), zip(*self.fresh)):
+            old = getattr(self, name)
+            if self.size > len(old):
+                old = np.concatenate([old, np.zeros(max(len(old), self.size - len(old)), old.dtype)])
+                setattr(self, name, old)
+            old[low:self.size] = np.array(values, old.dtype)
+        self.fresh = []
 
     def tokens(self, text: bytes):
         """Template keys and slot values (0 for plain words) of both readings, and the keys of all words.
@@ -110,10 +129,9 @@ class Vocabulary:
         The second reading is None when no capitalised word opens a sentence.
         """
         words = text.split()
-        ids = list(map(self.index.get, words))
-        if None in ids:
-            ids = [self.index[w] if w in self.index else self.add(w) for w in words]
-        ids = np.array(ids, np.int64)
+        ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            self._extend()
         kind, key = self.kind[ids], self.key[ids]
         every = key
         opening = None
