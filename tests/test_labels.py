@@ -25,6 +25,54 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def _plain_label(windows, mode, src, dst, t, end):
+    hit = []
+    for name, a, b, t0, t1, priority in windows:
+        if t0 is None or t1 is None or t is None:
+            continue
+        if mode == "AGM":
+            if a == src and t < t1 and end > t0:
+                hit.append((priority, name))
+        elif ((a, b) == (src, dst) or mode == "5tuplebi" and (b, a) == (src, dst)) and t0 <= t < t1:
+            hit.append((priority, name))
+    return min(hit)[1] if hit else "Normal"
+
+
+def test_interval_index_equals_a_walk_over_all_windows(spark):
+    import random
+
+    r = random.Random(6)
+    windows = []
+    for i in range(120):
+        t0 = r.choice([None, r.randint(0, 500)] if i % 20 == 0 else [r.randint(0, 500)])
+        windows.append((f"w{i % 30}", r.choice("ab"), r.choice("xy"), t0, None if t0 is None else t0 + r.choice([0, 1, 5, 40, 400]), r.randint(0, 4)))
+    windows += windows[:5]
+    flows = [(i, r.choice("abc"), r.choice("xyz"), r.choice([None, t]) if i % 40 == 0 else t, t + r.choice([1, 60])) for i, t in enumerate(r.choices(range(-5, 950), k=400))]
+    flows += [(1000 + i, b, a, t, e) for i, a, b, t, e in flows[:100]]
+    sched = spark.createDataFrame(windows, "attack string, src string, dst string, t0 long, t1 long, priority int")
+    df = spark.createDataFrame(flows, "id long, s string, d string, t long, e long")
+    for mode in ("5tuple", "5tuplebi", "AGM"):
+        got = {x["id"]: (x["Attack"], x["Label"]) for x in LB.label_flows(df, sched, mode, src="s", dst="d", start="t", end="e").collect()}
+        want = {i: _plain_label(windows, mode, a, b, t, e) for i, a, b, t, e in flows}
+        assert got == {i: (w, int(w != "Normal")) for i, w in want.items()}, mode
+
+
+def test_many_windows_on_one_address_cost_little_more(spark):
+    import time
+
+    def seconds(n):
+        sched = spark.range(n).selectExpr("concat('w', id) as attack", "'a' as src", "'x' as dst", "id * 10 as t0", "id * 10 + 12 as t1", "1 as priority")
+        sched = spark.createDataFrame(sched.toPandas())
+        df = spark.range(20_000).selectExpr("id", "'a' as s", "'x' as d", f"id * 7919 % {10 * n} as t")
+        out = LB.label_flows(df, sched, "5tuple", src="s", dst="d", start="t")
+        t0 = time.perf_counter()
+        assert out.where("Label = 1").count() == 20_000
+        return time.perf_counter() - t0
+    seconds(100)
+    few, many = seconds(1000), seconds(100_000)
+    assert many < 3 * few + 6  # a walk over every window would take 100 times as long
+
+
 def test_shuffled_join_equals_broadcast(spark, no_broadcast):
     flows = pair_flows(spark, SF01)
     sched = attack_schedule(spark, SF01)

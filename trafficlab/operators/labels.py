@@ -1,26 +1,50 @@
 """Labeling: flows <-> attack schedule by addresses and time (E1-E3), plus
 the exploratory distributions over labeled flows (H8-H10, R7).
 
-The schedule is folded to one row per address key that holds the key's attack
-windows, so a plain left join on the addresses meets at most one row per flow:
-no flow is multiplied, none is merged, nothing is shuffled after the join.
+An attack window stands once in every time slot that it meets; slots are as long
+as the average window, so there are at most two rows per window on average.  The
+windows of one (address key, slot) are folded into one row, so a plain left join
+on addresses and the flow's slot meets at most one row per flow, which holds only
+the windows near the flow: a hot address is many rows, no flow is multiplied, none
+is merged, nothing is shuffled after the join.  In ``AGM`` mode a flow may span
+slots; there a row holds all windows of a source.  Windows are sorted by start,
+each with the greatest end up to it (an interval index): two binary searches
+bound those that can hold the flow's time.
 Spark chooses the join: it broadcasts a schedule below its own size limit and
 shuffles both sides otherwise (with skew splitting of hot addresses).  The
-windows of one address key must fit into a row.
+windows of one row (see above) must fit into it.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.timecols import micros
 from .position import keyed_scan
 
 NORMAL = "Normal"
 
 
+def _number(time: Column, kinds: Sequence[T.DataType]) -> Column:
+    """A time as a number (timestamps: microseconds), alike for columns of the given kinds,
+    which meet as Spark compares them: without a zone only if none of them has one."""
+    if all(isinstance(k, T.TimestampNTZType) for k in kinds):
+        return micros(time, ntz=True)
+    if any(isinstance(k, (T.TimestampType, T.TimestampNTZType)) for k in kinds):
+        return F.unix_micros(time.cast("timestamp"))
+    return time.cast("double")
+
+
+def _how_many(array: str, holds) -> Column:
+    """Length of the front part of a sorted array for whose elements ``holds``: a binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(30))])
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= F.size(array)) & holds(F.get(array, p + s - 1)), p + s).otherwise(p))
+
+
 def label_flows(flows: DataFrame, schedule: DataFrame, mode: str,
                 src: str = "sourceIPAddress", dst: str = "destinationIPAddress",
                 start: str = "flow_start", end: str | None = None) -> DataFrame:
@@ -36,22 +60,37 @@ def label_flows(flows: DataFrame, schedule: DataFrame, mode: str,
     """
     if mode not in ("5tuple", "5tuplebi", "AGM"):
         raise ValueError(f"unknown labeling mode {mode!r}")
-    window = F.struct("priority", "attack", "t0", "t1")
-    sched = schedule.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), window.alias("_w"))
+    # a window without both ends holds no time
+    sched = schedule.where("t0 is not null and t1 is not null").select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), "t0", "t1", "priority", "attack")
     if mode == "5tuplebi":
-        sched = sched.unionByName(sched.select(F.col("_dst").alias("_src"), F.col("_src").alias("_dst"), "_w"))
+        sched = sched.unionByName(sched.withColumns({"_src": F.col("_dst"), "_dst": F.col("_src")}))
     keys = ["_src"] if mode == "AGM" else ["_src", "_dst"]
-    folded = sched.groupBy(*keys).agg(F.collect_set("_w").alias("_ws"))
+    sched = sched.select(*keys, "t0", "t1", "priority", "attack").distinct()
+    if mode != "AGM":
+        kinds = [schedule.schema["t0"].dataType, schedule.schema["t1"].dataType, flows.schema[start].dataType]
+        first, last = _number(F.col("t0"), kinds), _number(F.col("t1"), kinds)
+        # the average window (one number about the schedule)
+        length = F.lit(max(1.0, float(sched.agg(F.avg(F.when(last > first, last - first))).first()[0] or 1.0)))
+        slots = F.sequence(F.floor(first / length).cast("long"), F.floor(last / length).cast("long"))
+        sched = sched.where(first < last).withColumn("_slot", F.explode(slots))
+        keys.append("_slot")
+    upto = Window.partitionBy(*keys).orderBy("t0", "t1", "priority", "attack").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    indexed = sched.withColumn("ends", F.max("t1").over(upto))
+    folded = indexed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t0", "t1", "priority", "attack", "ends"))).alias("_ws"))
     cond = F.col(src) == F.col("_src")
     if mode != "AGM":
-        cond = cond & (F.col(dst) == F.col("_dst"))
+        cond = cond & (F.col(dst) == F.col("_dst")) & (F.floor(_number(F.col(start), kinds) / length).cast("long") == F.col("_slot"))
     t = F.col(start)
 
     def hit(w):
         if mode == "AGM":
             return (t < w["t1"]) & (F.col(end) > w["t0"])
         return (t >= w["t0"]) & (t < w["t1"])
-    best = F.array_min(F.transform(F.filter("_ws", hit), lambda w: F.struct(w["priority"], w["attack"])))
+    begun = _how_many("_ws", lambda w: w["t0"] < F.col(end) if mode == "AGM" else w["t0"] <= t)
+    over = _how_many("_ws", lambda w: w["ends"] <= t)
+    # only the windows between are touched (``slice`` would convert the whole array for each flow)
+    near = F.filter(F.transform(F.sequence(over, begun - 1), lambda i: F.get("_ws", i)), hit)
+    best = F.when(F.col("_ws").isNotNull() & (begun > over), F.array_min(F.transform(near, lambda w: F.struct(w["priority"], w["attack"]))))
     found = flows.join(folded, on=cond, how="left").withColumn("_best", best)
     return found.withColumns({"Attack": F.coalesce(F.col("_best.attack"), F.lit(NORMAL)),
                               "Label": F.when(F.col("_best").isNotNull(), 1).otherwise(0)}).drop("_best", "_ws", *keys)
