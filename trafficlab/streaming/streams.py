@@ -9,8 +9,8 @@ The timeout cutter and the event-time samplers are processors of
 :mod:`.stateful` on ``transformWithState``: packets wait in the key's map state
 until the watermark has passed their slot and are then taken in event-time
 order, so the result does not depend on the order of arrival within the
-watermark delay.  A sampler without a watermark keeps one counter per key
-(``applyInPandasWithState``).
+watermark delay.  A sampler without a watermark keeps one counter per key, in
+one table per bucket of keys (``applyInPandasWithState``).
 
 Aggregates run in ``update`` mode: every micro-batch appends its changed
 rows, tagged with the batch id, through ``foreachBatch``; state older than
@@ -38,7 +38,8 @@ from ..functions.timecols import col_micros, micros
 from ..operators.cutters import Cutter
 from ..operators.labels import label_flows
 from ..session import scratch_path
-from .stateful import FlowCutter, Sampler, UserCutter, slot_micros, use_rocksdb
+from .stateful import (BUCKET, FlowCutter, Sampler, UserCutter, bucket_of, count_on, key_codes, pack, slot_micros, unpack,
+                       use_rocksdb)
 
 
 # ---------------------------------------------------------------- sources
@@ -222,24 +223,25 @@ def sample_stream(packets: DataFrame, key: str, mode: str, n: int,
     names = [f.name for f in out_schema.fields]
     keep = _keep_rule(mode, n, seed)
     idle_us = None if idle_seconds is None else int(idle_seconds * 1e6)
-    src = packets.withColumn("_us", F.unix_micros("ts"))
-
-    def kept(rows: pd.DataFrame, pos: np.ndarray) -> pd.DataFrame:
-        return rows.assign(pos=pos)[keep(pos)][names]
+    src = packets.withColumns({"_us": F.unix_micros("ts"), BUCKET: bucket_of([key])})
 
     if watermark is None:
-        def by_arrival(k, pdfs, state):
-            seen = state.get[0] if state.exists else 0
+        def by_arrival(_, pdfs, state):
+            kept = unpack(state.get[0]) if state.exists else None
             frames = [p for p in pdfs if len(p)]
             if frames:
-                rows = pd.concat(frames, ignore_index=True).sort_values(list(order), kind="mergesort")
-                state.update((seen + len(rows),))
-                yield kept(rows, np.arange(seen, seen + len(rows), dtype=np.int64))
-        return src.groupBy(key).applyInPandasWithState(by_arrival, out_schema, "seen long", "append", "NoTimeout")
+                rows = pd.concat(frames, ignore_index=True)
+                code, keys = key_codes(kept, rows, [key])
+                rows = rows.assign(_code=code).sort_values(["_code", *order], kind="mergesort", ignore_index=True)
+                # arrival counts, not time: a packet may come without one
+                pos, table = count_on(np.zeros(len(rows), np.int64), rows["_code"].to_numpy(np.int64), keys, kept, None)
+                state.update((pack(table),))
+                yield rows.assign(pos=pos)[keep(pos)][names]
+        return src.groupBy(BUCKET).applyInPandasWithState(by_arrival, out_schema, "counters binary", "append", "NoTimeout")
 
     use_rocksdb(packets.sparkSession)
-    sampler = Sampler(src.columns, slot_micros(watermark), order, names, keep, idle_us)
-    return src.withWatermark("ts", watermark).groupBy(key).transformWithStateInPandas(sampler, out_schema, "Append", "EventTime")
+    sampler = Sampler(src.columns, [key], slot_micros(watermark), order, names, keep, idle_us)
+    return src.withWatermark("ts", watermark).groupBy(BUCKET).transformWithStateInPandas(sampler, out_schema, "Append", "EventTime")
 
 
 def cut_stream(packets: DataFrame, keys: Sequence[str], cutter: Cutter, watermark: str, order: Sequence[str] = ("ts", "packet_no"),
@@ -249,11 +251,11 @@ def cut_stream(packets: DataFrame, keys: Sequence[str], cutter: Cutter, watermar
     With ``idle_seconds`` a key idle for so long leaves the state and its flows
     are numbered from 0 again; without it the state of every key is kept."""
     use_rocksdb(packets.sparkSession)
-    src = packets.withColumn("_us", F.unix_micros("ts"))
+    src = packets.withColumns({"_us": F.unix_micros("ts"), BUCKET: bucket_of(keys)})
     out_schema = T.StructType(packets.schema.fields + [T.StructField(out, T.LongType())])
     idle_us = None if idle_seconds is None else int(idle_seconds * 1e6)
-    processor = UserCutter(src.columns, slot_micros(watermark), order, cutter, out_schema.names, out, idle_us)
-    return src.withWatermark("ts", watermark).groupBy(*keys).transformWithStateInPandas(processor, out_schema, "Append", "EventTime")
+    processor = UserCutter(src.columns, keys, slot_micros(watermark), order, cutter, out_schema.names, out, idle_us)
+    return src.withWatermark("ts", watermark).groupBy(BUCKET).transformWithStateInPandas(processor, out_schema, "Append", "EventTime")
 
 
 def time_slots(packets: DataFrame, key: str, seconds: int, watermark: str = "1 day") -> DataFrame:
@@ -301,5 +303,6 @@ def timeout_flows(packets: DataFrame, keys: Sequence[str], idle_seconds: float,
     names = [f.name for f in out_schema.fields]
 
     use_rocksdb(packets.sparkSession)
-    src = packets.select(*keys, "ts", "packet_no", "octets", F.unix_micros("ts").alias("_us")).withWatermark("ts", watermark)
-    return src.groupBy(*keys).transformWithStateInPandas(FlowCutter(src.columns, slot_micros(watermark), idle_us, active_us, names), out_schema, "Append", "EventTime")
+    src = packets.select(*keys, "ts", "packet_no", "octets", F.unix_micros("ts").alias("_us"), bucket_of(keys).alias(BUCKET)).withWatermark("ts", watermark)
+    cutter = FlowCutter(src.columns, keys, slot_micros(watermark), idle_us, active_us, names)
+    return src.groupBy(BUCKET).transformWithStateInPandas(cutter, out_schema, "Append", "EventTime")
