@@ -31,7 +31,7 @@ def _stage(spark, df, name, copies=1):
         step = (hi_us - lo_us + SLICES - 1) // SLICES
         import time
         for i in range(SLICES):
-            part = df.where((us >= lo_us + i * step) & (us < lo_us + (i + 1) * step)).coalesce(1)
+            part = df.where((us >= lo_us + i * step) & (us < lo_us + (i + 1) * step)).repartition(1)
             for _ in range(copies):
                 part.write.mode("append").parquet(path)
                 time.sleep(1.1)

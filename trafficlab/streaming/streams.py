@@ -55,7 +55,8 @@ def stage_files(df: DataFrame, path: str, slice_col: str, slices: int, arrival:
     step = max(1, (hi_us - lo_us + slices - 1) // slices)
     for i in arrival or range(slices):
         part = df.where((us >= F.lit(lo_us + i * step)) & (us < F.lit(lo_us + (i + 1) * step)))
-        part.coalesce(1).write.mode("append").parquet(path)
+        # read, cut out and built by all tasks; one only writes the file
+        part.repartition(1).write.mode("append").parquet(path)
         time.sleep(1.1)  # distinct modification times keep the arrival order
     return path
 
