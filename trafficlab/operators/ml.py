@@ -16,24 +16,9 @@ MAX_DEPTH = 30
 
 def fit_forest(df: DataFrame, features: str = "features", label: str = "label",
                num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = 1):
-    """H1: distributed random forest (sqrt features per split).
-
-    Deep trees make many passes over the training set: node ids are cached
-    between levels (checkpointed every 10 levels to the shared checkpoint
-    folder) and a training set with fewer partitions than cores is spread
-    over them first."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from ..session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    cores = spark.sparkContext.defaultParallelism
-    data = df.select(features, label)
-    if data.rdd.getNumPartitions() < cores:
-        data = data.repartition(cores)
-    rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
-                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
-                                cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
-    return rf.fit(data)
+    """H1: distributed random forest (sqrt features per split), see ``forest.py``."""
+    from . import forest
+    return forest.fit(df, features, label, num_trees, max_depth, seed)
 
 
 def predict(model, df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -86,9 +71,8 @@ def accuracy(pred: DataFrame, label: str = "label", prediction: str = "predictio
 
 
 def forest_shape(spark: SparkSession, model) -> DataFrame:
-    """H6: depth and leaves of every tree (leaves = (nodes + 1) / 2)."""
-    rows = [(i, t.depth, (t.numNodes + 1) // 2) for i, t in enumerate(model.trees)]
-    return spark.createDataFrame(rows, "tree int, depth int, leaves int")
+    """H6: depth and leaves of every tree."""
+    return model.shape()
 
 
 def misclassified(pred: DataFrame, kind: str, label: str = "Label", prediction: str = "prediction",
@@ -102,7 +86,7 @@ def misclassified(pred: DataFrame, kind: str, label: str = "Label", prediction:
 
 def importance_ranking(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
     """Feature importances in percent, highest first."""
-    imp = model.featureImportances.toArray()
+    imp = model.featureImportances
     rows = [(n, float(v) * 100.0) for n, v in zip(names, imp)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature")
@@ -115,9 +99,9 @@ def with_predictions(rows: DataFrame, pred: DataFrame, key: str = "row_id") -> D
 
 def save_model(model, path: str) -> None:
     """A9."""
-    model.write().overwrite().save(path)
+    model.save(path)
 
 
 def load_model(path: str):
-    from pyspark.ml.classification import RandomForestClassificationModel
-    return RandomForestClassificationModel.load(path)
+    from . import forest
+    return forest.load(SparkSession.active(), path)
