@@ -181,9 +181,10 @@ def q_stream_scoring(spark, sf):
     path = ST.fresh_dir(spark, "in-scoring")
     rows.write.parquet(path)
     s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    scored = ST.score_stream(model, s).select("vec_id", F.col("label").cast("int").alias("label"),
-                                              F.col("prediction").cast("int").alias("prediction"))
-    return _appended(spark, scored, "scoring")
+    out = ST.fresh_dir(spark, "out-scoring")
+    ST.run_scored(model, s, out, ST.fresh_dir(spark, "ckpt-scoring"),
+                  ["vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")])
+    return spark.read.parquet(out).drop("batch")
 
 
 _ACTIVE_SQL = REGISTRY["active_sessions"].sql.replace(ACTIVE_SELECT, f"""SELECT {KEY5}, (epoch_us(min(ts)) // 1000) AS flowStartMilliseconds,

@@ -272,10 +272,20 @@ def dedup_packets(packets: DataFrame, id_col: str = "packet_no", watermark: str
 
 
 def score_stream(model, stream: DataFrame) -> DataFrame:
-    """Stateless model scoring on a stream."""
+    """Stateless model scoring on a stream, by a forest that every task can hold."""
     return model.transform(stream)
 
 
+def run_scored(model, stream: DataFrame, out_path: str, checkpoint: str, columns: Sequence) -> None:
+    """Run to completion (availableNow); each batch meets the forest's subtrees in a
+    distributed join, so the forest may be of any size.  A batch is one folder
+    (``batch=<id>``) that a repeated batch overwrites."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        model.transform(batch).select(*columns).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def label_stream(flows: DataFrame, schedule: DataFrame, mode: str, **names) -> DataFrame:
     """Labels of a stream of flows; the folded schedule is the static side (see ``label_flows``)."""
     return label_flows(flows, schedule, mode, **names)
