@@ -110,3 +110,23 @@ def test_active_timeout_equals_a_walk(spark):
         if (idle, active) == (100, 300):
             # once blocks are longer than the entry zone every round holds about half of the one before
             assert len(sizes) > 4 and all(b <= 0.75 * a for a, b in zip(sizes[1:], sizes[2:]))
+
+
+def test_active_timeout_scans_whole_packets_once(spark, monkeypatch):
+    """Behind the sessions' scan only the packets that may be cuts are scanned, and then the cuts alone."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [("long", i, base + dt.timedelta(seconds=10 * i)) for i in range(1000)]
+    rows += [("short", 1000 + 3 * i + j, base + dt.timedelta(seconds=1000 * i + 10 * j)) for i in range(200) for j in range(3)]
+    df = spark.createDataFrame(rows, "k string, packet_no long, ts timestamp_ntz").withColumn("payload", F.lit("x"))
+    scanned = []
+
+    def scan(d, *args, **kwargs):
+        scanned.append((d.count(), "payload" in d.columns))
+        return keyed_scan(d, *args, **kwargs)
+
+    keyed_scan = FW.keyed_scan
+    monkeypatch.setattr(FW, "keyed_scan", scan)
+    out = FW.active_timeout(df, ["k"], 100, 300, num_buckets=5)
+    assert out.where("k = 'long'").agg(F.max("subflow")).first()[0] == 32 and out.where("k = 'short'").agg(F.max("subflow")).first()[0] == 0
+    # the long session's packets behind 300 s and their probes, and a probe of every session's first packet
+    assert scanned == [(1600, True), (2 * 969 + 201, False), (33, False)]

@@ -22,6 +22,7 @@ from .position import keyed_scan
 
 PACKET_ORDER = ["ts", "packet_no"]
 FIVE_TUPLE = ["a_ip", "a_port", "b_ip", "b_port", "proto"]
+_PROBE = 1 << 62  # above every packet number
 
 
 def _micros(ts: Column, ntz: bool = True) -> Column:
@@ -40,7 +41,7 @@ def with_canonical_key(packets: DataFrame) -> DataFrame:
     """
     # endpoints compare with NULL below every value, so the flag is never NULL (traffic without ports)
     end = lambda ip, port: F.struct(F.col(ip).alias("ip"), F.col(port).alias("port"))
-    src_first = F.least(F.array(end("src", "sport")), F.array(end("dst", "dport"))).eqNullSafe(F.array(end("src", "sport")))
+    src_first = end("src", "sport") <= end("dst", "dport")
     return packets.withColumns({
         "a_ip": F.when(src_first, F.col("src")).otherwise(F.col("dst")),
         "a_port": F.when(src_first, F.col("sport")).otherwise(F.col("dport")),
@@ -334,22 +335,23 @@ def flag_summary(packets: DataFrame, flow_keys: Sequence[str], flags_col: str =
 
 
 def flow_ids(keys: Sequence[str]) -> dict[str, Column]:
-    """Two hashes that stand for the flow key in the pointer tables (16 bytes; NULL keys included)."""
+    """Two hashes that stand for a session in the pointer tables (16 bytes; NULL keys included)."""
     cols = [F.col(f"`{k}`") for k in keys]
     return {"_h1": F.xxhash64(*cols), "_h2": F.xxhash64(F.lit(1), *cols)}
 
 
 def cut_chain(nodes: DataFrame, active_us: int, idle_us: int, on_round=None) -> DataFrame:
-    """The packets of each session at which the active timeout cuts, its first packet included.
+    """The packets (``_p``, ``_rel``) of each session at which the active timeout
+    cuts, its first packet included; sessions without a cut have no rows.
 
-    ``nodes``: ``_h1, _h2, session`` (the session), ``_p`` (a packet's number),
-    ``_rel`` (microseconds since the session's first packet) and ``_next``, the
-    number of the first packet more than ``active_us`` later (there may be none).
+    ``nodes``, a staged table: ``_h1, _h2`` (the session), ``_p`` (a packet's
+    number), ``_rel`` (microseconds since the session's first packet) and ``_at,
+    _at_rel``, the same of the first packet more than ``active_us`` later.
     The cuts are the chain first -> next(first) -> ...; it is found by contraction:
 
     * Time is cut into blocks, ``active`` long at level 0 and twice as long at
       each further level.  A packet's pointer leads to the first element of its
-      chain behind its block; at level 0 that is ``_next``, for a chain steps
+      chain behind its block; at level 0 that is the next one, for a chain steps
       further than ``active``.
     * Level k + 1 joins two blocks.  A pointer from the left one into the right
       one is followed once more, any other stays.  Packets of a session are at
@@ -361,30 +363,29 @@ def cut_chain(nodes: DataFrame, active_us: int, idle_us: int, on_round=None) ->
       holds one element at most: all cuts are known.
 
     ``on_round`` is called with the number of pointers of each level (tests)."""
-    sk = ["_h1", "_h2", "session"]
+    sk = ["_h1", "_h2"]
     zone = active_us + idle_us
-    target = nodes.select(*sk, F.col("_p").alias("_next"), F.col("_rel").alias("_at_rel"))
-    now = staged(nodes.join(target, sk + ["_next"]).select(*sk, "_p", "_rel", F.col("_next").alias("_at"), "_at_rel"), "active-level")
+    now = nodes
+    entries = nodes.where("_rel = 0").groupBy(*sk).agg(F.min("_p").alias("_p")).withColumn("_rel", F.lit(0).cast("long"))
     levels, size = [], active_us
     while True:
         n = now.count()  # of a written table
         if on_round is not None:
             on_round(n)
+        levels.append((now, f"(_rel div {size}) % 2 = 0 and _at_rel div {size} = _rel div {size} + 1"))
         if n == 0:
-            drop_staged(now)
             break
-        into_right = f"(_rel div {size}) % 2 = 0 and _at_rel div {size} = _rel div {size} + 1"
-        levels.append((now, into_right))
+        into_right = levels[-1][1]
         size *= 2
         kept = now.where(f"_rel % {size} < {zone}")
         further = now.select(*sk, F.col("_p").alias("_at"), F.col("_at").alias("_far"), F.col("_at_rel").alias("_far_rel"))
         followed = kept.where(into_right).join(further, sk + ["_at"]) \
                        .select(*sk, "_p", "_rel", F.col("_far").alias("_at"), F.col("_far_rel").alias("_at_rel"))
         now = staged(kept.where(f"not ({into_right})").unionByName(followed), "active-level")
-    entries = nodes.where("_rel = 0").groupBy(*sk).agg(F.min("_p").alias("_p"))
-    for level, into_right in reversed(levels):
-        entries = entries.join(level, sk + ["_p"], "left").select(
-            *sk, F.explode(F.array_compact(F.array(F.col("_p"), F.when(F.expr(into_right), F.col("_at"))))).alias("_p"))
+    for level, into_right in reversed(levels[:-1]):
+        right = F.when(F.expr(into_right), F.struct(F.col("_at").alias("_p"), F.col("_at_rel").alias("_rel")))
+        entries = entries.join(level.drop("_rel"), sk + ["_p"], "left").select(
+            *sk, F.inline(F.array_compact(F.array(F.struct("_p", "_rel"), right))))
     cuts = staged(entries, "active-cuts")
     drop_staged(*(level for level, _ in levels))
     return cuts
@@ -398,10 +399,13 @@ def active_timeout(packets: DataFrame, keys: Sequence[str], idle_seconds: float,
 
     Inside an idle session a new flow starts at the first packet whose time
     exceeds the current flow's start by more than ``active_seconds``.  The next
-    packet after t + active comes for every packet from one skew-safe scan over
-    packets and probe rows; the chain of cuts from a session's first packet is
-    found by :func:`cut_chain`.  Only sessions longer than ``active_seconds``
-    take part, and the rounds carry 16-byte hashes of the key, never packets.
+    packet after t + active comes from one skew-safe scan over packets and probe
+    rows; the chain of cuts from a session's first packet is found by
+    :func:`cut_chain`.  Only a session's first packet and those more than
+    ``active_seconds`` behind it can be cuts and take part, and the rounds carry
+    16-byte hashes of the key, never packets.  A flow is at most
+    ``active_seconds`` long, so each slot of that length holds one cut at most and
+    meets two flows at most: a packet finds its flow by its session and slot.
     Adds ``session`` and ``subflow`` (0-based inside the session); ``lasts`` as in
     ``keyed_scan`` within ``keys``, ``flow_start`` names a column for the flow's
     first time.
@@ -409,35 +413,41 @@ def active_timeout(packets: DataFrame, keys: Sequence[str], idle_seconds: float,
     if active_seconds <= 0:
         raise ValueError("the active timeout must be positive")
     keys, order = list(keys), list(order)
-    sk = ["_h1", "_h2", "session"]
+    sk = ["_h1", "_h2"]
     active_us, idle_us = int(active_seconds * 1_000_000), int(idle_seconds * 1_000_000)
     z = _ntz(packets, ts_col)
     # the session table feeds several branches: written once
     scanned = keyed_scan(packets, keys, order, pos_col="_p", gap_session=("session", ts_col, idle_seconds),
-                         session_start="_begin", lasts=lasts, num_buckets=num_buckets)
-    sess = staged(scanned.withColumns(flow_ids(keys)), "active-sessions")
+                         session_start="_begin", lasts=lasts, num_buckets=num_buckets, write="active-sessions")
     rel = _micros(F.col(ts_col), z) - _micros(F.col("_begin"), z)
-    long_keys = sess.where(rel > active_us).select(*sk).distinct()
-    long = sess.join(long_keys, sk, "left_semi")
-    start = {flow_start: F.col("_begin")} if flow_start else {}
-    short = sess.join(long_keys, sk, "left_anti").withColumns({"subflow": F.lit(0).cast("long"), **start})
-
-    slim = long.select(*sk, "_p", rel.alias("_rel"))
-    probes = slim.withColumns({"_t": F.col("_rel") + F.lit(active_us), "_kind": F.lit(1), "_seen": F.lit(None).cast("long")})
-    both = slim.withColumns({"_t": F.col("_rel"), "_kind": F.lit(0), "_seen": F.col("_p")}).unionByName(probes)
-    # a probe's last packet at or before it; the next one follows by number
-    seen = keyed_scan(both, sk, ["_t", "_kind", "_p"], pos_col=None, maxs={"_upto": "_seen"}, num_buckets=num_buckets)
-    nodes = staged(seen.where("_kind = 1").select(*sk, "_p", "_rel", (F.col("_upto") + 1).alias("_next")), "active-next")
+    sess = scanned.withColumns({**flow_ids([*keys, "session"]), "_rel": rel})
+
+    slim = sess.select(*sk, "_p", "_rel")
+    slim = staged(slim.where(f"_rel = 0 or _rel > {active_us}"), "active-times")
+    # latest first: the packet passed last before a probe is the first one behind its time;
+    # at one time probes come before packets
+    seen = F.struct(F.col("_p").alias("_at"), F.col("_rel").alias("_at_rel"))
+    probes = slim.select(*sk, (-F.col("_rel") - active_us).alias("_t"), (-F.col("_p") - _PROBE).alias("_n"), F.lit(None).cast("struct<_at:bigint,_at_rel:bigint>").alias("_seen"))
+    both = slim.where(f"_rel > {active_us}").select(*sk, (-F.col("_rel")).alias("_t"), (-F.col("_p")).alias("_n"), seen.alias("_seen")).unionByName(probes)
+    found = keyed_scan(both, sk, ["_t", "_n"], pos_col=None, lasts={"_next": "_seen"}, num_buckets=num_buckets, write="active-probes")
+    nodes = staged(found.where("_seen is null and _next is not null")
+                   .select(*sk, (-F.col("_n") - _PROBE).alias("_p"), (-F.col("_t") - active_us).alias("_rel"), "_next.*"), "active-next")
     cuts = cut_chain(nodes, active_us, idle_us, on_round)
 
-    # a marker before each cut packet; the flows of a session are the markers passed
-    markers = cuts.join(nodes, sk + ["_p"]).select(*sk, "_p", F.lit(0).alias("_kind"), F.lit(1).cast("long").alias("_cut"), F.col("_rel").alias("_cut_rel"))
-    rows = long.withColumns({"_kind": F.lit(1), "_cut": F.lit(0).cast("long"), "_cut_rel": F.lit(None).cast("long")})
-    marked = keyed_scan(rows.unionByName(markers, allowMissingColumns=True), sk, ["_p", "_kind"], pos_col=None,
-                        sums={"_sub": "_cut"}, lasts={"_cut_at": "_cut_rel"} if flow_start else None, num_buckets=num_buckets)
-    sub = marked.where("_kind = 1").withColumn("subflow", F.col("_sub") - 1)
+    # a slot's cut with the flow before it, or the flow that reaches into a slot without one
+    numbered = keyed_scan(cuts, sk, ["_p"], pos_col="_n", lags={"_before": "_rel"}, leads={"_after": "_rel"}, num_buckets=num_buckets)
+    slot = F.expr(f"_rel div {active_us}")
+    own = F.struct(slot.alias("_slot"), F.col("_p").alias("_cut"), F.col("_n").alias("_sub"), F.col("_rel").alias("_cut_rel"), F.col("_before").alias("_old_rel"))
+    none = F.lit(None).cast("long")
+    reach = F.struct((slot + 1).alias("_slot"), none.alias("_cut"), (F.col("_n") + 1).alias("_sub"), none.alias("_cut_rel"), F.col("_rel").alias("_old_rel"))
+    alone = F.coalesce(F.expr(f"_after div {active_us}") > slot + 1, F.lit(True))
+    slots = staged(numbered.select(*sk, F.inline(F.array_compact(F.array(own, F.when(alone, reach))))), "active-slots")
+    flows = sess.withColumn("_slot", slot).join(slots, [*sk, "_slot"], "left")
+    new = F.col("_p") >= F.col("_cut")
+    flows = flows.withColumn("subflow", F.coalesce(F.when(new, F.col("_sub")).otherwise(F.col("_sub") - 1), F.lit(0).cast("long")))
     if flow_start:
-        sub = sub.withColumn(flow_start, F.expr("_begin + make_dt_interval(0, 0, 0, cast(cast(_cut_at as decimal(18,0)) / 1000000 as decimal(18,6)))"))
+        start_rel = F.coalesce(F.when(new, F.col("_cut_rel")).otherwise(F.col("_old_rel")), F.lit(0).cast("long"))
+        flows = flows.withColumn("_start_rel", start_rel).withColumn(
+            flow_start, F.expr("_begin + make_dt_interval(0, 0, 0, cast(cast(_start_rel as decimal(18,0)) / 1000000 as decimal(18,6)))"))
     made = ["session", *(lasts or {}), "subflow", *([flow_start] if flow_start else [])]
-    cols = [c for c in packets.columns if c not in made] + made
-    return short.select(*cols).unionByName(sub.select(*cols))
+    return flows.select(*[c for c in packets.columns if c not in made], *made)

@@ -331,7 +331,7 @@ FROM sub GROUP BY {KEY5}, session, subflow"""
           + ACTIVE_SELECT)
 def q_active_sessions(spark, sf):
     p = FW.with_canonical_key(pkt_pair(spark, sf))
-    a = FW.active_timeout(p, FW.FIVE_TUPLE, IDLE_S, ACTIVE_S)
+    a = FW.active_timeout(p.select(*FW.FIVE_TUPLE, *FW.PACKET_ORDER), FW.FIVE_TUPLE, IDLE_S, ACTIVE_S)
     return a.groupBy(*FW.FIVE_TUPLE, "session", "subflow").agg(
         F.count(F.lit(1)).alias("packets"), F.min("ts").alias("flow_start"), F.max("ts").alias("flow_end"))
 
