@@ -130,3 +130,18 @@ def test_active_timeout_scans_whole_packets_once(spark, monkeypatch):
     assert out.where("k = 'long'").agg(F.max("subflow")).first()[0] == 32 and out.where("k = 'short'").agg(F.max("subflow")).first()[0] == 0
     # the long session's packets behind 300 s and their probes, and a probe of every session's first packet
     assert scanned == [(1600, True), (2 * 969 + 201, False), (33, False)]
+
+
+def test_caia_vector_aggregates_by_hash(spark, monkeypatch):
+    """Flows are a hash aggregate (no sort of all packets), and the scan takes the columns it needs."""
+    from trafficlab.sources.tables import pkt_pair
+    from tests.conftest import SF001
+    cols = []
+    keyed_scan = FW.keyed_scan
+    monkeypatch.setattr(FW, "keyed_scan", lambda d, *a, **k: cols.append(set(d.columns)) or keyed_scan(d, *a, **k))
+    v = FW.caia_vector(pkt_pair(spark, SF001), 6 * 3600, active_seconds=24 * 3600)
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert not cols[0] & {"capture", "ttl", "src", "dst", "sport", "dport"}
+    ends = v.select("sourceIPAddress", "sourceTransportPort", "destinationIPAddress", "destinationTransportPort").collect()
+    assert len(ends) > 0 and all({r[0][0], r[2][0]} == {"c", "s"} and (r[1] >= 50000) == (r[0][0] == "c") for r in ends)
